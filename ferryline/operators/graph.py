@@ -8,6 +8,8 @@ in the round before and writes what is new to the shared folder.  Nodes are in
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,32 +118,57 @@ def _reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
 
 
-def _spread_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, label): the least mark among a node and all nodes above it.
+MARKS = 4  # independent random orders of the nodes in `cycle_members`
+ABOVE = [f"above_{i}" for i in range(MARKS)]
+BELOW = [f"below_{i}" for i in range(MARKS)]
+
+
+def _label_both_ways(edges: DataFrame) -> DataFrame:
+    """(id, above_i, below_i): in each order, the least node above (or at) a node, and below (or at) it.
 
-    Marks are ordered by a hash, which keeps the number of cycles peeled one
-    after another logarithmic rather than in key order.
+    Only labels that changed in the round before are passed on.  The orders are
+    hashes of the id: they keep the repetitions in `cycle_members` logarithmic
+    where the order of the ids themselves could make them many.
     """
-    mark = F.struct(F.xxhash64("id").alias("mark"), F.col("id").alias("root"))
-    state = materialize(nodes.select("id", mark.alias("label"), F.lit(True).alias("fresh")), "labels")
-    while not state.where("fresh").isEmpty():
-        changed = state.where("fresh").select(F.col("id").alias("parent"), "label")
-        offered = edges.join(changed, "parent").groupBy("child").agg(F.min("label").alias("offer"))
-        better = F.coalesce(F.col("offer") < F.col("label"), F.lit(False))
-        step = state.join(offered, F.col("id") == F.col("child"), "left").select(
-            "id", F.when(better, F.col("offer")).otherwise(F.col("label")).alias("label"), better.alias("fresh")
+    links = materialize(
+        edges.select(F.col("parent").alias("sender"), F.col("child").alias("id"), F.lit(True).alias("down")).union(
+            edges.select(F.col("child").alias("sender"), F.col("parent").alias("id"), F.lit(False).alias("down"))
+        ), "links")
+    marks = [F.struct(F.xxhash64("id", F.lit(i)).alias("mark"), F.col("id").alias("root")) for i in range(MARKS)]
+    start = links.select("id").distinct().select(
+        "id", *[m.alias(c) for m, c in zip(marks, ABOVE)], *[m.alias(c) for m, c in zip(marks, BELOW)],
+        F.lit(True).alias("fresh_above"), F.lit(True).alias("fresh_below"),
+    )
+
+    def changed(labels: list[str]):
+        better = [F.coalesce(F.col(f"new_{c}") < F.col(c), F.lit(False)) for c in labels]
+        return reduce(lambda left, right: left | right, better)
+
+    state = materialize(start, "labels")
+    while not state.where("fresh_above OR fresh_below").isEmpty():
+        senders = state.where("fresh_above OR fresh_below").withColumnRenamed("id", "sender")
+        goes_down, goes_up = F.col("down") & F.col("fresh_above"), ~F.col("down") & F.col("fresh_below")
+        passed = links.join(senders, "sender").groupBy("id").agg(
+            *[F.min(F.when(goes_down, F.col(c))).alias(f"new_{c}") for c in ABOVE],
+            *[F.min(F.when(goes_up, F.col(c))).alias(f"new_{c}") for c in BELOW],
+        )
+        step = state.join(passed, "id", "left").select(
+            "id", *[F.least(c, f"new_{c}").alias(c) for c in ABOVE + BELOW],
+            changed(ABOVE).alias("fresh_above"), changed(BELOW).alias("fresh_below"),
         )
         state = materialize(step, "labels")
-    return state.select("id", F.col("label.root").alias("label"))
+    return state.select("id", *[F.col(f"{c}.root").alias(c) for c in ABOVE + BELOW])
 
 
 def cycle_members(edges: DataFrame, stuck: DataFrame | None = None) -> DataFrame:
     """Nodes on a cycle of two or more.
 
-    What lies only above or below cycles is peeled off first.  In the core every
-    node takes the least label above it; a node that reaches back to the owner of
-    its label is on a cycle with it.  Edges between labels cannot lie on a cycle
-    and drop out.  No pairs of nodes are ever formed.
+    What lies only above or below cycles is peeled off first.  In the core that
+    is left, every node learns the least node above it and the least below it,
+    in several random orders.  Where the two are one other node, or the node
+    itself and of another one besides, it is on a cycle with it.  An edge whose
+    ends learnt different things lies on no cycle and drops out; what remains
+    goes round again.  No pairs of nodes are ever formed.
     """
     if stuck is None:
         edges = materialize(edges.select("parent", "child"), "edges")
@@ -152,18 +179,17 @@ def cycle_members(edges: DataFrame, stuck: DataFrame | None = None) -> DataFrame
     inner = materialize(_within(inner, core), "core-edges")
     found = core.limit(0)
     while not inner.isEmpty():
-        labels = materialize(_spread_labels(core, inner), "labelled")
-        parents = labels.select(F.col("id").alias("parent"), F.col("label").alias("parent_label"))
-        children = labels.select(F.col("id").alias("child"), F.col("label").alias("child_label"))
-        same = inner.join(parents, "parent").join(children, "child").where("parent_label = child_label")
-        same = materialize(same.select("parent", "child"), "same-label")
-        back = _reach(_reverse(same), labels.where("id = label").select("id"))
-        groups = back.join(labels, "id")
-        real = groups.groupBy("label").agg(F.count("*").alias("n")).where("n > 1")
-        found = materialize(found.union(groups.join(real, "label", "left_semi").select("id")), "cyclic")
-        core = materialize(core.join(back.select("id"), "id", "left_anti"), "core")
-        inner = materialize(_within(same, core), "core-edges")
-    return found
+        labels = _label_both_ways(inner)
+        roots = F.array_compact(F.array(*[F.when(F.col(a) == F.col(b), F.col(a)) for a, b in zip(ABOVE, BELOW)]))
+        groups = labels.select("id", F.explode(F.array_distinct(roots)).alias("root"))
+        real = groups.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+        settled = labels.select("id", (F.size(roots) > 0).alias("settled"), F.array(*ABOVE, *BELOW).alias("labels"))
+        found = materialize(found.union(groups.join(real, "root", "left_semi").select("id")), "cyclic")
+        parents = settled.select(F.col("id").alias("parent"), "settled", F.col("labels").alias("parent_labels"))
+        children = settled.select(F.col("id").alias("child"), F.col("labels").alias("child_labels"))
+        left = inner.join(parents, "parent").join(children, "child").where("NOT settled AND parent_labels = child_labels")
+        inner = materialize(left.select("parent", "child"), "core-edges")
+    return found.distinct()
 
 
 def blocked_by_cycle(stuck: DataFrame, cyclic: DataFrame) -> DataFrame:
