@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 # Fixed value: the schema a table without one belongs to.
 DEFAULT_SCHEMA = "public"
+CONTROL_CHARACTERS = "".join(chr(code) for code in range(0x21))
 
 
 def strip(value: Column) -> Column:
     """Trim everything up to U+0020 at both ends, not only spaces."""
-    return F.regexp_replace(value, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.btrim(value, F.lit(CONTROL_CHARACTERS))
 
 
 def normalize(value: Column) -> Column:

@@ -85,8 +85,12 @@ def in_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def dependency_analysis(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Each table with its parents, one row per parent; an independent table has one row and no parent."""
     parents = edges.where("parent <> child").distinct()
-    kind = F.when(F.col("parent").isNull(), "independent").otherwise("dependent")
-    return nodes.join(parents, F.col("id") == F.col("child"), "left").select("id", kind.alias("kind"), "parent")
+    children = parents.select(F.col("child").alias("id")).distinct()
+    # Not one outer join: a table with very many parents would be its unsplittable side.
+    dependent = _only(parents, "child", nodes).select(F.col("child").alias("id"), F.lit("dependent").alias("kind"), "parent")
+    none = F.lit(None).cast(parents.schema["parent"].dataType).alias("parent")
+    independent = nodes.select("id").join(children, "id", "left_anti").select("id", F.lit("independent").alias("kind"), none)
+    return dependent.union(independent)
 
 
 def blocked_by(edges: DataFrame, stopped: DataFrame) -> DataFrame:

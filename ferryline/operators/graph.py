@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferryline.session import materialize, new_folder
+from ferryline.session import Scratch, materialize, new_folder
 
 
 class CycleError(ValueError):
@@ -63,22 +63,21 @@ def topo_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    counts = edges.groupBy("child").agg(F.count("*").alias("n"))
-    start = nodes.join(counts, F.col("id") == F.col("child"), "left").select(
-        "id", F.coalesce("n", F.lit(0)).cast("bigint").alias("waits_for")
-    )
+    def counted(waiting: DataFrame, counts: DataFrame) -> DataFrame:
+        """Waiting nodes after adding the counts: one shuffle, summed per task before it."""
+        return waiting.union(counts).groupBy("id").agg(F.sum("waits_for").alias("waits_for"))
+
     # The level of a node is the round it was freed in.  No round number goes
     # into the expressions, so every round runs the same generated code.
+    zero, one = F.lit(0).cast("bigint").alias("waits_for"), F.lit(1).cast("bigint").alias("waits_for")
+    start = counted(nodes.select("id", zero), edges.select("child", one))
     rounds = _Rounds(nodes.sparkSession, "levels", start.schema)
     number, current = 0, rounds.write(0, start)
     while not current.where("waits_for = 0").isEmpty():
         freed = current.where("waits_for = 0").select(F.col("id").alias("parent"))
-        served = edges.join(freed, "parent").groupBy("child").agg(F.count("*").alias("n"))
-        waiting = current.where("waits_for > 0")
-        left = F.col("waits_for") - F.coalesce("n", F.lit(0))
+        served = edges.join(freed, "parent").select("child", F.lit(-1).cast("bigint"))
         number += 1
-        step = waiting.join(served, F.col("id") == F.col("child"), "left").select("id", left.alias("waits_for"))
-        current = rounds.write(number, step)
+        current = rounds.write(number, counted(current.where("waits_for > 0"), served))
     settled = rounds.all().where("waits_for = 0").select("id", F.col("round").alias("level"))
     return settled.unionByName(current.select("id", F.lit(None).cast("int").alias("level")))
 
@@ -140,23 +139,26 @@ def _label_both_ways(edges: DataFrame) -> DataFrame:
         F.lit(True).alias("fresh_above"), F.lit(True).alias("fresh_below"),
     )
 
-    def changed(labels: list[str]):
-        better = [F.coalesce(F.col(f"new_{c}") < F.col(c), F.lit(False)) for c in labels]
-        return reduce(lambda left, right: left | right, better)
+    labels = ABOVE + BELOW
+
+    def changed(columns: list[str]):
+        return reduce(lambda left, right: left | right, [F.col(c) < F.col(f"old_{c}") for c in columns])
 
-    state = materialize(start, "labels")
+    scratch = Scratch(edges.sparkSession, "labels")
+    state = scratch.put(start)
     while not state.where("fresh_above OR fresh_below").isEmpty():
         senders = state.where("fresh_above OR fresh_below").withColumnRenamed("id", "sender")
         goes_down, goes_up = F.col("down") & F.col("fresh_above"), ~F.col("down") & F.col("fresh_below")
-        passed = links.join(senders, "sender").groupBy("id").agg(
-            *[F.min(F.when(goes_down, F.col(c))).alias(f"new_{c}") for c in ABOVE],
-            *[F.min(F.when(goes_up, F.col(c))).alias(f"new_{c}") for c in BELOW],
+        passed = links.join(senders, "sender").select(
+            "id", *[F.when(goes_down, F.col(c)).alias(c) for c in ABOVE],
+            *[F.when(goes_up, F.col(c)).alias(c) for c in BELOW], *[F.lit(None).alias(f"old_{c}") for c in labels],
         )
-        step = state.join(passed, "id", "left").select(
-            "id", *[F.least(c, f"new_{c}").alias(c) for c in ABOVE + BELOW],
-            changed(ABOVE).alias("fresh_above"), changed(BELOW).alias("fresh_below"),
+        kept = state.select("id", *labels, *[F.col(c).alias(f"old_{c}") for c in labels])
+        step = kept.unionByName(passed).groupBy("id").agg(
+            *[F.min(c).alias(c) for c in labels], *[F.min(f"old_{c}").alias(f"old_{c}") for c in labels]
         )
-        state = materialize(step, "labels")
+        step = step.select("id", *labels, changed(ABOVE).alias("fresh_above"), changed(BELOW).alias("fresh_below"))
+        state = scratch.put(step)
     return state.select("id", *[F.col(f"{c}.root").alias(c) for c in ABOVE + BELOW])
 
 
@@ -176,7 +178,8 @@ def cycle_members(edges: DataFrame, stuck: DataFrame | None = None) -> DataFrame
         stuck = stuck_nodes(_levels(ends, edges))
     inner = materialize(_within(edges, stuck), "inner-edges")
     core = materialize(stuck_nodes(_levels(stuck, _reverse(inner))), "core")
-    inner = materialize(_within(inner, core), "core-edges")
+    remaining, cyclic = Scratch(edges.sparkSession, "core-edges"), Scratch(edges.sparkSession, "cyclic")
+    inner = remaining.put(_within(inner, core))
     found = core.limit(0)
     while not inner.isEmpty():
         labels = _label_both_ways(inner)
@@ -184,11 +187,11 @@ def cycle_members(edges: DataFrame, stuck: DataFrame | None = None) -> DataFrame
         groups = labels.select("id", F.explode(F.array_distinct(roots)).alias("root"))
         real = groups.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
         settled = labels.select("id", (F.size(roots) > 0).alias("settled"), F.array(*ABOVE, *BELOW).alias("labels"))
-        found = materialize(found.union(groups.join(real, "root", "left_semi").select("id")), "cyclic")
+        found = cyclic.put(found.union(groups.join(real, "root", "left_semi").select("id")))
         parents = settled.select(F.col("id").alias("parent"), "settled", F.col("labels").alias("parent_labels"))
         children = settled.select(F.col("id").alias("child"), F.col("labels").alias("child_labels"))
         left = inner.join(parents, "parent").join(children, "child").where("NOT settled AND parent_labels = child_labels")
-        inner = materialize(left.select("parent", "child"), "core-edges")
+        inner = remaining.put(left.select("parent", "child"))
     return found.distinct()
 
 

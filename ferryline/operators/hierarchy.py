@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferryline.operators.graph import _Rounds
+from ferryline.operators.merge import without
 
 UNREACHED = 2147483647  # fixed value: depth of a row no root leads to
 
 
 def roots(df: DataFrame, pk: str, fk: str) -> DataFrame:
     """Rows without a parent: foreign key null, or pointing outside `df`."""
-    parents = df.select(F.col(pk).alias("_pk")).distinct()
-    return df.join(parents, F.col(fk) == F.col("_pk"), "left_anti")
+    parents = df.select(F.col(pk).alias(fk))
+    return without(df, parents, [fk])
 
 
 def hierarchy_depth(df: DataFrame, pk: str, fk: str) -> DataFrame:
@@ -24,12 +25,10 @@ def hierarchy_depth(df: DataFrame, pk: str, fk: str) -> DataFrame:
     once and never touched again; only rows still under way are rewritten.  When
     a round settles nothing, the rows left are on a cycle or below one.
     """
-    keys = df.select(F.col(pk).alias("_pk")).distinct()
-    has_parent = F.col("_pk").isNotNull()
-    start = df.select(F.col(pk).alias("id"), F.col(fk).alias("up")).join(keys, F.col("up") == F.col("_pk"), "left")
-    start = start.select(
-        "id", F.when(has_parent, F.col("up")).alias("up"), F.when(has_parent, 1).otherwise(0).alias("hops")
-    )
+    links = df.select(F.col(pk).alias("id"), F.col(fk).alias("up"))
+    below = links.join(df.select(F.col(pk).alias("up")).distinct(), "up", "left_semi").select("id", "up", F.lit(1).alias("hops"))
+    none = F.lit(None).cast(links.schema["up"].dataType).alias("up")
+    start = roots(links, "id", "up").select("id", none, F.lit(0).alias("hops")).union(below)
     rounds = _Rounds(df.sparkSession, "hierarchy", start.schema)
     number, current = 0, rounds.write(0, start)
     while not current.where("up IS NULL").isEmpty() and not current.where("up IS NOT NULL").isEmpty():

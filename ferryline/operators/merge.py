@@ -38,21 +38,31 @@ def latest_per_key(df: DataFrame, keys: list[str], order_by: list[str] | None =
     return df.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank")
 
 
+def without(df: DataFrame, taken: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of `df` whose key is not among the keys of `taken`.
+
+    A key with a NULL is never among them.  Such rows bypass the join, where they
+    would all meet in one task; parquet statistics skip that branch when there
+    are none.
+    """
+    keyed = taken.where(no_null_key(keys)).select(*keys).distinct()
+    free = df.where(no_null_key(keys)).join(keyed, keys, "left_anti").select(*df.columns)
+    return free.union(df.where(~no_null_key(keys)))
+
+
 def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str],
                  order_by: list[str] | None = None) -> DataFrame:
     """`target` after upserting `source`: matched rows replaced, others inserted, none deleted.
 
-    A key with a NULL matches nothing: such rows are inserted as they are and
-    take no part in any shuffle.
+    A key with a NULL matches nothing: such rows are inserted as they are.
     """
     keys = clean_keys(keys)
-    keyed = source.where(no_null_key(keys))
-    replaced = keyed.select(*keys).distinct()
-    return (
-        target.join(replaced, keys, "left_anti")
-        .unionByName(latest_per_key(keyed, keys, order_by))
-        .unionByName(source.where(~no_null_key(keys)))
-    )
+    return without(target, source, keys).unionByName(rows_to_write(source, keys, order_by))
+
+
+def rows_to_write(source: DataFrame, keys: list[str], order_by: list[str] | None = None) -> DataFrame:
+    """What an upsert writes of `source`: the last row of each key, and every row with a NULL in its key."""
+    return latest_per_key(source.where(no_null_key(keys)), keys, order_by).unionByName(source.where(~no_null_key(keys)))
 
 
 def merge_changes(target: DataFrame, source: DataFrame, keys: list[str],
@@ -60,7 +70,7 @@ def merge_changes(target: DataFrame, source: DataFrame, keys: list[str],
     """What the upsert will do with each source row: insert, update or unchanged."""
     keys = clean_keys(keys)
     values = [c for c in source.columns if c not in keys]
-    old = target.select(*keys, F.struct(*values).alias("_old"), F.lit(True).alias("_found"))
+    old = target.where(no_null_key(keys)).select(*keys, F.struct(*values).alias("_old"), F.lit(True).alias("_found"))
     keyed = latest_per_key(source.where(no_null_key(keys)), keys, order_by).join(old, keys, "left")
     label = (
         F.when(F.col("_found").isNull(), "insert")

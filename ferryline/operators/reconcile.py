@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ferryline.functions import ids
+from ferryline.session import one_row
 
 # Statuses, consistency verdicts and outcomes.
 SUCCESS, FAILED, BLOCKED = "SUCCESS", "FAILED", "BLOCKED"
@@ -75,6 +76,16 @@ def audit(rows: DataFrame) -> DataFrame:
     )
 
 
+def audit_counts(spark: SparkSession, mode: str, selected: int | None, before: int | None, after: int | None) -> Row:
+    """The verdict on one load whose counts are at hand."""
+    def count(value):
+        return F.lit(value).cast("bigint")
+
+    row = one_row(spark, write_mode=F.lit(mode), source_selected=count(selected), target_before=count(before),
+                  target_after=count(after))
+    return audit(row).first()
+
+
 def final_status(status: Column) -> Column:
     """One of the three final statuses; anything else has failed."""
     return F.when(status.isin(SUCCESS, FAILED, BLOCKED), status).otherwise(FAILED)

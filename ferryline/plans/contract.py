@@ -58,6 +58,7 @@ class TableLoad:
     where: str | None = None
     incremental: Incremental | None = None
     order_by: list[str] | None = None
+    snapshot: bool = False  # copy the selection before working on it: for databases and sources that change
 
     @property
     def is_incremental(self) -> bool:

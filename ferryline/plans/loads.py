@@ -12,15 +12,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferryline.functions.text import redact
 from ferryline.operators import selection
 from ferryline.operators.keys import key_duplicates, orphan_counts, orphans
 from ferryline.operators.merge import clean_keys
-from ferryline.operators.reconcile import INCONSISTENT, audit
+from ferryline.operators.reconcile import INCONSISTENT, SUCCESS, audit_counts
 from ferryline.operators.rows import VIOLATIONS, check_rows, is_rejected
 from ferryline.plans.contract import TableLoad
-from ferryline.session import materialize
-from ferryline.sources.state import STATE_SCHEMA, saved_cursor, write_state
+from ferryline.session import materialize, one_row
+from ferryline.sources.state import saved_cursor, write_state
 from ferryline.sources.tables import Staged, VersionedTable
 
 
@@ -50,13 +49,20 @@ class LoadResult:
 
 def full_load(load: TableLoad, source: DataFrame, target: VersionedTable, run_id: str,
               parents: dict[str, DataFrame] | None = None, rejects_path: str | None = None) -> LoadResult:
-    """Upsert the whole (filtered) source on the target's primary key; running it again changes nothing."""
+    """Upsert the whole (filtered) source on the target's primary key; running it again changes nothing.
+
+    The source is read once to check and count it and once to write it; the key
+    columns alone are read once more.  That is right for files.  With
+    `load.snapshot` it is read once and the rest works on the copy.
+    """
     result = LoadResult("UPSERT")
     keys = clean_keys(load.schema.primary_key)
     done = target.commit_of(run_id)
     if done:
         return _already_published(result, target)
     selected = selection.where(source, load.where)
+    if load.snapshot:
+        selected = materialize(selected, "snapshot")
     good = _accept(load, selected, result, parents or {}, rejects_path)
     staged = target.stage_upsert(good, keys, load.order_by)
     _finish(load, target, staged, result, run_id, parents or {})
@@ -170,9 +176,7 @@ def _finish(load: TableLoad, target: VersionedTable, staged: Staged, result: Loa
             if not orphan_counts(rows, rows, fk.column, fk.parent_column).isEmpty():
                 raise LoadFailed(f"rows without a parent for {fk.column}", result)
     result.target_before, result.target_after = staged.rows_before, staged.rows_after
-    counts = [(result.write_mode, result.source_selected, staged.rows_before, staged.rows_after)]
-    layout = "write_mode string, source_selected bigint, target_before bigint, target_after bigint"
-    verdict = audit(target.spark.createDataFrame(counts, layout)).first()
+    verdict = audit_counts(target.spark, result.write_mode, result.source_selected, staged.rows_before, staged.rows_after)
     result.target_net_delta = verdict["target_net_delta"]
     result.consistency, result.outcome = verdict["consistency"], verdict["outcome"]
     if result.consistency == INCONSISTENT:
@@ -185,15 +189,12 @@ def _finish(load: TableLoad, target: VersionedTable, staged: Staged, result: Loa
 
 def _save_cursor(spark: SparkSession, load: TableLoad, result: LoadResult, path: str, run_id: str, last: str) -> None:
     spec = load.incremental
-    record = [(load.target.id, load.source.id, load.target.id, spec.column, result.previous_value, last,
-               spec.batch_size, "SUCCESS", run_id, f"{run_id}-{load.target.id}", result.records_processed)]
-    names = [part.split()[0] for part in STATE_SCHEMA.split(",")]
-    layout = ", ".join(part.strip() for part in STATE_SCHEMA.split(",")[:-1])
-    saved = spark.createDataFrame(record, layout).withColumn("updated_at", F.localtimestamp()).select(*names)
-    write_state(saved.coalesce(1), path)
+    saved = one_row(
+        spark, state_key=F.lit(load.target.id), source_table=F.lit(load.source.id), target_table=F.lit(load.target.id),
+        column_name=F.lit(spec.column), previous_value=F.lit(result.previous_value), last_value=F.lit(last),
+        batch_size=F.lit(spec.batch_size).cast("bigint"), status=F.lit(SUCCESS), run_id=F.lit(run_id),
+        table_run_id=F.lit(f"{run_id}-{load.target.id}"), records_processed=F.lit(result.records_processed),
+        updated_at=F.localtimestamp(),
+    )
+    write_state(saved, path)
     result.last_value, result.state_updated = last, True
-
-
-def redacted(spark: SparkSession, message: str) -> str:
-    """A message as it may be written down."""
-    return spark.range(1).select(redact(F.lit(message))).first()[0]

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ferryline.operators.edges import included_edges, map_edges
-from ferryline.operators.graph import load_plan
+from ferryline.operators.graph import cycle_members
 from ferryline.operators.reconcile import BLOCKED, FAILED, SUCCESS
 from ferryline.plans.contract import TableLoad, validate
 from ferryline.plans.loads import LoadFailed, LoadResult, full_load, incremental_load
@@ -40,16 +41,42 @@ def declared_foreign_keys(spark: SparkSession, loads: list[TableLoad]) -> DataFr
     return spark.createDataFrame(rows, FK_SCHEMA)
 
 
-def plan_loads(spark: SparkSession, loads: list[TableLoad], fk_rows: DataFrame) -> tuple[list, list]:
-    """The plan (id, state, level) and the edges of a contract; as many rows as the contract names."""
+@dataclass
+class Plan:
+    levels: dict[str, int]  # executable tables and the level they load at
+    cyclic: list[str]
+    blocked: list[str]
+    parents: dict[str, list[str]]
+
+
+def plan_loads(spark: SparkSession, loads: list[TableLoad], fk_rows: DataFrame) -> Plan:
+    """Load order of the tables of one contract.
+
+    The foreign-key catalog is searched by a job.  What comes back are edges
+    between the tables the caller listed, few enough to walk here; for graphs
+    that are data themselves see `operators.graph.load_plan`.
+    """
     mapping = spark.createDataFrame(
         [(i, load.source.id, load.key) for i, load in enumerate(loads)],
         "ordinal int, source_id string, contract_key string",
     )
-    nodes = spark.createDataFrame([(load.key.strip().lower(),) for load in loads], "id string").distinct()
     edges = map_edges(included_edges(fk_rows, mapping.select("source_id")), mapping)
-    edges = edges.where("parent <> child").distinct()
-    return load_plan(nodes, edges).collect(), edges.collect()
+    pairs = sorted({(row["parent"], row["child"]) for row in edges.where("parent <> child").collect()})
+    parents: dict[str, list[str]] = {load.key.strip().lower(): [] for load in loads}
+    for parent, child in pairs:
+        parents[child].append(parent)
+    levels: dict[str, int] = {}
+    while free := [n for n in parents if n not in levels and all(p in levels for p in parents[n])]:
+        levels |= {n: max((levels[p] + 1 for p in parents[n]), default=0) for n in free}
+    stuck = sorted(set(parents) - set(levels))
+    inside = [pair for pair in pairs if pair[1] in stuck and pair[0] in stuck]
+    cyclic = _on_a_cycle(spark, inside) if inside else []
+    return Plan(levels, cyclic, [n for n in stuck if n not in cyclic], parents)
+
+
+def _on_a_cycle(spark: SparkSession, pairs: list[tuple[str, str]]) -> list[str]:
+    edges = spark.createDataFrame(pairs, "parent string, child string")
+    return sorted(row["id"] for row in cycle_members(edges).collect())
 
 
 def migrate(spark: SparkSession, loads: list[TableLoad], sources: dict[str, DataFrame],
@@ -63,32 +90,28 @@ def migrate(spark: SparkSession, loads: list[TableLoad], sources: dict[str, Data
     """
     loads = validate(loads)
     by_id = {load.key.strip().lower(): load for load in loads}
-    plan, edges = plan_loads(spark, loads, fk_rows if fk_rows is not None else declared_foreign_keys(spark, loads))
-    parents_of: dict[str, list[str]] = {}
-    for parent, child in sorted((row["parent"], row["child"]) for row in edges):
-        parents_of.setdefault(child, []).append(parent)
-    order = sorted((row["level"], row["id"]) for row in plan if row["state"] == "executable")
+    plan = plan_loads(spark, loads, fk_rows if fk_rows is not None else declared_foreign_keys(spark, loads))
     stopped: set[str] = set()
     traces: list[dict] = []
 
     def run(name: str, number: int) -> dict:
         load = by_id[name]
-        blockers = [p for p in parents_of.get(name, []) if p in stopped]
+        blockers = [p for p in plan.parents[name] if p in stopped]
         if blockers:
             return _trace(load, run_id, number, BLOCKED, f"not run: parents failed: {', '.join(blockers)}")
-        parents = {by_id[p].target.id: targets[by_id[p].key].read() for p in parents_of.get(name, [])}
+        parents = {by_id[p].target.id: targets[by_id[p].key].read() for p in plan.parents[name]}
         return _run_one(load, sources[load.key], targets[load.key], run_id, number, folder, parents)
 
     with ThreadPoolExecutor(concurrency) as pool:
-        for level in sorted({level for level, _ in order}):
-            names = [name for at, name in order if at == level]
+        for level in sorted(set(plan.levels.values())):
+            names = sorted(name for name, at in plan.levels.items() if at == level)
             first = len(traces) + 1
             for name, trace in zip(names, pool.map(run, names, range(first, first + len(names)))):
                 traces.append({**trace, "level": level})
                 if trace["status"] != SUCCESS:
                     stopped.add(name)
-    for state, status, reason in (("cyclic", FAILED, CYCLIC_REASON), ("blocked", BLOCKED, BELOW_CYCLE_REASON)):
-        for name in sorted(row["id"] for row in plan if row["state"] == state):
+    for stuck, status, reason in ((plan.cyclic, FAILED, CYCLIC_REASON), (plan.blocked, BLOCKED, BELOW_CYCLE_REASON)):
+        for name in stuck:
             traces.append(_trace(by_id[name], run_id, len(traces) + 1, status, reason, status))
     _record_errors(spark, traces, folder)
     write_trace(spark.createDataFrame([_trace_row(t) for t in traces], TRACE_SCHEMA), f"{folder}/traces")
@@ -160,10 +183,8 @@ def _record_errors(spark: SparkSession, traces: list[dict], folder: str) -> None
         write_errors(spark.createDataFrame(rows, ERROR_SCHEMA), f"{folder}/errors")
 
 
-def _verdict(traces: list[dict], plan: list, strict: bool, written: DataFrame) -> None:
+def _verdict(traces: list[dict], plan: Plan, strict: bool, written: DataFrame) -> None:
     failed = sum(t["status"] == FAILED for t in traces)
     blocked = sum(t["status"] == BLOCKED for t in traces)
-    cyclic = sum(row["state"] == "cyclic" for row in plan)
-    below = sum(row["state"] == "blocked" for row in plan)
-    if strict and (failed > cyclic or blocked > below):
+    if strict and (failed > len(plan.cyclic) or blocked > len(plan.blocked)):
         raise MigrationFailed(f"the run ended with {failed} failed and {blocked} blocked tables", written)

@@ -117,12 +117,12 @@ def next_batch(spark, d):
 
 @query("next_batch_ties", """
     WITH later AS (SELECT o_orderkey, o_orderdate, o_orderstatus FROM orders
-                   WHERE o_orderdate > TIMESTAMP '1996-01-01 00:00:00')
+                   WHERE o_orderdate > TIMESTAMP '1996-01-02 00:00:00')
     SELECT o_orderkey, o_orderdate, o_orderstatus FROM (
         SELECT *, rank() OVER (ORDER BY o_orderdate) AS r FROM later) WHERE r <= 1000
 """)
 def next_batch_ties(spark, d):
-    rows = S.next_batch_with_ties(scan(spark, "orders", d), "o_orderdate", "1996-01-01 00:00:00")
+    rows = S.next_batch_with_ties(scan(spark, "orders", d), "o_orderdate", "1996-01-02 00:00:00")
     return rows.select("o_orderkey", "o_orderdate", "o_orderstatus")
 
 

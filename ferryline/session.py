@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -59,3 +59,31 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """One table that is replaced over and over, such as the state of an iteration.
+
+    The old rows are deleted once the new ones are written, so a long iteration
+    holds two copies and not one per round.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.folder, self.number = spark, new_folder(spark, label), 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.number += 1
+        path = f"{self.folder}/{self.number}"
+        df.write.parquet(path)
+        if self.number > 1:
+            self._delete(f"{self.folder}/{self.number - 1}")
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _delete(self, path: str) -> None:
+        old = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+
+def one_row(spark: SparkSession, **values: Column) -> DataFrame:
+    """A single row of expressions, made inside the JVM."""
+    return spark.range(0, 1, 1, 1).select(*[value.alias(name) for name, value in values.items()])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +34,8 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
     """The saved cursor of every target; empty before the first save."""
     try:
         records = spark.read.schema(STATE_SCHEMA).json(path)
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         records = spark.createDataFrame([], STATE_SCHEMA)
     return latest_state(records)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferryline.operators.merge import clean_keys, merge_upsert, no_null_key
+from ferryline.operators.merge import clean_keys, merge_upsert, no_null_key, rows_to_write
+from ferryline.session import one_row
 
 BUCKET = "load_bucket"
 VERSION = "load_version"
@@ -57,23 +61,23 @@ class VersionedTable:
 
     # -- reading --------------------------------------------------------------
 
-    def _log(self) -> DataFrame:
-        empty = self.spark.createDataFrame([], LOG_SCHEMA)
+    def _newest(self, condition: Column | str = "true") -> dict | None:
+        """The newest commit that meets a condition; None before the first."""
         try:
-            return self.spark.read.schema(LOG_SCHEMA).json(f"{self.path}/commits")
-        except Exception as missing:  # nothing was committed yet
-            if "PATH_NOT_FOUND" in str(missing):
-                return empty
+            log = self.spark.read.schema(LOG_SCHEMA).json(f"{self.path}/commits")
+        except AnalysisException as missing:
+            if missing.getCondition() == "PATH_NOT_FOUND":
+                return None
             raise
+        found = log.where(condition).orderBy(F.col("version").desc()).limit(1).collect()
+        return found[0].asDict(recursive=True) if found else None
 
     def _latest(self) -> dict | None:
-        row = self._log().orderBy(F.col("version").desc()).limit(1).collect()
-        return row[0].asDict(recursive=True) if row else None
+        return self._newest()
 
     def commit_of(self, run_id: str) -> dict | None:
         """The commit a run made, for a run that is started again."""
-        row = self._log().where(F.col("run_id") == run_id).orderBy(F.col("version").desc()).limit(1).collect()
-        return row[0].asDict(recursive=True) if row else None
+        return self._newest(F.col("run_id") == run_id)
 
     def read(self) -> DataFrame:
         """The rows of the newest published version."""
@@ -135,8 +139,11 @@ class VersionedTable:
             hit = {r[0] for r in df.select(self._bucket()).distinct().collect()}  # at most `buckets` values
             touched = [part for part in live if part["bucket"] in hit]
             carried = [part for part in live if part["bucket"] not in hit]
-        merged = merge_upsert(self._rows(touched), df.select(*self.schema.names), keys, order_by)
-        rewritten = self._write(merged, version)
+        rows = df.select(*self.schema.names)
+        if any(part["n_rows"] for part in touched):
+            rewritten = self._write(merge_upsert(self._rows(touched), rows, keys, order_by), version)
+        else:
+            rewritten = self._write(rows_to_write(rows, keys, order_by), version)
         live = carried + rewritten
         return Staged(version, live, before, sum(part["n_rows"] for part in live))
 
@@ -147,5 +154,4 @@ class VersionedTable:
         """Make a staged version the one in force: one row, one file, one rename."""
         row = {"version": staged.version, "run_id": run_id, "cursor": cursor, "buckets": self.buckets,
                "live": staged.live}
-        one = self.spark.createDataFrame([row], LOG_SCHEMA).coalesce(1)
-        one.write.mode("append").json(f"{self.path}/commits")
+        one_row(self.spark, value=F.lit(json.dumps(row))).write.mode("append").text(f"{self.path}/commits")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferryline.operators.merge import clean_keys, no_null_key
-from ferryline.operators.reconcile import INCONSISTENT, audit
+from ferryline.operators.merge import clean_keys, without
+from ferryline.operators.reconcile import INCONSISTENT, audit_counts
 from ferryline.operators.selection import _literal
 from ferryline.session import materialize
 from ferryline.sources.tables import VersionedTable
@@ -27,10 +27,9 @@ def stream_upsert(stream: DataFrame, target: VersionedTable, keys: list[str], ch
             return
         rows = materialize(batch, "micro-batch")
         staged = target.stage_upsert(rows, keys, order_by, small_batch=True)
-        counts = [("UPSERT", rows.count(), staged.rows_before, staged.rows_after)]
-        layout = "write_mode string, source_selected bigint, target_before bigint, target_after bigint"
-        if audit(batch.sparkSession.createDataFrame(counts, layout)).first()["consistency"] == INCONSISTENT:
-            raise RuntimeError(f"batch {batch_id}: source and target disagree: {counts[0]}")
+        verdict = audit_counts(rows.sparkSession, "UPSERT", rows.count(), staged.rows_before, staged.rows_after)
+        if verdict["consistency"] == INCONSISTENT:
+            raise RuntimeError(f"batch {batch_id}: source and target disagree: {verdict}")
         target.publish(staged, run_id)
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
@@ -42,4 +41,4 @@ def stream_upsert(stream: DataFrame, target: VersionedTable, keys: list[str], ch
 def late_rows(source: DataFrame, target: DataFrame, cursor: str, last, keys: list[str]) -> DataFrame:
     """Source rows at or before the saved cursor that the target does not have."""
     passed = source.where(F.col(cursor) <= _literal(source, cursor, last))
-    return passed.join(target.where(no_null_key(keys)).select(*keys), keys, "left_anti")
+    return without(passed, target, keys)
