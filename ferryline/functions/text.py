@@ -29,10 +29,18 @@ def _rewrite(value: Column, rules: list[tuple[str, str]]) -> Column:
     return reduce(lambda text, rule: F.regexp_replace(text, rule[0], rule[1]), rules, value)
 
 
+def _may_hold_secret(message: Column) -> Column:
+    """False only where no rule can match: a plain substring search, much cheaper than six patterns."""
+    lower = F.lower(message)
+    marks = [*SECRET_KEYS.split("|"), "bearer", "://"]
+    return reduce(lambda left, right: left | right, [lower.contains(mark) for mark in marks])
+
+
 def redact(message: Column) -> Column:
     """A message with its secrets masked; a fixed text if there is no message."""
     blank = F.coalesce(message.rlike(r"^\p{javaWhitespace}*$"), F.lit(True))
-    return F.when(blank, F.lit(EMPTY_MESSAGE)).otherwise(_rewrite(message, MESSAGE_RULES))
+    masked = F.when(_may_hold_secret(message), _rewrite(message, MESSAGE_RULES)).otherwise(message)
+    return F.when(blank, F.lit(EMPTY_MESSAGE)).otherwise(masked)
 
 
 def redact_url(url: Column) -> Column:

@@ -86,18 +86,19 @@ def _parts(spark, d):
 
 
 @query("row_violations", """
+    SELECT CAST(p_partkey AS INTEGER) AS p_partkey, column_name, rule FROM (
     SELECT p_partkey, 'p_name' AS column_name, 'too_long' AS rule FROM part WHERE length(p_name) > 9
     UNION ALL SELECT p_partkey, 'p_brand', 'bad_cast' FROM part WHERE p_size > 40
     UNION ALL SELECT p_partkey, 'p_type', 'not_null' FROM part WHERE p_type = 'PROMO'
     UNION ALL SELECT p_partkey, 'p_size', 'overflow' FROM part WHERE p_size * 4 > 127
-    UNION ALL SELECT p_partkey, 'p_retailprice', 'overflow' FROM part WHERE round(p_retailprice, 2) >= 1000
+    UNION ALL SELECT p_partkey, 'p_retailprice', 'overflow' FROM part WHERE round(p_retailprice, 2) >= 1000)
 """)
 def row_violations(spark, d):
     return R.row_violations(_parts(spark, d), _part_target(), ["p_partkey"])
 
 
 @query("split_rejects", """
-    SELECT p_partkey, length(p_name) > 9 OR p_size > 40 OR p_type = 'PROMO' OR p_size * 4 > 127
+    SELECT CAST(p_partkey AS INTEGER) AS p_partkey, length(p_name) > 9 OR p_size > 40 OR p_type = 'PROMO' OR p_size * 4 > 127
                       OR round(p_retailprice, 2) >= 1000 AS rejected
     FROM part
 """)

@@ -143,7 +143,7 @@ def _traces(spark, d):
 TRACES_SQL = f"""
     {COUNTS_SQL},
     traces AS (
-        SELECT 'run-' || o_custkey AS run_id, o_orderkey AS load_order, 'public.t' || o_orderkey AS table_id,
+        SELECT 'run-' || o_custkey AS run_id, CAST(o_orderkey AS INTEGER) AS load_order, 'public.t' || o_orderkey AS table_id,
                CASE WHEN o_orderdate >= TIMESTAMP '2001-01-01 00:00:00' THEN 'BLOCKED' ELSE status END AS status,
                CASE WHEN o_orderdate >= TIMESTAMP '2001-01-01 00:00:00' THEN 'parent failed'
                     WHEN status = 'FAILED' THEN 'audit password={{secret}}' END AS reason,
