@@ -65,7 +65,7 @@ def full_load(load: TableLoad, source: DataFrame, target: VersionedTable, run_id
         selected = materialize(selected, "snapshot")
     good = _accept(load, selected, result, parents or {}, rejects_path)
     staged = target.stage_upsert(good, keys, load.order_by)
-    _finish(load, target, staged, result, run_id, parents or {})
+    _finish(load, target, staged, result, run_id)
     return result
 
 
@@ -103,7 +103,7 @@ def incremental_load(load: TableLoad, source: DataFrame, target: VersionedTable,
         order = load.order_by or [spec.column]
         staged = target.stage_upsert(good, keys, order, small_batch=True)
     last = batch.agg(F.max(spec.column).cast("string")).first()[0]
-    _finish(load, target, staged, result, run_id, parents or {}, cursor=last)
+    _finish(load, target, staged, result, run_id, cursor=last)
     if last and last.strip():
         _save_cursor(spark, load, result, state_path, run_id, last)
     return result
@@ -156,7 +156,7 @@ def _write_rejects(load: TableLoad, checked: DataFrame, parents: dict, missing:
 
 def _forbid_taken_keys(load: TableLoad, batch: DataFrame, target: VersionedTable, result: LoadResult) -> None:
     keys = load.schema.primary_key
-    if not keys:
+    if not keys or target.enforces_constraints:
         return
     if not key_duplicates(batch, keys).isEmpty():
         raise LoadFailed("an INSERT batch repeats a primary key", result)
@@ -165,16 +165,10 @@ def _forbid_taken_keys(load: TableLoad, batch: DataFrame, target: VersionedTable
 
 
 def _finish(load: TableLoad, target: VersionedTable, staged: Staged, result: LoadResult, run_id: str,
-            parents: dict[str, DataFrame], cursor: str | None = None) -> None:
+            cursor: str | None = None) -> None:
     """Audit what was written and publish it if the audit holds."""
-    for column in load.schema.unique:
-        if not key_duplicates(target.staged_rows(staged), [column]).isEmpty():
-            raise LoadFailed(f"values of the unique column {column} repeat", result)
-    for fk in load.schema.foreign_keys:
-        if fk.parent == load.target.id:
-            rows = target.staged_rows(staged)
-            if not orphan_counts(rows, rows, fk.column, fk.parent_column).isEmpty():
-                raise LoadFailed(f"rows without a parent for {fk.column}", result)
+    if not target.enforces_constraints:
+        _check_merged(load, target, staged, result)
     result.target_before, result.target_after = staged.rows_before, staged.rows_after
     verdict = audit_counts(target.spark, result.write_mode, result.source_selected, staged.rows_before, staged.rows_after)
     result.target_net_delta = verdict["target_net_delta"]
@@ -187,6 +181,18 @@ def _finish(load: TableLoad, target: VersionedTable, staged: Staged, result: Loa
     target.publish(staged, run_id, cursor)
 
 
+def _check_merged(load: TableLoad, target: VersionedTable, staged: Staged, result: LoadResult) -> None:
+    """UNIQUE columns and keys to the table itself, on the rows as they would be published."""
+    for column in load.schema.unique:
+        if not key_duplicates(target.staged_rows(staged), [column]).isEmpty():
+            raise LoadFailed(f"values of the unique column {column} repeat", result)
+    for fk in load.schema.foreign_keys:
+        if fk.parent == load.target.id:
+            rows = target.staged_rows(staged)
+            if not orphan_counts(rows, rows, fk.column, fk.parent_column).isEmpty():
+                raise LoadFailed(f"rows without a parent for {fk.column}", result)
+
+
 def _save_cursor(spark: SparkSession, load: TableLoad, result: LoadResult, path: str, run_id: str, last: str) -> None:
     spec = load.incremental
     saved = one_row(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferryline.functions.types import jdbc_code
@@ -42,26 +43,65 @@ def declared_catalog(spark: SparkSession, tables: dict[str, TargetSchema]) -> di
     }
 
 
+# JDBC codes of the type names in an information schema.
+TYPE_NAMES = {
+    "smallint": 5, "integer": 4, "bigint": -5, "real": 7, "double precision": 8, "numeric": 2, "decimal": 3,
+    "character": 1, "character varying": 12, "varchar": 12, "text": 12, "date": 91, "time without time zone": 92,
+    "timestamp": 93, "timestamp without time zone": 93, "timestamp with time zone": 93, "boolean": -7, "bytea": -2,
+}
+
+TABLE_ID = "LOWER({0}.table_schema || '.' || {0}.table_name)"
+COLUMNS_QUERY = f"""
+    SELECT {TABLE_ID.format('c')} AS table_id, c.column_name, LOWER(c.data_type) AS type_name,
+           c.character_maximum_length AS size, c.is_nullable
+    FROM information_schema.columns c
+    WHERE c.table_schema <> 'information_schema' AND c.table_schema <> 'pg_catalog'
+"""
+KEYS_QUERY = f"""
+    SELECT {TABLE_ID.format('k')} AS table_id, k.constraint_name AS index_name, k.column_name, t.constraint_type
+    FROM information_schema.table_constraints t
+    JOIN information_schema.key_column_usage k
+      ON k.constraint_schema = t.constraint_schema AND k.constraint_name = t.constraint_name
+     AND k.table_name = t.table_name
+    WHERE t.constraint_type = 'PRIMARY KEY' OR t.constraint_type = 'UNIQUE'
+"""
+FOREIGN_KEYS_QUERY = f"""
+    SELECT {TABLE_ID.format('f')} AS table_id, f.constraint_name AS fk_name, f.ordinal_position AS ordinal,
+           f.table_schema AS fk_schema, f.table_name AS fk_table, f.column_name,
+           p.table_schema AS ref_schema, p.table_name AS ref_table, {TABLE_ID.format('p')} AS ref_id,
+           p.column_name AS ref_column
+    FROM information_schema.referential_constraints r
+    JOIN information_schema.key_column_usage f
+      ON f.constraint_schema = r.constraint_schema AND f.constraint_name = r.constraint_name
+    JOIN information_schema.key_column_usage p
+      ON p.constraint_schema = r.unique_constraint_schema AND p.constraint_name = r.unique_constraint_name
+     AND p.ordinal_position = f.position_in_unique_constraint
+"""
+
+
+def database_catalog(spark: SparkSession, connection: Connection) -> dict[str, DataFrame]:
+    """The four catalog frames of a database with an information schema."""
+    columns = jdbc_query(spark, connection, COLUMNS_QUERY)
+    keys = jdbc_query(spark, connection, KEYS_QUERY)
+    codes = F.create_map(*[F.lit(part) for pair in TYPE_NAMES.items() for part in pair])
+    return {
+        "columns": columns.select(
+            "table_id", "column_name", F.coalesce(F.try_element_at(codes, "type_name"), F.lit(1111)).alias("jdbc_type"),
+            "type_name", F.col("size").cast("int"), (F.upper("is_nullable") == "YES").alias("nullable")),
+        "primary_keys": keys.where("constraint_type = 'PRIMARY KEY'").select("table_id", "column_name"),
+        "foreign_keys": jdbc_query(spark, connection, FOREIGN_KEYS_QUERY).drop("fk_schema", "fk_table", "fk_name"),
+        "index_rows": keys.select("table_id", "index_name", "column_name", F.lit(False).alias("non_unique")),
+    }
+
+
 def database_foreign_keys(spark: SparkSession, connection: Connection) -> DataFrame:
-    """Foreign-key rows (pk_schema, pk_table, fk_schema, fk_table) of a database with an information schema."""
-    return jdbc_query(spark, connection, """
-        SELECT DISTINCT p.table_schema AS pk_schema, p.table_name AS pk_table,
-               c.table_schema AS fk_schema, c.table_name AS fk_table
-        FROM information_schema.referential_constraints r
-        JOIN information_schema.table_constraints c
-          ON c.constraint_schema = r.constraint_schema AND c.constraint_name = r.constraint_name
-        JOIN information_schema.table_constraints p
-          ON p.constraint_schema = r.unique_constraint_schema AND p.constraint_name = r.unique_constraint_name
-    """)
-
-
-def database_primary_keys(spark: SparkSession, connection: Connection) -> DataFrame:
-    """Primary-key rows (schema_name, table_name, column_name, ordinal) of a database with an information schema."""
-    return jdbc_query(spark, connection, """
-        SELECT k.table_schema AS schema_name, k.table_name, k.column_name, k.ordinal_position AS ordinal
-        FROM information_schema.table_constraints c
-        JOIN information_schema.key_column_usage k
-          ON k.constraint_schema = c.constraint_schema AND k.constraint_name = c.constraint_name
-         AND k.table_name = c.table_name
-        WHERE c.constraint_type = 'PRIMARY KEY'
-    """)
+    """Foreign-key rows of a database, as `migrate` takes them."""
+    keys = jdbc_query(spark, connection, FOREIGN_KEYS_QUERY)
+    return keys.select(F.col("ref_schema").alias("pk_schema"), F.col("ref_table").alias("pk_table"), "fk_schema", "fk_table")
+
+
+def database_self_references(spark: SparkSession, connection: Connection) -> DataFrame:
+    """Foreign-key rows of a database, as `operators.edges.self_references` takes them."""
+    keys = jdbc_query(spark, connection, FOREIGN_KEYS_QUERY)
+    return keys.select("table_id", "ref_id", "fk_name", F.col("column_name").alias("fk_column"),
+                       F.col("ref_column").alias("pk_column"))

@@ -1,7 +1,7 @@
-"""Databases by JDBC: parallel reads, appends, and upserts by a staging table.
+"""Databases by JDBC: parallel reads, appends, and targets that upsert.
 
-Spark's writer has no upsert.  `jdbc_upsert` writes the rows to a staging table
-in parallel and then has the database merge it in one statement.
+Spark's writer has no upsert.  `JdbcTable` writes the rows to a staging table in
+parallel and then has the database merge it in one statement.
 """
 
 from __future__ import annotations
@@ -9,6 +9,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ferryline.operators.merge import clean_keys, rows_to_write
+from ferryline.session import one_row
 
 DEFAULT_DRIVER = "org.postgresql.Driver"  # fixed value
 
@@ -41,7 +45,7 @@ class Connection:
 
 
 def jdbc_scan(spark: SparkSession, connection: Connection, table: str, partition_column: str | None = None,
-              partitions: int = 8, fetch_size: int = 10_000) -> DataFrame:
+              partitions: int = 64, fetch_size: int = 10_000) -> DataFrame:
     """A table, read by `partitions` connections over ranges of a numeric or temporal column.
 
     Filters and column choices made on the result are pushed to the database.
@@ -95,23 +99,98 @@ def merge_statement(database: str, table: str, staging: str, columns: list[str],
     return f"MERGE INTO {table} t USING {staging} s ON ({match}) {update}{insert}{end}"
 
 
-def jdbc_upsert(df: DataFrame, connection: Connection, table: str, staging: str, keys: list[str]) -> None:
-    """Upsert one row per key: parallel write to `staging`, then one statement in the database."""
-    df.write.format("jdbc").options(**connection.options).option("dbtable", staging).mode("overwrite").save()
-    _execute(df.sparkSession, connection, merge_statement(connection.database, table, staging, df.columns, keys))
+def insert_statement(table: str, staging: str, columns: list[str]) -> str:
+    names = ", ".join(columns)
+    return f"INSERT INTO {table} ({names}) SELECT {names} FROM {staging}"
+
+
+def new_rows_query(table: str, staging: str, keys: list[str]) -> str:
+    """How many staged rows the target does not have yet."""
+    match = " AND ".join(f"t.{k} = s.{k}" for k in keys)
+    return f"SELECT COUNT(*) AS n FROM {staging} s WHERE NOT EXISTS (SELECT 1 FROM {table} t WHERE {match})"
+
+
+@dataclass
+class JdbcStaged:
+    statement: str
+    rows_before: int
+    rows_after: int
+
+
+class JdbcTable:
+    """A database table as the target of a load; used like a `VersionedTable`.
+
+    Rows go to a staging table in parallel.  Publishing merges them and writes
+    the run into a log table in one transaction, so a run started again finds
+    itself there.  The database enforces its own keys.
+    """
+
+    enforces_constraints = True
+
+    def __init__(self, spark: SparkSession, connection: Connection, table: str, keys: list[str] | None = None,
+                 staging: str | None = None, log: str = "ferryline_runs"):
+        self.spark, self.connection, self.table, self.keys = spark, connection, table, keys or []
+        self.staging, self.log = staging or f"{table}_staged", log
+
+    def read(self) -> DataFrame:
+        return jdbc_scan(self.spark, self.connection, self.table)
+
+    def count(self) -> int:
+        return self._number(f"SELECT COUNT(*) AS n FROM {self.table}")
+
+    def commit_of(self, run_id: str) -> dict | None:
+        self._ensure_log()
+        runs = self.spark.read.format("jdbc").options(**self.connection.options).option("dbtable", self.log).load()
+        found = runs.where((F.col("table_name") == self.table) & (F.col("run_id") == run_id)).limit(1).collect()
+        return {"run_id": run_id, "cursor": found[0]["last_value"]} if found else None
+
+    def stage_append(self, df: DataFrame) -> JdbcStaged:
+        self._stage(df)
+        before, added = self.count(), self._number(f"SELECT COUNT(*) AS n FROM {self.staging}")
+        return JdbcStaged(insert_statement(self.table, self.staging, df.columns), before, before + added)
+
+    def stage_upsert(self, df: DataFrame, keys: list[str] | None = None, order_by: list[str] | None = None,
+                     small_batch: bool = False) -> JdbcStaged:
+        keys = clean_keys(keys or self.keys)
+        self._stage(rows_to_write(df, keys, order_by))
+        before, added = self.count(), self._number(new_rows_query(self.table, self.staging, keys))
+        statement = merge_statement(self.connection.database, self.table, self.staging, df.columns, keys)
+        return JdbcStaged(statement, before, before + added)
+
+    def publish(self, staged: JdbcStaged, run_id: str, cursor: str | None = None) -> None:
+        self._ensure_log()
+        logged = f"INSERT INTO {self.log} (table_name, run_id, last_value) VALUES (?, ?, ?)"
+        _transaction(self.spark, self.connection, [(staged.statement, []), (logged, [self.table, run_id, cursor])])
+
+    def _stage(self, df: DataFrame) -> None:
+        df.write.format("jdbc").options(**self.connection.options).option("dbtable", self.staging).mode("overwrite").save()
+
+    def _number(self, query: str) -> int:
+        return int(jdbc_query(self.spark, self.connection, query).first()[0])
+
+    def _ensure_log(self) -> None:
+        none = one_row(self.spark, table_name=F.lit(""), run_id=F.lit(""), last_value=F.lit("")).where("false")
+        none.write.format("jdbc").options(**self.connection.options).option("dbtable", self.log).mode("append").save()
 
 
-def _execute(spark: SparkSession, connection: Connection, statement: str) -> None:
-    """Run one statement over the driver's JDBC connection."""
+def _transaction(spark: SparkSession, connection: Connection, statements: list[tuple[str, list]]) -> None:
+    """Run statements over the driver's JDBC connection, all or none."""
     jvm = spark.sparkContext._jvm
     registry = jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry
-    registry.register(connection.options["driver"])
+    driver = connection.options["driver"]
+    registry.register(driver)
     properties = jvm.java.util.Properties()
     for key in ("user", "password"):
         if key in connection.options:
             properties.setProperty(key, connection.options[key])
-    opened = registry.get(connection.options["driver"]).connect(connection.url, properties)
+    opened = registry.get(driver).connect(connection.url, properties)
     try:
-        opened.createStatement().execute(statement)
+        opened.setAutoCommit(False)
+        for text, values in statements:
+            statement = opened.prepareStatement(text)
+            for place, value in enumerate(values, 1):
+                statement.setString(place, value)
+            statement.execute()
+        opened.commit()
     finally:
         opened.close()

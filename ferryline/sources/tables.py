@@ -51,6 +51,8 @@ class VersionedTable:
     One writer at a time per table.
     """
 
+    enforces_constraints = False
+
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType,
                  keys: list[str] | None = None, buckets: int | None = None):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema

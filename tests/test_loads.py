@@ -7,7 +7,7 @@ from ferryline.operators.rows import ForeignKey, TargetSchema
 from ferryline.plans import contract as C
 from ferryline.plans.loads import LoadFailed, full_load, incremental_load, incremental_loads
 from ferryline.plans.migrate import MigrationFailed, migrate
-from ferryline.sources.jdbc import Connection, merge_statement
+from ferryline.sources.jdbc import Connection
 from ferryline.sources.state import read_state, saved_cursor
 from ferryline.sources.tables import VersionedTable
 from ferryline.streaming.upsert import late_rows, stream_upsert
@@ -246,13 +246,3 @@ def test_connection():
     assert Connection("jdbc:oracle:thin:@h").database == "Oracle"
     assert Connection("jdbc:mariadb://h").database == "MariaDB"
     assert Connection("jdbc:postgresql://h").database == "PostgreSQL"
-
-
-@pytest.mark.parametrize("database, expected", [
-    ("PostgreSQL", "INSERT INTO t (k, v) SELECT k, v FROM s ON CONFLICT (k) DO UPDATE SET v = EXCLUDED.v"),
-    ("MySQL", "INSERT INTO t (k, v) SELECT k, v FROM s ON DUPLICATE KEY UPDATE v = VALUES(v)"),
-    ("Oracle", "MERGE INTO t t USING s s ON (t.k = s.k) WHEN MATCHED THEN UPDATE SET t.v = s.v "
-               "WHEN NOT MATCHED THEN INSERT (k, v) VALUES (s.k, s.v)"),
-])
-def test_merge_statement(database, expected):
-    assert merge_statement(database, "t", "s", ["k", "v"], ["k"]) == expected
