@@ -35,6 +35,11 @@ def clean_edges(edges: DataFrame, included: DataFrame) -> DataFrame:
     return _only(_only(named.where("parent <> child").distinct(), "parent", nodes), "child", nodes)
 
 
+def ordered_names(nodes: DataFrame) -> DataFrame:
+    """Distinct table names in normal form, in the order used wherever order is free."""
+    return nodes.select(ids.normalize_id(F.col(nodes.columns[0])).alias("id")).distinct().orderBy("id")
+
+
 def included_edges(fk_rows: DataFrame, included: DataFrame) -> DataFrame:
     """Edges of foreign-key catalog rows (pk_schema, pk_table, fk_schema, fk_table) within a set of table ids."""
     edges = fk_rows.select(

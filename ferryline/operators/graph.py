@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,23 +27,37 @@ class CycleError(ValueError):
 
 
 class _Rounds:
-    """Rows written round by round below one folder, readable as one table."""
+    """Rows written round by round below one folder, settled ones apart from those still open.
 
-    def __init__(self, spark, label: str, schema):
-        self.spark, self.schema = spark, schema
+    Each side is a partition of its own: reading the settled rows of all rounds,
+    or the open rows of the last one, touches no other file.
+    """
+
+    def __init__(self, spark, label: str, schema: T.StructType):
+        self.spark, self.number = spark, -1
+        self.names = schema.names
+        self.layout = T.StructType([
+            *schema.fields, T.StructField("round", T.IntegerType()), T.StructField("settled", T.BooleanType())])
         self.folder = new_folder(spark, label)
 
-    def write(self, number: int, df: DataFrame) -> DataFrame:
-        df.select(*self.schema.names).write.parquet(f"{self.folder}/round={number}")
-        return self.read(number)
+    def write(self, df: DataFrame, settled: Column) -> None:
+        self.number += 1
+        rows = df.select(*self.names, settled.alias("settled"))
+        rows.write.partitionBy("settled").parquet(f"{self.folder}/round={self.number}")
+
+    def _last(self) -> DataFrame:
+        reader = self.spark.read.schema(self.layout).option("basePath", self.folder)
+        return reader.parquet(f"{self.folder}/round={self.number}")
+
+    def settled_now(self) -> DataFrame:
+        return self._last().where("settled").select(*self.names)
 
-    def read(self, number: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/round={number}")
+    def open(self) -> DataFrame:
+        return self._last().where("NOT settled").select(*self.names)
 
-    def all(self) -> DataFrame:
-        """Every round so far, with its number in `round`."""
-        with_round = T.StructType([*self.schema.fields, T.StructField("round", T.IntegerType())])
-        return self.spark.read.schema(with_round).parquet(self.folder)
+    def settled(self) -> DataFrame:
+        """All rows settled so far, with the round it happened in."""
+        return self.spark.read.schema(self.layout).parquet(self.folder).where("settled").select(*self.names, "round")
 
 
 def _within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -72,14 +86,14 @@ def _levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     zero, one = F.lit(0).cast("bigint").alias("waits_for"), F.lit(1).cast("bigint").alias("waits_for")
     start = counted(nodes.select("id", zero), edges.select("child", one))
     rounds = _Rounds(nodes.sparkSession, "levels", start.schema)
-    number, current = 0, rounds.write(0, start)
-    while not current.where("waits_for = 0").isEmpty():
-        freed = current.where("waits_for = 0").select(F.col("id").alias("parent"))
-        served = edges.join(freed, "parent").select("child", F.lit(-1).cast("bigint"))
-        number += 1
-        current = rounds.write(number, counted(current.where("waits_for > 0"), served))
-    settled = rounds.all().where("waits_for = 0").select("id", F.col("round").alias("level"))
-    return settled.unionByName(current.select("id", F.lit(None).cast("int").alias("level")))
+    is_free = F.col("waits_for") == 0
+    rounds.write(start, is_free)
+    while not (freed := rounds.settled_now()).isEmpty():
+        parents = freed.select(F.col("id").alias("parent"))
+        served = edges.join(parents, "parent").select("child", F.lit(-1).cast("bigint"))
+        rounds.write(counted(rounds.open(), served), is_free)
+    settled = rounds.settled().select("id", F.col("round").alias("level"))
+    return settled.unionByName(rounds.open().select("id", F.lit(None).cast("int").alias("level")))
 
 
 def stuck_nodes(levels: DataFrame) -> DataFrame:
@@ -104,13 +118,12 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def _reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     start = seeds.select("id").distinct()
     rounds = _Rounds(edges.sparkSession, "reachable", start.schema)
-    number, frontier = 0, rounds.write(0, start)
-    while not frontier.isEmpty():
-        seen = rounds.all().select("id")
+    rounds.write(start, F.lit(True))
+    while not (frontier := rounds.settled_now()).isEmpty():
+        seen = rounds.settled().select("id")
         below = edges.join(frontier.select(F.col("id").alias("parent")), "parent").select(F.col("child").alias("id"))
-        number += 1
-        frontier = rounds.write(number, below.distinct().join(seen, "id", "left_anti"))
-    return rounds.all().select("id", F.col("round").alias("hops"))
+        rounds.write(below.distinct().join(seen, "id", "left_anti"), F.lit(True))
+    return rounds.settled().select("id", F.col("round").alias("hops"))
 
 
 def _reverse(edges: DataFrame) -> DataFrame:
@@ -136,7 +149,7 @@ def _label_both_ways(edges: DataFrame) -> DataFrame:
     marks = [F.struct(F.xxhash64("id", F.lit(i)).alias("mark"), F.col("id").alias("root")) for i in range(MARKS)]
     start = links.select("id").distinct().select(
         "id", *[m.alias(c) for m, c in zip(marks, ABOVE)], *[m.alias(c) for m, c in zip(marks, BELOW)],
-        F.lit(True).alias("fresh_above"), F.lit(True).alias("fresh_below"),
+        F.lit(True).alias("fresh_above"), F.lit(True).alias("fresh_below"), F.lit(True).alias("fresh"),
     )
 
     labels = ABOVE + BELOW
@@ -145,9 +158,9 @@ def _label_both_ways(edges: DataFrame) -> DataFrame:
         return reduce(lambda left, right: left | right, [F.col(c) < F.col(f"old_{c}") for c in columns])
 
     scratch = Scratch(edges.sparkSession, "labels")
-    state = scratch.put(start)
-    while not state.where("fresh_above OR fresh_below").isEmpty():
-        senders = state.where("fresh_above OR fresh_below").withColumnRenamed("id", "sender")
+    state = scratch.put(start, "fresh")
+    while not (fresh := state.where("fresh")).isEmpty():
+        senders = fresh.withColumnRenamed("id", "sender")
         goes_down, goes_up = F.col("down") & F.col("fresh_above"), ~F.col("down") & F.col("fresh_below")
         passed = links.join(senders, "sender").select(
             "id", *[F.when(goes_down, F.col(c)).alias(c) for c in ABOVE],
@@ -158,7 +171,7 @@ def _label_both_ways(edges: DataFrame) -> DataFrame:
             *[F.min(c).alias(c) for c in labels], *[F.min(f"old_{c}").alias(f"old_{c}") for c in labels]
         )
         step = step.select("id", *labels, changed(ABOVE).alias("fresh_above"), changed(BELOW).alias("fresh_below"))
-        state = scratch.put(step)
+        state = scratch.put(step.withColumn("fresh", F.col("fresh_above") | F.col("fresh_below")), "fresh")
     return state.select("id", *[F.col(f"{c}.root").alias(c) for c in ABOVE + BELOW])
 
 

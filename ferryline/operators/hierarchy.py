@@ -17,6 +17,12 @@ def roots(df: DataFrame, pk: str, fk: str) -> DataFrame:
     return without(df, parents, [fk])
 
 
+def children_of(df: DataFrame, frontier: DataFrame, pk: str, fk: str) -> DataFrame:
+    """Rows of `df` whose parent is in `frontier`: one step down the hierarchy."""
+    parents = frontier.select(F.col(pk).alias(fk)).distinct()
+    return df.join(parents, fk, "left_semi")
+
+
 def hierarchy_depth(df: DataFrame, pk: str, fk: str) -> DataFrame:
     """(pk, depth) for a table with a unique key and one parent per row.
 
@@ -30,17 +36,16 @@ def hierarchy_depth(df: DataFrame, pk: str, fk: str) -> DataFrame:
     none = F.lit(None).cast(links.schema["up"].dataType).alias("up")
     start = roots(links, "id", "up").select("id", none, F.lit(0).alias("hops")).union(below)
     rounds = _Rounds(df.sparkSession, "hierarchy", start.schema)
-    number, current = 0, rounds.write(0, start)
-    while not current.where("up IS NULL").isEmpty() and not current.where("up IS NOT NULL").isEmpty():
-        known = rounds.all().drop("round").where("up IS NULL").union(current.where("up IS NOT NULL"))
+    rounds.write(start, F.col("up").isNull())
+    while not rounds.settled_now().isEmpty() and not (under_way := rounds.open()).isEmpty():
+        known = rounds.settled().drop("round").union(under_way)
         ahead = known.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("hops").alias("more"))
-        step = current.where("up IS NOT NULL").join(ahead, "up").select(
+        step = under_way.join(ahead, "up").select(
             "id", F.col("next").alias("up"), (F.col("hops") + F.col("more")).alias("hops")
         )
-        number += 1
-        current = rounds.write(number, step)
-    settled = rounds.all().where("up IS NULL").select("id", F.col("hops").alias("depth"))
-    rest = current.where("up IS NOT NULL").select("id", F.lit(UNREACHED).alias("depth"))
+        rounds.write(step, F.col("up").isNull())
+    settled = rounds.settled().select("id", F.col("hops").alias("depth"))
+    rest = rounds.open().select("id", F.lit(UNREACHED).alias("depth"))
     return settled.unionByName(rest).withColumnRenamed("id", pk)
 
 

@@ -8,6 +8,7 @@ again under its run id.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,11 +132,7 @@ def _accept(load: TableLoad, selected: DataFrame, result: LoadResult, parents: d
     """The selection in the target's shape; one row that breaks a rule fails the load."""
     checked = check_rows(selected, load.schema)
     result.source_selected, rejected = checked.agg(F.count("*"), F.count_if(is_rejected())).first()
-    missing = {}
-    for fk in load.schema.foreign_keys:
-        if fk.parent in parents and fk.parent != load.target.id:
-            lost = orphan_counts(checked, parents[fk.parent], fk.column, fk.parent_column)
-            missing[fk.column] = lost.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+    missing = _orphans_per_key(load, checked, parents)
     if rejected or any(missing.values()):
         if rejects_path:
             _write_rejects(load, checked, parents, missing, rejects_path)
@@ -145,6 +142,16 @@ def _accept(load: TableLoad, selected: DataFrame, result: LoadResult, parents: d
     return checked.drop(VIOLATIONS)
 
 
+def _orphans_per_key(load: TableLoad, rows: DataFrame, parents: dict[str, DataFrame]) -> dict[str, int]:
+    """Rows without a parent for each foreign key whose parent table is at hand; one job for all of them."""
+    counts = [
+        orphan_counts(rows, parents[fk.parent], fk.column, fk.parent_column).select(
+            F.lit(fk.column).alias("fk"), "n_rows").groupBy("fk").agg(F.sum("n_rows").alias("n_rows"))
+        for fk in load.schema.foreign_keys if fk.parent in parents and fk.parent != load.target.id
+    ]
+    return {r["fk"]: r["n_rows"] for r in reduce(DataFrame.union, counts).collect()} if counts else {}
+
+
 def _write_rejects(load: TableLoad, checked: DataFrame, parents: dict, missing: dict, path: str) -> None:
     checked.where(is_rejected()).write.mode("append").json(path)
     for fk in load.schema.foreign_keys:

@@ -42,6 +42,11 @@ def clean_edges(spark, d):
     return E.clean_edges(_named_edges(spark, d), _included(spark, d))
 
 
+@query("ordered_names", "SELECT DISTINCT lower(p_name) AS id FROM part ORDER BY id")
+def ordered_names(spark, d):
+    return E.ordered_names(scan(spark, "part", d).select(F.concat(F.lit(" "), F.initcap("p_name"))))
+
+
 @query("included_edges", """
     SELECT DISTINCT 'brand.t' || l_suppkey AS parent, 'public.t' || l_partkey AS child FROM lineitem
     WHERE l_suppkey IN (SELECT p_partkey FROM part WHERE p_size > 25)
@@ -307,6 +312,15 @@ def hierarchy_roots(spark, d):
     return H.roots(_tree(spark, d), "p_partkey", "parent").select("p_partkey", "parent")
 
 
+@query("hierarchy_children", f"""
+    WITH RECURSIVE {TREE_SQL} SELECT id AS p_partkey, up AS parent FROM tree
+    WHERE up IN (SELECT p_partkey FROM part WHERE p_type = 'PROMO')
+""")
+def hierarchy_children(spark, d):
+    promoted = scan(spark, "part", d).where("p_type = 'PROMO'").select("p_partkey")
+    return H.children_of(_tree(spark, d), promoted, "p_partkey", "parent").select("p_partkey", "parent")
+
+
 @query("hierarchy_cyclic_rows", f"""
     WITH RECURSIVE {TREE_SQL} SELECT id AS p_partkey, up AS parent FROM tree WHERE id NOT IN (SELECT id FROM reached)
 """)

@@ -11,10 +11,13 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 # Settings the jobs are written for.  AQE splits skewed join partitions, merges
 # small ones and turns a join into a broadcast once a side is measured small.
+# A task that writes a versioned table holds rows of few buckets: with a few
+# writers open at a time it needs no sort before the write.
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.maxConcurrentOutputFileWriters": "16",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -71,10 +74,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.folder, self.number = spark, new_folder(spark, label), 0
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, split_by: str | None = None) -> DataFrame:
+        """Replace the rows; with `split_by` a later filter on that column reads only its files."""
         self.number += 1
         path = f"{self.folder}/{self.number}"
-        df.write.parquet(path)
+        writer = df.write.partitionBy(split_by) if split_by else df.write
+        writer.parquet(path)
         if self.number > 1:
             self._delete(f"{self.folder}/{self.number - 1}")
         return self.spark.read.schema(df.schema).parquet(path)

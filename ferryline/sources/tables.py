@@ -103,7 +103,8 @@ class VersionedTable:
     def _bucket(self) -> Column:
         if self.buckets == 1:
             return F.lit(0)
-        keyless = F.pmod(F.hash(*[F.col(c) for c in self.schema.names]), F.lit(self.buckets))
+        hashable = [f.name for f in self.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+        keyless = F.pmod(F.hash(*[F.col(c) for c in hashable]), F.lit(self.buckets))
         keyed = F.pmod(F.hash(*[F.col(k) for k in self.keys]), F.lit(self.buckets))
         return F.when(no_null_key(self.keys), keyed).otherwise(keyless)
 

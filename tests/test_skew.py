@@ -73,3 +73,15 @@ def test_star_graph(spark, small_limits):
         nodes.where("id > 6000").selectExpr("id AS parent", "0 AS child"))
     levels = G.topo_levels(nodes, edges.selectExpr("cast(parent AS bigint) parent", "cast(child AS bigint) child"))
     assert {r.level: r["count"] for r in levels.groupBy("level").count().collect()} == {0: 6_000, 1: 1, 2: 3_000}
+
+
+def test_rows_leave_the_merge_in_buckets(spark, small_limits, folder):
+    """Eight shuffle partitions, four buckets: each bucket is written by exactly two tasks."""
+    from ferryline.sources.tables import VersionedTable
+
+    rows = spark.range(20_000).withColumn("v", F.sha2(F.col("id").cast("string"), 256))
+    table = VersionedTable(spark, folder, rows.schema, ["id"], buckets=4)
+    table.publish(table.stage_upsert(rows), "r")
+    files = [r[0] for r in table.read().select(F.input_file_name()).distinct().collect()]
+    per_bucket = {f"load_bucket={b}": sum(f"load_bucket={b}/" in f for f in files) for b in range(4)}
+    assert set(per_bucket.values()) == {2} and table.count() == 20_000
