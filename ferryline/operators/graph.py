@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ferryline.session import Scratch, materialize, new_folder
+from ferryline.operators.hierarchy import UNREACHED, hierarchy_depth
+from ferryline.operators.rounds import Rounds
+from ferryline.session import Scratch, materialize
 
 
 class CycleError(ValueError):
@@ -26,40 +27,6 @@ class CycleError(ValueError):
         super().__init__(f"no valid load order, cyclic dependency among: {', '.join(shown)}")
 
 
-class _Rounds:
-    """Rows written round by round below one folder, settled ones apart from those still open.
-
-    Each side is a partition of its own: reading the settled rows of all rounds,
-    or the open rows of the last one, touches no other file.
-    """
-
-    def __init__(self, spark, label: str, schema: T.StructType):
-        self.spark, self.number = spark, -1
-        self.names = schema.names
-        self.layout = T.StructType([
-            *schema.fields, T.StructField("round", T.IntegerType()), T.StructField("settled", T.BooleanType())])
-        self.folder = new_folder(spark, label)
-
-    def write(self, df: DataFrame, settled: Column) -> None:
-        self.number += 1
-        rows = df.select(*self.names, settled.alias("settled"))
-        rows.write.partitionBy("settled").parquet(f"{self.folder}/round={self.number}")
-
-    def _last(self) -> DataFrame:
-        reader = self.spark.read.schema(self.layout).option("basePath", self.folder)
-        return reader.parquet(f"{self.folder}/round={self.number}")
-
-    def settled_now(self) -> DataFrame:
-        return self._last().where("settled").select(*self.names)
-
-    def open(self) -> DataFrame:
-        return self._last().where("NOT settled").select(*self.names)
-
-    def settled(self) -> DataFrame:
-        """All rows settled so far, with the round it happened in."""
-        return self.spark.read.schema(self.layout).parquet(self.folder).where("settled").select(*self.names, "round")
-
-
 def _within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among `nodes`."""
     parents = nodes.select(F.col("id").alias("parent"))
@@ -71,12 +38,16 @@ def topo_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level): longest path from a root; level is null for a node on or below a cycle.
 
     Each round reads every edge once against the nodes freed last and rewrites
-    only the nodes still waiting.
+    only the nodes still waiting.  Where no node has two parents the graph is a
+    hierarchy, and its depth is found in far fewer rounds.
     """
     return _levels(nodes, materialize(edges.select("parent", "child"), "edges"))
 
 
 def _levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    if edges.groupBy("child").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return _tree_levels(nodes, edges)
+
     def counted(waiting: DataFrame, counts: DataFrame) -> DataFrame:
         """Waiting nodes after adding the counts: one shuffle, summed per task before it."""
         return waiting.union(counts).groupBy("id").agg(F.sum("waits_for").alias("waits_for"))
@@ -85,7 +56,7 @@ def _levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     # into the expressions, so every round runs the same generated code.
     zero, one = F.lit(0).cast("bigint").alias("waits_for"), F.lit(1).cast("bigint").alias("waits_for")
     start = counted(nodes.select("id", zero), edges.select("child", one))
-    rounds = _Rounds(nodes.sparkSession, "levels", start.schema)
+    rounds = Rounds(nodes.sparkSession, "levels", start.schema)
     is_free = F.col("waits_for") == 0
     rounds.write(start, is_free)
     while not (freed := rounds.settled_now()).isEmpty():
@@ -96,6 +67,12 @@ def _levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return settled.unionByName(rounds.open().select("id", F.lit(None).cast("int").alias("level")))
 
 
+def _tree_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    links = nodes.join(edges.select(F.col("child").alias("id"), "parent"), "id", "left")
+    level = F.when(F.col("depth") < UNREACHED, F.col("depth"))
+    return hierarchy_depth(links, "id", "parent").select("id", level.alias("level"))
+
+
 def stuck_nodes(levels: DataFrame) -> DataFrame:
     """Nodes that no order frees: on a cycle or below one."""
     return levels.where("level IS NULL").select("id")
@@ -117,7 +94,7 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def _reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     start = seeds.select("id").distinct()
-    rounds = _Rounds(edges.sparkSession, "reachable", start.schema)
+    rounds = Rounds(edges.sparkSession, "reachable", start.schema)
     rounds.write(start, F.lit(True))
     while not (frontier := rounds.settled_now()).isEmpty():
         seen = rounds.settled().select("id")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferryline.operators.graph import _Rounds
 from ferryline.operators.merge import without
+from ferryline.operators.rounds import Rounds
 
 UNREACHED = 2147483647  # fixed value: depth of a row no root leads to
 
@@ -35,7 +35,7 @@ def hierarchy_depth(df: DataFrame, pk: str, fk: str) -> DataFrame:
     below = links.join(df.select(F.col(pk).alias("up")).distinct(), "up", "left_semi").select("id", "up", F.lit(1).alias("hops"))
     none = F.lit(None).cast(links.schema["up"].dataType).alias("up")
     start = roots(links, "id", "up").select("id", none, F.lit(0).alias("hops")).union(below)
-    rounds = _Rounds(df.sparkSession, "hierarchy", start.schema)
+    rounds = Rounds(df.sparkSession, "hierarchy", start.schema)
     rounds.write(start, F.col("up").isNull())
     while not rounds.settled_now().isEmpty() and not (under_way := rounds.open()).isEmpty():
         known = rounds.settled().drop("round").union(under_way)

@@ -106,6 +106,21 @@ def test_long_chain_and_order(spark, rows):
     assert rows(H.unreached(staff, "id", "manager_id")) == [(4, 4), (5, 4)]
 
 
+def test_levels_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    from ferryline.operators.rounds import Rounds
+
+    written = []
+    write = Rounds.write
+    monkeypatch.setattr(Rounds, "write", lambda self, df, settled: (written.append(1), write(self, df, settled))[1])
+    nodes = spark.range(300)
+    chain = nodes.where("id > 0").selectExpr("id - 1 AS parent", "id AS child")
+    assert {r.id: r.level for r in G.topo_levels(nodes, chain).collect()} == {i: i for i in range(300)}
+    assert len(written) <= 11
+    ring = chain.union(spark.range(1).selectExpr("bigint(20) AS parent", "bigint(10) AS child"))
+    found = {r.id: r.level for r in G.topo_levels(nodes, ring.where("child <> 10 OR parent = 20")).collect()}
+    assert found == {i: i if i < 10 else None for i in range(300)}
+
+
 def test_edges_between_contract_keys(spark, rows):
     mapping = spark.createDataFrame([(0, "s.a", "A"), (1, "s.b", "B"), (2, "s.a", "A2")],
                                     "ordinal int, source_id string, contract_key string")

@@ -79,7 +79,7 @@ def test_rows_leave_the_merge_in_buckets(spark, small_limits, folder):
     """Eight shuffle partitions, four buckets: each bucket is written by exactly two tasks."""
     from ferryline.sources.tables import VersionedTable
 
-    rows = spark.range(20_000).withColumn("v", F.sha2(F.col("id").cast("string"), 256))
+    rows = spark.range(20_000).selectExpr("id * 7 AS id").withColumn("v", F.sha2(F.col("id").cast("string"), 256))
     table = VersionedTable(spark, folder, rows.schema, ["id"], buckets=4)
     table.publish(table.stage_upsert(rows), "r")
     files = [r[0] for r in table.read().select(F.input_file_name()).distinct().collect()]
