@@ -59,8 +59,8 @@ def _levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     rounds = Rounds(nodes.sparkSession, "levels", start.schema)
     is_free = F.col("waits_for") == 0
     rounds.write(start, is_free)
-    while not (freed := rounds.settled_now()).isEmpty():
-        parents = freed.select(F.col("id").alias("parent"))
+    while rounds.any_settled():
+        parents = rounds.settled_now().select(F.col("id").alias("parent"))
         served = edges.join(parents, "parent").select("child", F.lit(-1).cast("bigint"))
         rounds.write(counted(rounds.open(), served), is_free)
     settled = rounds.settled().select("id", F.col("round").alias("level"))
@@ -96,9 +96,9 @@ def _reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     start = seeds.select("id").distinct()
     rounds = Rounds(edges.sparkSession, "reachable", start.schema)
     rounds.write(start, F.lit(True))
-    while not (frontier := rounds.settled_now()).isEmpty():
+    while rounds.any_settled():
         seen = rounds.settled().select("id")
-        below = edges.join(frontier.select(F.col("id").alias("parent")), "parent").select(F.col("child").alias("id"))
+        below = edges.join(rounds.settled_now().select(F.col("id").alias("parent")), "parent").select(F.col("child").alias("id"))
         rounds.write(below.distinct().join(seen, "id", "left_anti"), F.lit(True))
     return rounds.settled().select("id", F.col("round").alias("hops"))
 
@@ -136,8 +136,8 @@ def _label_both_ways(edges: DataFrame) -> DataFrame:
 
     scratch = Scratch(edges.sparkSession, "labels")
     state = scratch.put(start, "fresh")
-    while not (fresh := state.where("fresh")).isEmpty():
-        senders = fresh.withColumnRenamed("id", "sender")
+    while scratch.holds("fresh=true"):
+        senders = state.where("fresh").withColumnRenamed("id", "sender")
         goes_down, goes_up = F.col("down") & F.col("fresh_above"), ~F.col("down") & F.col("fresh_below")
         passed = links.join(senders, "sender").select(
             "id", *[F.when(goes_down, F.col(c)).alias(c) for c in ABOVE],

@@ -37,7 +37,8 @@ def hierarchy_depth(df: DataFrame, pk: str, fk: str) -> DataFrame:
     start = roots(links, "id", "up").select("id", none, F.lit(0).alias("hops")).union(below)
     rounds = Rounds(df.sparkSession, "hierarchy", start.schema)
     rounds.write(start, F.col("up").isNull())
-    while not rounds.settled_now().isEmpty() and not (under_way := rounds.open()).isEmpty():
+    while rounds.any_settled() and rounds.any_open():
+        under_way = rounds.open()
         known = rounds.settled().drop("round").union(under_way)
         ahead = known.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("hops").alias("more"))
         step = under_way.join(ahead, "up").select(

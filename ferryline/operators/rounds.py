@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
-from ferryline.session import new_folder
+from ferryline.session import new_folder, path_exists
 
 
 class Rounds:
@@ -31,6 +31,13 @@ class Rounds:
         reader = self.spark.read.schema(self.layout).option("basePath", self.folder)
         return reader.parquet(f"{self.folder}/round={self.number}")
 
+    def any_settled(self) -> bool:
+        """Whether the last round settled a row: a partition is there only if it has rows."""
+        return path_exists(self.spark, f"{self.folder}/round={self.number}/settled=true")
+
+    def any_open(self) -> bool:
+        return path_exists(self.spark, f"{self.folder}/round={self.number}/settled=false")
+
     def settled_now(self) -> DataFrame:
         return self._last().where("settled").select(*self.names)
 

@@ -84,9 +84,23 @@ class Scratch:
             self._delete(f"{self.folder}/{self.number - 1}")
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def holds(self, partition: str) -> bool:
+        """Whether the present rows have a `column=value` partition; no job is run."""
+        return path_exists(self.spark, f"{self.folder}/{self.number}/{partition}")
+
     def _delete(self, path: str) -> None:
-        old = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        files, old = _file_system(self.spark, path)
+        files.delete(old, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, target = _file_system(spark, path)
+    return files.exists(target)
 
 
 def one_row(spark: SparkSession, **values: Column) -> DataFrame:
