@@ -14,6 +14,7 @@ from ferryline.session import one_row
 
 BUCKET = "load_bucket"
 VERSION = "load_version"
+BUCKET_BYTES = 256 * 1024 * 1024  # estimated size of a bucket in a new table
 
 LOG_SCHEMA = """
     version bigint, run_id string, cursor string, buckets int,
@@ -46,7 +47,8 @@ class VersionedTable:
 
     The bucket of a key is `pmod(hash(key), buckets)`, Spark's own shuffle
     partition when `spark.sql.shuffle.partitions` is a multiple of `buckets`:
-    the rows leave the merge join already sorted into buckets.
+    the rows leave the merge join already sorted into buckets.  A new table sizes
+    its buckets by its first load; give `buckets` for one that will outgrow it.
 
     One writer at a time per table.
     """
@@ -58,8 +60,7 @@ class VersionedTable:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
         self.keys = [k for k in keys or []]
         commit = self._latest()
-        wanted = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.buckets = commit["buckets"] if commit else (wanted if self.keys else 1)
+        self.buckets = commit["buckets"] if commit else buckets
 
     # -- reading --------------------------------------------------------------
 
@@ -100,6 +101,14 @@ class VersionedTable:
 
     # -- writing --------------------------------------------------------------
 
+    def _settle_buckets(self, first: DataFrame) -> None:
+        """Bucket count of a new table: by the planner's estimate of its first load, a divisor of the shuffle partitions."""
+        if self.buckets is None:
+            partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            size = int(str(first._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+            wanted = max(1, size // BUCKET_BYTES) if self.keys else 1
+            self.buckets = max(n for n in range(1, partitions + 1) if partitions % n == 0 and n <= wanted)
+
     def _bucket(self) -> Column:
         if self.buckets == 1:
             return F.lit(0)
@@ -120,6 +129,7 @@ class VersionedTable:
 
     def stage_append(self, df: DataFrame) -> Staged:
         """INSERT: every row as it is; no shuffle."""
+        self._settle_buckets(df)
         commit = self._latest()
         live, version = (commit["live"], commit["version"] + 1) if commit else ([], 1)
         before = sum(part["n_rows"] for part in live)
@@ -134,6 +144,7 @@ class VersionedTable:
         and the others are carried over untouched; a full load skips that pass.
         """
         keys = clean_keys(keys or self.keys)
+        self._settle_buckets(df)
         commit = self._latest()
         live, version = (commit["live"], commit["version"] + 1) if commit else ([], 1)
         before = sum(part["n_rows"] for part in live)
