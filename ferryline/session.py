@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,18 +32,9 @@ def build_session(app: str, master: str | None = None, conf: dict | None = None)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, as the cluster names it.
-
-    Only a local master may go without the setting: there driver and executors
-    are one process, so a temporary folder is shared by definition.
-    """
+    """The folder all executors see: `spark.checkpoint.dir`, or else the warehouse, which they share too."""
     root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ferryline-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return root.rstrip("/")
+    return (root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch").rstrip("/")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

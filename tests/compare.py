@@ -11,6 +11,7 @@ import decimal
 import math
 import os
 import sys
+import tempfile
 import time
 from collections import Counter
 
@@ -81,7 +82,7 @@ def main() -> int:
     sf_dir = f"/root/testdata/sf{args.sf}"
     spark = build_session("compare", "local[8]", {
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
-        "spark.ui.showConsoleProgress": "false"})
+        "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="compare-")})
     spark.sparkContext.setLogLevel("ERROR")
     con = oracle(sf_dir)
     wrong = 0
