@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferryline.session import materialize
+
 # A word is a run of anything but the ASCII blanks; bytes.split() cuts at the same ones.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -54,3 +56,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x *= np.uint64(factor)
     x ^= x >> np.uint64(31)
     return x
+
+
+def numbered(df: DataFrame, label: str, *order) -> DataFrame:
+    """`df` with `position`, its place from 0 in the given order.
+
+    A distributed sort, written once with each row's place in its partition;
+    only one count per partition reaches the driver.
+    """
+    part = F.shiftright("spot", 33)
+    rows = materialize(df.orderBy(*order).withColumn("spot", F.monotonically_increasing_id()), label)
+    offsets, total = {}, 0
+    for p, n in sorted(rows.groupBy(part.alias("p")).count().collect()):
+        offsets[p], total = total, total + n
+    spark = df.sparkSession
+    starts = spark.createDataFrame([(p, n) for p, n in offsets.items()], "p long, before long")
+    joined = rows.join(F.broadcast(starts), part == F.col("p"))  # a row per partition of the sort
+    return joined.select(*df.columns, (F.col("before") + F.col("spot").bitwiseAND((1 << 33) - 1)).alias("position"))

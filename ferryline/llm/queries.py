@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ferryline.llm import simhash
+from ferryline.llm import mixing, sharding, simhash, url_cascade
 from ferryline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +27,64 @@ def query(name: str, sql: str | None = None):
 @query("op1_simhash")
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# The rules of the contract, and hosts whose pages are not wanted.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+             ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+BLOCKED_HOSTS = ["ads-track.example.com", "casino-win.example.com", "cheap-pills.example.com", "free-bets.example.com"]
+
+_FITS = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
+_RULES = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+
+
+@query("op4_url_cascade", f"""
+    WITH parts AS (
+        SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''),
+                                  '{url_cascade.UPPER}', '{url_cascade.LOWER}') AS host,
+               coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+        FROM pages),
+    ruled AS (
+        SELECT *, CASE {" ".join(f"WHEN {_FITS.format(h, p)} THEN '{h}{p}'" for _, h, p in _RULES)} END AS rule FROM parts)
+    SELECT page_id, host, path, rule,
+           CASE {" ".join(f"WHEN rule = '{h}{p}' THEN '{v}'" for v, h, p in _RULES)}
+                WHEN {" OR ".join(f"host = '{h}' OR ends_with(host, '.{h}')" for h in BLOCKED_HOSTS)} THEN 'block'
+                ELSE 'allow' END AS verdict
+    FROM ruled""")
+def op4_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_cascade.judge(table(spark, sf_dir, "pages"), URL_RULES, BLOCKED_HOSTS)
+
+
+@query("op8_sharding")
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"), 8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op9_mixing", f"""
+    WITH sized AS (
+        SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+               ('0x' || md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))))[1:8])::BIGINT / 4294967296.0::DOUBLE AS draw
+        FROM documents),
+    sources AS (
+        SELECT source, sum(size)::HUGEINT AS n,
+               [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1)::INT % 3 + 1]::HUGEINT AS weight
+        FROM sized GROUP BY source),
+    levels AS (  -- stopped sources are those of least room per weight
+        SELECT *, sum(n) OVER () - coalesce(sum(3 * n) OVER below, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER below, 0) AS shares
+        FROM sources
+        WINDOW below AS (ORDER BY n::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    level AS (SELECT rest, shares FROM levels WHERE weight::DOUBLE * rest::DOUBLE <= 3 * n::DOUBLE * shares::DOUBLE
+              ORDER BY shares DESC LIMIT 1),
+    targets AS (
+        SELECT source, n, CASE WHEN n = 0 OR weight::DOUBLE * rest::DOUBLE > 3 * n::DOUBLE * shares::DOUBLE THEN (3 * n)::DOUBLE
+                               ELSE weight::DOUBLE * rest::DOUBLE / shares::DOUBLE END AS target
+        FROM sources, level)
+    SELECT doc_id, size, n::BIGINT AS source_size, target,
+           size * CASE WHEN n = 0 THEN 0 ELSE floor(target / n::DOUBLE)::BIGINT
+                       + (draw < target / n::DOUBLE - floor(target / n::DOUBLE))::BIGINT END AS taken
+    FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source""")
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mixture(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
