@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferryline.llm import difference_cover, mixing, pieces, sharding, simhash, token_files, url_cascade
+from ferryline.llm import (
+    cotraining,
+    cover_tree,
+    difference_cover,
+    mixing,
+    pieces,
+    sharding,
+    simhash,
+    spotsigs,
+    token_files,
+    url_cascade,
+)
 from ferryline.llm.common import table
 
 
@@ -37,6 +48,30 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op2_cover_tree", f"""
+    WITH vectors AS (
+        SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+    scores AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+        FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+    SELECT query_id, (row_number() OVER best)::INTEGER AS rank, vec_id, score FROM scores
+    WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+    QUALIFY row_number() OVER best <= {cover_tree.K}""")
+def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
+@query("op3_cotraining")
+def op3_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_spotsigs")
+def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_edited(table(spark, sf_dir, "documents"))
+
+
 # The rules of the contract, and hosts whose pages are not wanted.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
              ("allow", "com", "/fr/"), ("block", "com", "/de/")]

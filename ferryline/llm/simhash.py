@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferryline.llm.common import map_batches
+from ferryline.llm.common import map_batches, mix64
 from ferryline.llm.components import components
 from ferryline.session import materialize
 
@@ -33,24 +33,44 @@ CROWD = 64
 COMMON = 1_000  # most frequent part values whose exact counts refine the estimate
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """64 bits: a bit is set if it is in over half of the shingles' XXH64; no words, zero."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each run of `shingle` words, or of all words if they are fewer; A-Z lowered."""
     words = (text or "").encode().lower().split()  # bytes: only A-Z are lowered, only ASCII blanks cut
-    if not words:
-        return 0
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)] if words else [], "<u8")
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths)[: len(words) - shingle + 1].tolist()
-    ends = ends[shingle - 1 :].tolist()
+    starts = (ends - lengths)[: len(words) - shingle + 1]
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits: a bit is set if it is in over half of the hashes; of none, zero."""
     counts = np.zeros(BITS, np.int64)
-    for at in range(0, len(starts), 1 << 16):
-        spans = zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)])
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(starts), bitorder="little").view("<u8")[0])
+    for at in range(0, len(hashes), 1 << 16):
+        some = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """SimHash of all shingles of a text, repeats included; no words, zero."""
+    return majority(shingle_hashes(text, shingle))
+
+
+def sampled_fingerprints(text: str | None, shingle: int, sample: int, spaces: int) -> np.ndarray:
+    """For each space, SimHash of the `sample` distinct shingles whose hash, mixed for that space, is least.
+
+    Texts whose shingle sets have Jaccard similarity J draw the same sample with a
+    chance of about J to the power of `sample`.
+    """
+    hashes = np.unique(shingle_hashes(text, shingle))
+    out = np.zeros(spaces, np.uint64)
+    for s in range(spaces if len(hashes) else 0):
+        mixed = mix64(hashes + np.uint64((s + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+        out[s] = majority(np.partition(mixed, sample - 1)[:sample] if len(mixed) > sample else mixed)
+    return out
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -155,50 +175,54 @@ def _flips(group: list[int], radius: int) -> np.ndarray:
 
 
 def links(fps: DataFrame, bits: int = 2, parts: int | None = None) -> DataFrame:
-    """(a, b) pairs of distinct fingerprints of `fps` (fp: long, distinct) from which reachability follows.
+    """(space, a, b): pairs of fingerprints of a space from which reachability follows.
 
-    Where buckets are small these are all pairs at most `bits` apart; in crowded
-    ones each fingerprint is tied to the least one around each midpoint, which
-    leaves reachability as it is.  An odd `bits` verifies those pairs.
+    `fps` has distinct (space: int, fp: long).  Where buckets are small these are
+    all pairs at most `bits` apart; in crowded ones each fingerprint is tied to
+    the least one around each midpoint, which leaves reachability as it is.  An
+    odd `bits` verifies those pairs.
     """
     parts = parts or bits + 1
     rows, both = bit_statistics(fps)
     groups = correlated_parts(rows, both, parts)
     mean = np.diag(both) / max(rows, 1)
-    index = fps.select("fp", F.explode(F.array(*[
+    index = fps.select("space", "fp", F.explode(F.array(*[
         F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(int(_mask(g)))).alias("value"))
-        for i, g in enumerate(groups)])).alias("k")).select("k.part", "k.value", F.col("fp").alias("other"))
-    crowded = materialize(index.groupBy("part", "value").agg(F.count("*").alias("n")).where(F.col("n") > CROWD), "crowded")
-    common = {(r["part"], r["value"]): r["n"] for r in crowded.orderBy(F.desc("n"), "part", "value").limit(COMMON).collect()}
+        for i, g in enumerate(groups)])).alias("k")).select("space", "k.part", "k.value", F.col("fp").alias("other"))
+    key = ["space", "part", "value"]
+    crowded = materialize(index.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > CROWD), "crowded")
+    frequent = crowded.orderBy(F.desc("n"), *key).limit(COMMON).collect()
+    common = {(r["part"], r["value"]): r["n"] for r in reversed(frequent)}
 
     def probe(batch: pa.RecordBatch) -> dict:
-        values = batch.column(0).to_numpy(zero_copy_only=False)
+        spaces, values = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("space", "fp"))
         chosen = thresholds(values, groups, mean, rows, bits, common)
         out = []
         for i, group in enumerate(groups):
             for t in range(bits + 1):
-                who = values[chosen[:, i] == t]
+                own = chosen[:, i] == t
                 flips = _flips(group, t)
-                keys = (who & _mask(group))[:, None] ^ flips[None, :]
-                out.append((np.full(keys.size, i, np.int32), keys.ravel(), np.repeat(who, len(flips))))
-        return {name: np.concatenate(c) for name, c in zip(("part", "value", "fp"), zip(*out))}
+                keys = (values[own] & _mask(group))[:, None] ^ flips[None, :]
+                out.append((np.repeat(spaces[own], len(flips)), np.full(keys.size, i, np.int32), keys.ravel(),
+                            np.repeat(values[own], len(flips))))
+        return {name: np.concatenate(c) for name, c in zip((*key, "fp"), zip(*out))}
 
-    probes = materialize(map_batches(fps.select("fp"), probe, "part int, value long, fp long", 4096), "probes")
-    key = ["part", "value"]
+    probes = materialize(map_batches(fps.select("space", "fp"), probe, "space int, part int, value long, fp long", 4096), "probes")
     small = index.join(crowded.select(*key), key, "left_anti")
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("other")))
     near = probes.join(small, key).where((F.col("fp") != F.col("other")) & (apart <= bits)).select(
-        F.col("fp").alias("a"), F.col("other").alias("b"))
-    touched = probes.join(crowded.select(*key), key, "left_semi").select("fp").union(
-        index.join(crowded.select(*key), key, "left_semi").select(F.col("other").alias("fp"))).distinct()
+        "space", F.col("fp").alias("a"), F.col("other").alias("b"))
+    touched = probes.join(crowded.select(*key), key, "left_semi").select("space", "fp").union(
+        index.join(crowded.select(*key), key, "left_semi").select("space", F.col("other").alias("fp"))).distinct()
     balls = [F.lit(int(x)) for x in _flips(list(range(BITS)), (bits + 1) // 2)]
-    around = touched.select("fp", F.explode(F.transform(F.array(*balls), lambda x: F.col("fp").bitwiseXOR(x))).alias("point"))
-    met = around.groupBy("point").agg(F.sort_array(F.collect_list("fp")).alias("f")).where(F.size("f") > 1)
+    around = touched.select("space", "fp", F.explode(
+        F.transform(F.array(*balls), lambda x: F.col("fp").bitwiseXOR(x))).alias("point"))
+    met = around.groupBy("space", "point").agg(F.sort_array(F.collect_list("fp")).alias("f")).where(F.size("f") > 1)
     if bits % 2 == 0:
-        ties = met.select(F.col("f")[0].alias("a"), F.explode("f").alias("b")).where("a <> b")
+        ties = met.select("space", F.col("f")[0].alias("a"), F.explode("f").alias("b")).where("a <> b")
     else:
-        ties = met.select(F.explode("f").alias("a"), "f").select("a", F.explode("f").alias("b")).where("a < b").where(
-            F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
+        ties = met.select("space", F.explode("f").alias("a"), "f").select("space", "a", F.explode("f").alias("b")).where(
+            "a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
     return near.union(ties)
 
 
@@ -214,10 +238,44 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFra
     """
     marks = materialize(fingerprints(docs, shingle), "fingerprints")
     distinct = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    roots = materialize(components(links(distinct.select("fp"), bits)), "fingerprint-roots")
+    roots = materialize(components(
+        links(distinct.select(F.lit(0).alias("space"), "fp"), bits).select("a", "b")), "fingerprint-roots")
     linked = roots.join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "first_id")
     least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
     labels = distinct.join(linked.join(least, "root").select("fp", "least_id"), "fp", "left").select(
         "fp", F.coalesce("least_id", "first_id").alias("component_id"))
     return marks.join(labels, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, sample: int = 5, spaces: int = 8, bits: int = 2) -> DataFrame:
+    """(doc_id, component_id) for each distinct doc_id of `docs` (doc_id, text): documents of mostly the same shingles.
+
+    One SimHash of all shingles tells only near-identical texts within a few
+    bits.  So each document has a fingerprint in each of several spaces, of a
+    small sample of its distinct shingles, and two are linked if they are at most
+    `bits` apart in any.  With the defaults, sets of Jaccard similarity 0.8 meet
+    with a chance of about 0.96, of 0.9 always, of 0.5 one time in four, of 0.2
+    or less about never.  component_id is the smallest doc_id reachable.  Equal
+    texts, and texts without words, are linked.  Rows without doc_id are left out;
+    a doc_id that comes with several texts joins their groups.
+    """
+    def run(batch: pa.RecordBatch) -> dict:
+        marks = [sampled_fingerprints(t, shingle, sample, spaces).view(np.int64).tolist() for t in batch.column("text").to_pylist()]
+        return {"doc_id": batch.column("doc_id"), "fps": pa.array(marks, pa.list_(pa.int64()))}
+
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    marks = materialize(map_batches(texts, run, "doc_id long, fps array<long>"), "sampled-fingerprints")
+    whole = materialize(marks.groupBy("fps").agg(F.min("doc_id").alias("node")), "sampled-sets")
+    places = whole.select("node", F.posexplode("fps").alias("space", "fp"))
+    least = materialize(places.groupBy("space", "fp").agg(F.min("node").alias("rep")), "fingerprint-reps")
+    same = places.join(least, ["space", "fp"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    near = links(least.select("space", "fp"), bits)
+    left = least.select("space", F.col("fp").alias("a"), F.col("rep").alias("x"))
+    right = least.select("space", F.col("fp").alias("b"), F.col("rep").alias("y"))
+    met = near.join(left, ["space", "a"]).join(right, ["space", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    again = marks.join(whole, "fps").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    # a document's set has the least doc_id as its node: only other members need a link
+    roots = components(same.union(met).union(again.where("a <> b")))
+    return marks.select("doc_id").distinct().join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select(
+        "doc_id", F.coalesce("root", "doc_id").alias("component_id"))
