@@ -166,8 +166,10 @@ def windows_around(parts: int):
         w1, w2, ids = w1[order], w2[order], ids[order]
         new = np.flatnonzero(np.append(True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])))
         least, most = np.minimum.reduceat(ids, new), np.maximum.reduceat(ids, new)
-        w1, w2 = w1[new], w2[new]
-        return _cut(_part(w1, parts), {"part": None, "w1": w1, "w2": w2, "least": least, "many": least != most},
+        order, w1, w2 = order[new], w1[new], w2[new]
+        part, many = _part(w1, parts), least != most
+        order = np.lexsort((order, part))  # as in the texts: runs of equal ids take no room in the shuffle
+        return _cut(part[order], {"part": None, "w1": w1[order], "w2": w2[order], "least": least[order], "many": many[order]},
                     grp=_group_of(texts))
 
     return run
@@ -184,7 +186,7 @@ def least_ids(table: pa.Table) -> pa.Table:
     first = np.repeat(np.minimum.reduceat(least, new), np.diff([*new.tolist(), len(w1)]))
     told = (first < least) | many
     w1, w2, first, group = w1[told], w2[told], first[told], group[told]
-    order = np.argsort(group, kind="stable")
+    order = np.lexsort((first, group))
     return _cut(group[order], {"grp": None, "w1": w1[order], "w2": w2[order], "first": first[order]})
 
 
