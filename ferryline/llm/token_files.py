@@ -12,6 +12,7 @@ leaves at most files that nobody reads.
 from __future__ import annotations
 
 import re
+import struct
 import uuid
 import zlib
 from functools import lru_cache
@@ -29,12 +30,30 @@ END = 1
 LENGTH = 2_048  # tokens of a sequence
 BATCH = 512  # sequences of a batch
 PART_BYTES = 48 << 20  # text of a part
-CACHE = 150_000
+CACHE = 250_000  # words, and pieces, remembered by a worker
 
+_BLANKS = re.compile("[ \n]+")
 _SAFE = re.compile("[!-~À-ÖØ-öø-ÿ]+")  # lowering and composing these is the same for a word alone
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
+class Remembered(dict):
+    """Results of a function by argument, in two generations of at most `CACHE` each: the older one goes as a whole."""
+
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        self[key] = got
+        return got
+
+
 class WordTokens:
     """Ids of texts by the tokenizers library, asked once per distinct piece.
 
@@ -52,43 +71,33 @@ class WordTokens:
         seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         rest = [b for b in range(256) if b not in seen]  # bytes that don't print stand for characters from 256 on
         self.shown = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.new, self.old, self.pieces = {}, {}, {}
+        self.words, self.pieces = Remembered(self._word), Remembered(self._piece)
         # the short cut holds for this kind of tokenizer only; a few words tell
         tries = ["Word", "don't", "x2.5!", "café,", "ÉTÉ***", "a_b-c&&&", "'re's", "ßÿ"]
         self.short_cut = all(self._plain(w) == self._whole(w) for w in tries)
 
-    def _whole(self, word: str) -> list[int]:
-        return self.library.encode(word, add_special_tokens=False).ids
+    def _whole(self, word: str) -> bytes:
+        return _packed(self.library.encode(word, add_special_tokens=False).ids)
 
-    def _plain(self, word: str) -> list[int]:
-        ids = []
-        for piece in _SPLIT.findall(word.lower()):
-            got = self.pieces.get(piece)
-            if got is None:
-                got = [t.id for t in self.model.tokenize("".join([self.shown[b] for b in piece.encode()]))]
-                self.pieces[piece] = got
-            ids += got
-        return ids
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else "".join([self.shown[b] for b in piece.encode()])
+        return _packed([t.id for t in self.model.tokenize(shown)])
+
+    def _plain(self, word: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, _SPLIT.findall(word.lower())))
 
     def _word(self, word: str) -> bytes:
         safe = self.short_cut and _SAFE.fullmatch(word) and "<|" not in word
-        return np.array(self._plain(word) if safe else self._whole(word), "<u4").tobytes()
+        return self._plain(word) if safe else self._whole(word)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers; null is an empty text."""
-        cut = [re.split("[ \n]+", t) if t else [] for t in texts]
-        found = {}
-        for w in {w for ws in cut for w in ws}:
-            ids = self.new.get(w)
-            if ids is None:
-                ids = self.old.get(w)
-            found[w] = self._word(w) if ids is None else ids
-        self.new.update(found)
-        if len(self.new) > CACHE:
-            self.old, self.new = self.new, {}
-        if len(self.pieces) > CACHE:
-            self.pieces = {}
-        return [b"".join([found[w] for w in ws]) for ws in cut]
+        known = self.words.__getitem__
+        return [b"".join(map(known, _BLANKS.split(t))) if t else b"" for t in texts]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=2)
@@ -205,7 +214,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END) -> DataF
     def run(batches):
         part, writer, name = TaskContext.get().partitionId(), None, ""
         model = word_tokens(tokenizer)
-        for batch in slices(batches, 1024):
+        for batch in slices(batches, 512):
             if writer is None:
                 name = f"{part:06d}-{uuid.uuid4().hex}"
                 writer = PartWriter(folder, name, kind)
