@@ -25,7 +25,7 @@ from ferryline.llm.common import map_batches
 SPACE = "▁"
 NONE = np.int64(1) << 40  # rank of a pair that doesn't merge
 LONG = 200
-CACHE = 150_000  # words remembered by a worker, in each of two generations
+CACHE = 80_000  # words remembered by a worker, in each of two generations
 
 
 class Pieces:
@@ -193,37 +193,48 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+def _mapped(df: DataFrame, new: dict[str, str], fn) -> DataFrame:
+    """`df` with columns named and typed by `new`, which `fn` makes of a batch."""
+    rest = df.drop(*new)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        return {name: batch.column(name) for name in batch.schema.names} | fn(batch)
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields] + [f"{c} {t}" for c, t in new.items()]
+    return map_batches(rest, run, ", ".join(fields), 512)
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """`docs` (text and any others) with `ids`: each text's ids as little-endian 32-bit integers, begin and end included.
 
     A null text is an empty one and has those two.  The model file must be at
     `path` on every executor.  A column named `ids` is replaced.
     """
-    rest = docs.drop("ids")
+    return _mapped(docs, {"ids": "binary"}, lambda batch: {
+        "ids": pa.array(pieces(path).encode(batch.column("text").to_pylist()), pa.binary())})
 
-    def run(batch: pa.RecordBatch) -> dict:
-        ids = pieces(path).encode(batch.column("text").to_pylist())
-        return {name: batch.column(name) for name in batch.schema.names} | {"ids": pa.array(ids, pa.binary())}
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
-    return map_batches(rest, run, f"{schema}, ids binary", 1024)
+def _decoded(path: str, ids: list[bytes | None]) -> pa.Array:
+    model = pieces(path)
+    return pa.array([None if x is None else model.decode(x) for x in ids], pa.string())
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """`encoded` (ids and any others) with `decoded`, the text of the ids; null ids give null."""
-    rest = encoded.drop("decoded")
+    return _mapped(encoded, {"decoded": "string"}, lambda batch: {"decoded": _decoded(path, batch.column("ids").to_pylist())})
 
-    def run(batch: pa.RecordBatch) -> dict:
-        model = pieces(path)
-        texts = [None if x is None else model.decode(x) for x in batch.column("ids").to_pylist()]
-        return {name: batch.column(name) for name in batch.schema.names} | {"decoded": pa.array(texts, pa.string())}
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
-    return map_batches(rest, run, f"{schema}, decoded string", 1024)
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """`docs` with `ids` and `decoded`: both ways in one pass, so that a task needs one worker."""
+    def both(batch: pa.RecordBatch) -> dict:
+        ids = pieces(path).encode(batch.column("text").to_pylist())
+        return {"ids": pa.array(ids, pa.binary()), "decoded": _decoded(path, ids)}
+
+    return _mapped(docs, {"ids": "binary", "decoded": "string"}, both)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row's text."""
-    done = decode(encode(docs.select("doc_id", "text"), path).drop("text"), path)
+    done = round_trip(docs.select("doc_id", "text"), path)
     return done.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
