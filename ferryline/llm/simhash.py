@@ -69,7 +69,8 @@ def sampled_fingerprints(text: str | None, shingle: int, sample: int, spaces: in
     out = np.zeros(spaces, np.uint64)
     for s in range(spaces if len(hashes) else 0):
         mixed = mix64(hashes + np.uint64((s + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-        out[s] = majority(np.partition(mixed, sample - 1)[:sample] if len(mixed) > sample else mixed)
+        least = np.partition(mixed, sample - 1)[:sample] if len(mixed) > sample else mixed
+        out[s] = majority(mix64(least))  # mixed again: the least hashes all begin with zeros
     return out
 
 
