@@ -18,13 +18,18 @@ from ferryline.operators.rounds import Rounds
 from ferryline.session import Scratch, materialize
 
 
+SHOWN = 20  # nodes a message names
+
+
 class CycleError(ValueError):
     """Strict mode met nodes that no order can free; `stuck` holds all of them."""
 
     def __init__(self, stuck: DataFrame):
         self.stuck = stuck
-        shown = [str(row[0]) for row in stuck.orderBy("id").limit(20).collect()]
-        super().__init__(f"no valid load order, cyclic dependency among: {', '.join(shown)}")
+        shown = [str(row[0]) for row in stuck.orderBy("id").limit(SHOWN).collect()]
+        total = stuck.count()
+        among = ", ".join(shown) if total <= SHOWN else f"{', '.join(shown)} ({SHOWN} of {total}; all in .stuck)"
+        super().__init__(f"no valid load order, cyclic dependency among: {among}")
 
 
 def _within(edges: DataFrame, nodes: DataFrame) -> DataFrame:

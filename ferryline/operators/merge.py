@@ -60,6 +60,14 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str],
     return without(target, source, keys).unionByName(rows_to_write(source, keys, order_by))
 
 
+def merge_newest(target: DataFrame, source: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
+    """Like `merge_upsert`, but a target row stays where the source's is older by `order_by`; equally new ones are replaced."""
+    keys = clean_keys(keys)
+    both = target.withColumn("_incoming", F.lit(0)).unionByName(source.withColumn("_incoming", F.lit(1)))
+    newest = latest_per_key(both.where(no_null_key(keys)), keys, [*order_by, "_incoming"])
+    return newest.unionByName(both.where(~no_null_key(keys))).drop("_incoming")
+
+
 def rows_to_write(source: DataFrame, keys: list[str], order_by: list[str] | None = None) -> DataFrame:
     """What an upsert writes of `source`: the last row of each key, and every row with a NULL in its key."""
     return latest_per_key(source.where(no_null_key(keys)), keys, order_by).unionByName(source.where(~no_null_key(keys)))

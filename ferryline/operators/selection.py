@@ -24,6 +24,26 @@ def _literal(df: DataFrame, column: str, value) -> Column:
     return F.lit(str(value)).cast(df.schema[column].dataType)
 
 
+def _text(value: Column, data_type: T.DataType) -> Column:
+    """A cursor value as text.  An instant is written in UTC: local time repeats when clocks go back."""
+    if not isinstance(data_type, T.TimestampType):
+        return value.cast("string")
+    seconds = (F.unix_micros(value).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.concat((epoch + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)).cast("string"), F.lit("Z"))
+
+
+def last_cursor(df: DataFrame, column: str) -> str | None:
+    """The greatest cursor value as text; None if there is none."""
+    return df.agg(_text(F.max(column), df.schema[column].dataType)).first()[0]
+
+
+def is_later(df: DataFrame, column: str, value: str, than: str) -> bool:
+    """Whether one cursor value lies beyond another, in the column's own type."""
+    later = _literal(df, column, value) > _literal(df, column, than)
+    return bool(df.sparkSession.range(1).select(later).first()[0])
+
+
 def after_cursor(df: DataFrame, column: str | None, start) -> DataFrame:
     """Rows strictly beyond `start`; a row without a cursor value never qualifies.
 
@@ -35,11 +55,6 @@ def after_cursor(df: DataFrame, column: str | None, start) -> DataFrame:
     return df.where(F.col(column) > _literal(df, column, start))
 
 
-def between_cursors(df: DataFrame, column: str, start, last) -> DataFrame:
-    """The half-open batch (start, last]; the same rows however often it is read."""
-    return after_cursor(df, column, start).where(F.col(column) <= _literal(df, column, last))
-
-
 def effective_start(specs: DataFrame, state: DataFrame, key: str = "state_key") -> DataFrame:
     """Per load: the saved cursor if there is one, else the configured start."""
     saved = state.select(key, "last_value")
@@ -64,18 +79,20 @@ def _require_batch(n: int) -> None:
 
 def next_batch(df: DataFrame, cursor: str, start, n: int = DEFAULT_BATCH, predicate: str | None = None,
                tie_break: list[str] | None = None) -> DataFrame:
-    """Exactly the next n rows by cursor; a tie at the cut is cut through.
+    """Exactly the next n rows by cursor, in no order; a tie at the cut is cut through, by `tie_break`.
 
-    Past TOP_K_ROWS the rows are first bounded by the n-th cursor value, so that
-    the final sort sees n rows and their ties instead of n rows of every task.
+    Everything below the n-th cursor value is a range filter and stays
+    distributed; only of the rows tied at it a top-k takes what is still needed.
     """
-    _require_batch(n)
+    last = batch_end(df, cursor, start, n, predicate)
     selected = where(after_cursor(df, cursor, start), predicate)
-    if n > TOP_K_ROWS:
-        last = kth_cursor(selected, cursor, n)
-        if last is not None:
-            selected = selected.where(F.col(cursor) <= _literal(df, cursor, last))
-    return selected.orderBy(cursor, *(tie_break or [])).limit(n)
+    if last is None:
+        return selected.limit(0)
+    below = selected.where(F.col(cursor) < _literal(df, cursor, last))
+    tied = selected.where(F.col(cursor) == _literal(df, cursor, last))
+    if tie_break:
+        tied = tied.orderBy(*tie_break)
+    return below.union(tied.limit(n - below.count()))
 
 
 def batch_end(df: DataFrame, cursor: str, start, n: int = DEFAULT_BATCH, predicate: str | None = None) -> str | None:
@@ -132,12 +149,8 @@ def kth_cursor(df: DataFrame, cursor: str, n: int) -> str | None:
     return _kth_by_slices(values, n)
 
 
-def _text(value: Column) -> Column:
-    return value.cast("string")
-
-
 def _kth_of_few(values: DataFrame, n: int) -> str | None:
-    return values.orderBy("c").limit(n).agg(_text(F.max("c"))).first()[0]
+    return last_cursor(values.orderBy("c").limit(n), "c")
 
 
 def _kth_by_slices(values: DataFrame, n: int) -> str | None:
@@ -147,7 +160,8 @@ def _kth_by_slices(values: DataFrame, n: int) -> str | None:
     leaves little to read.
     """
     data_type = values.schema["c"].dataType
-    least, greatest, total = values.agg(_text(F.min("c")), _text(F.max("c")), F.count("*")).first()
+    ends = [_text(F.min("c"), data_type).alias("least"), _text(F.max("c"), data_type).alias("greatest")]
+    least, greatest, total = values.agg(*ends, F.count("*")).first()
     if total <= n:
         return greatest
     left = n
@@ -163,7 +177,7 @@ def _kth_by_slices(values: DataFrame, n: int) -> str | None:
         share = F.coalesce(F.try_divide(_position(F.col("c"), data_type) - low, span), F.lit(0.0))
         slices = (
             inside.groupBy(F.floor(share * SLICES).alias("slice"))
-            .agg(F.count("*").alias("n"), _text(F.min("c")).alias("least"), _text(F.max("c")).alias("greatest"))
+            .agg(F.count("*").alias("n"), *ends)
             .orderBy("slice")
             .collect()
         )
@@ -183,7 +197,8 @@ def _kth_by_ranges(values: DataFrame, n: int) -> str | None:
     spread = values.groupBy("c").agg(F.count("*").alias("n")).repartitionByRange("c")
     counts = materialize(spread.withColumn("part", F.spark_partition_id()), "cursor-counts")
     parts = counts.groupBy("part").agg(F.sum("n").alias("n"), F.min("c").alias("least"), F.max("c").alias("greatest"))
-    parts = parts.withColumn("last_value", _text(F.col("greatest")))
+    data_type = values.schema["c"].dataType
+    parts = parts.withColumn("last_value", _text(F.col("greatest"), data_type))
     left = n
     chosen = None
     for chosen in parts.orderBy("least").collect():
@@ -194,7 +209,7 @@ def _kth_by_ranges(values: DataFrame, n: int) -> str | None:
         return chosen["last_value"] if chosen else None
     running = F.sum("n").over(W.partitionBy("part").orderBy("c"))
     inside = counts.where(F.col("part") == chosen["part"]).select("c", running.alias("upto"))
-    return inside.where(F.col("upto") >= left).agg(_text(F.min("c"))).first()[0]
+    return inside.where(F.col("upto") >= left).agg(_text(F.min("c"), data_type)).first()[0]
 
 
 # --- shape -------------------------------------------------------------------

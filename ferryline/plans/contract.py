@@ -60,6 +60,11 @@ class TableLoad:
     order_by: list[str] | None = None
     snapshot: bool = False  # copy the selection before working on it: for databases and sources that change
 
+    @property
+    def entry(self) -> str:
+        """The key as entries are told apart by: case and blanks around it don't count."""
+        return self.key.strip().lower()
+
     @property
     def is_incremental(self) -> bool:
         return (self.migration_type or "full").strip().lower() == "incremental"
@@ -102,6 +107,9 @@ def validate(loads: list[TableLoad]) -> list[TableLoad]:
         if _blank(load.key):
             raise InvalidContract("a table entry has no name")
     active = [load for load in loads if load.enabled]
+    entries = [load.entry for load in active]
+    if repeated := sorted({e for e in entries if entries.count(e) > 1}):
+        raise InvalidContract(f"table entries repeat: {', '.join(repeated)}")
     for load in active:
         for side, ref in (("source", load.source), ("target", load.target)):
             _identifier(load, f"{side} table", ref.table)

@@ -45,6 +45,7 @@ class LoadResult:
     previous_value: str | None = None
     last_value: str | None = None
     state_updated: bool = False
+    published_before: bool = False
     warnings: list[str] = field(default_factory=list)
 
 
@@ -58,9 +59,9 @@ def full_load(load: TableLoad, source: DataFrame, target: VersionedTable, run_id
     """
     result = LoadResult("UPSERT")
     keys = clean_keys(load.schema.primary_key)
-    done = target.commit_of(run_id)
+    done = target.commit_of(run_id, load.entry)
     if done:
-        return _already_published(result, target)
+        return _already_published(result, target, done)
     selected = selection.where(source, load.where)
     if load.snapshot:
         selected = materialize(selected, "snapshot")
@@ -86,11 +87,11 @@ def incremental_load(load: TableLoad, source: DataFrame, target: VersionedTable,
     state_key = load.target.id
     start = saved_cursor(spark, state_path, state_key) or spec.start_value
     result.previous_value = result.last_value = start
-    done = target.commit_of(run_id)
-    if done:  # published before, perhaps without its state
-        if done["cursor"] and done["cursor"] != start:
+    done = target.commit_of(run_id, load.entry)
+    if done:  # published before, perhaps without its state; a saved cursor only ever moves ahead
+        if done["cursor"] and selection.is_later(source, spec.column, done["cursor"], start):
             _save_cursor(spark, load, result, state_path, run_id, done["cursor"])
-        return _already_published(result, target)
+        return _already_published(result, target, done)
 
     size = spec.batch_size or selection.DEFAULT_BATCH
     pick = selection.next_batch_with_ties if with_ties else selection.next_batch
@@ -103,7 +104,7 @@ def incremental_load(load: TableLoad, source: DataFrame, target: VersionedTable,
         keys = clean_keys(spec.keys or load.schema.primary_key)
         order = load.order_by or [spec.column]
         staged = target.stage_upsert(good, keys, order, small_batch=True)
-    last = batch.agg(F.max(spec.column).cast("string")).first()[0]
+    last = selection.last_cursor(batch, spec.column)
     _finish(load, target, staged, result, run_id, cursor=last)
     if last and last.strip():
         _save_cursor(spark, load, result, state_path, run_id, last)
@@ -112,16 +113,17 @@ def incremental_load(load: TableLoad, source: DataFrame, target: VersionedTable,
 
 def incremental_loads(load: TableLoad, source: DataFrame, target: VersionedTable, run_id: str, state_path: str,
                       **options) -> list[LoadResult]:
-    """Batches until none is left."""
+    """Batches until none is left; started again under its run id it goes on behind those it had published."""
     results: list[LoadResult] = []
-    while not results or results[-1].source_selected:
+    while not results or results[-1].published_before or results[-1].source_selected:
         results.append(incremental_load(load, source, target, f"{run_id}.{len(results) + 1}", state_path, **options))
     return results
 
 
-def _already_published(result: LoadResult, target: VersionedTable) -> LoadResult:
+def _already_published(result: LoadResult, target: VersionedTable, done: dict) -> LoadResult:
     result.target_before = result.target_after = target.count()
     result.target_net_delta, result.source_selected = 0, None
+    result.published_before = True
     result.consistency, result.outcome = "TARGET_DELTA_ONLY", "TARGET_DELTA_ONLY"
     result.warnings.append("this run had published the table before; nothing was written")
     return result
@@ -185,7 +187,7 @@ def _finish(load: TableLoad, target: VersionedTable, staged: Staged, result: Loa
             f"source and target disagree: {result.write_mode} of {result.source_selected} rows, "
             f"target {result.target_before} -> {result.target_after}", result)
     result.records_processed = verdict["records_processed"]
-    target.publish(staged, run_id, cursor)
+    target.publish(staged, run_id, cursor, load.entry, result.source_selected)
 
 
 def _check_merged(load: TableLoad, target: VersionedTable, staged: Staged, result: LoadResult) -> None:
@@ -207,7 +209,7 @@ def _save_cursor(spark: SparkSession, load: TableLoad, result: LoadResult, path:
         column_name=F.lit(spec.column), previous_value=F.lit(result.previous_value), last_value=F.lit(last),
         batch_size=F.lit(spec.batch_size).cast("bigint"), status=F.lit(SUCCESS), run_id=F.lit(run_id),
         table_run_id=F.lit(f"{run_id}-{load.target.id}"), records_processed=F.lit(result.records_processed),
-        updated_at=F.localtimestamp(),
+        updated_at=F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz"),  # UTC never repeats
     )
     write_state(saved, path)
     result.last_value, result.state_updated = last, True

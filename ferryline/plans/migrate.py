@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ferryline.operators.edges import included_edges, map_edges
 from ferryline.operators.graph import cycle_members
 from ferryline.operators.reconcile import BLOCKED, FAILED, SUCCESS
+from ferryline.operators.rows import TargetSchema
+from ferryline.operators.schema_diff import schema_diff
 from ferryline.plans.contract import TableLoad, validate
 from ferryline.plans.loads import LoadFailed, LoadResult, full_load, incremental_load
-from ferryline.sources.audit_log import TRACE_SCHEMA, read_trace, write_errors, write_trace
+from ferryline.sources.audit_log import TRACE_SCHEMA, read_trace, write_errors, write_table_trace
+from ferryline.sources.catalog import declared_catalog
 from ferryline.sources.tables import VersionedTable
 
 FK_SCHEMA = "pk_schema string, pk_table string, fk_schema string, fk_table string"
@@ -62,7 +66,7 @@ def plan_loads(spark: SparkSession, loads: list[TableLoad], fk_rows: DataFrame)
     )
     edges = map_edges(included_edges(fk_rows, mapping.select("source_id")), mapping)
     pairs = sorted({(row["parent"], row["child"]) for row in edges.where("parent <> child").collect()})
-    parents: dict[str, list[str]] = {load.key.strip().lower(): [] for load in loads}
+    parents: dict[str, list[str]] = {load.entry: [] for load in loads}
     for parent, child in pairs:
         parents[child].append(parent)
     levels: dict[str, int] = {}
@@ -79,52 +83,96 @@ def _on_a_cycle(spark: SparkSession, pairs: list[tuple[str, str]]) -> list[str]:
     return sorted(row["id"] for row in cycle_members(edges).collect())
 
 
+def schema_violations(spark: SparkSession, loads: list[TableLoad], sources: dict[str, TargetSchema]) -> dict[str, str]:
+    """What the declared source schemas (by contract key) break in their targets', by entry; all tables in one comparison."""
+    compared = [load for load in loads if load.key in sources]
+    if not compared:
+        return {}
+    # the entry stands for the table on both sides: two entries may share a source or a target
+    mapping = spark.createDataFrame(
+        [(i, load.entry, load.entry, load.target.schema, load.target.table) for i, load in enumerate(compared)],
+        "ordinal int, source_id string, target_id string, target_schema string, target_table string")
+    own = {load.target.id: load.entry for load in compared}
+
+    def catalog(schemas: dict[str, TargetSchema]) -> dict[str, DataFrame]:
+        return declared_catalog(spark, {
+            entry: replace(s, foreign_keys=[replace(fk, parent=own.get(fk.parent, fk.parent)) for fk in s.foreign_keys])
+            for entry, s in schemas.items()})
+
+    source = catalog({load.entry: sources[load.key] for load in compared})
+    target = catalog({load.entry: load.schema for load in compared})
+    keys = {"foreign_keys": source["foreign_keys"].limit(0)}  # parents are compared by the load order, not here
+    found = schema_diff(mapping, source | keys, target).select("target_id", F.concat_ws(" ", "rule", "column_name").alias("rule"))
+    rows = found.groupBy("target_id").agg(F.array_join(F.array_sort(F.collect_set("rule")), ", ").alias("rules")).collect()
+    return {r["target_id"]: r["rules"] for r in rows}
+
+
 def migrate(spark: SparkSession, loads: list[TableLoad], sources: dict[str, DataFrame],
             targets: dict[str, VersionedTable], run_id: str, folder: str, fk_rows: DataFrame | None = None,
-            strict: bool = True, concurrency: int = 4) -> DataFrame:
+            strict: bool = True, concurrency: int = 4, source_schemas: dict[str, TargetSchema] | None = None) -> DataFrame:
     """Run the enabled loads and return their trace, one row per table.
 
     `sources` and `targets` go by contract key.  `folder` takes state, traces,
-    errors and rejects.  Tables of one level run side by side.  With `strict` the
-    run fails if more tables failed or were blocked than cycles made unavoidable.
+    errors and rejects; a table's trace is written when the table ends.  Tables of
+    one level run side by side, those with the same target one after the other.
+    Declared schemas of the sources are compared with the targets' first; a table
+    that breaks a rule is not run.  With `strict` the run fails if more tables
+    failed or were blocked than cycles made unavoidable.
     """
     loads = validate(loads)
-    by_id = {load.key.strip().lower(): load for load in loads}
+    by_id = {load.entry: load for load in loads}
     plan = plan_loads(spark, loads, fk_rows if fk_rows is not None else declared_foreign_keys(spark, loads))
+    broken = schema_violations(spark, loads, source_schemas or {})
     stopped: set[str] = set()
     traces: list[dict] = []
 
-    def run(name: str, number: int) -> dict:
+    def run(name: str, number: int, level: int) -> dict:
         load = by_id[name]
         blockers = [p for p in plan.parents[name] if p in stopped]
         if blockers:
-            return _trace(load, run_id, number, BLOCKED, f"not run: parents failed: {', '.join(blockers)}")
-        parents = {by_id[p].target.id: targets[by_id[p].key].read() for p in plan.parents[name]}
-        return _run_one(load, sources[load.key], targets[load.key], run_id, number, folder, parents)
+            trace = _trace(load, run_id, number, BLOCKED, f"not run: parents failed: {', '.join(blockers)}")
+        elif name in broken:
+            trace = _trace(load, run_id, number, FAILED, f"not run: the schemas differ: {broken[name]}", "SCHEMA_MISMATCH")
+        else:
+            trace = _run_one(load, sources, targets, run_id, number, folder, [by_id[p] for p in plan.parents[name]])
+        return record({**trace, "level": level})
+
+    def record(trace: dict) -> dict:
+        row = spark.createDataFrame([_trace_row(trace)], TRACE_SCHEMA)
+        write_table_trace(row, f"{folder}/traces", run_id, trace["load"].entry)
+        return trace
+
+    def in_turn(names: list[str], numbers: dict[str, int], level: int) -> list[dict]:
+        return [run(name, numbers[name], level) for name in names]
 
     with ThreadPoolExecutor(concurrency) as pool:
         for level in sorted(set(plan.levels.values())):
             names = sorted(name for name, at in plan.levels.items() if at == level)
-            first = len(traces) + 1
-            for name, trace in zip(names, pool.map(run, names, range(first, first + len(names)))):
-                traces.append({**trace, "level": level})
+            numbers = {name: len(traces) + i for i, name in enumerate(names, 1)}
+            by_target: dict[str, list[str]] = {}
+            for name in names:
+                by_target.setdefault(by_id[name].target.id, []).append(name)
+            done = pool.map(lambda group: in_turn(group, numbers, level), by_target.values())  # noqa: B023
+            for trace in sorted((t for group in done for t in group), key=lambda t: t["load_order"]):
+                traces.append(trace)
                 if trace["status"] != SUCCESS:
-                    stopped.add(name)
+                    stopped.add(trace["load"].entry)
     for stuck, status, reason in ((plan.cyclic, FAILED, CYCLIC_REASON), (plan.blocked, BLOCKED, BELOW_CYCLE_REASON)):
         for name in stuck:
-            traces.append(_trace(by_id[name], run_id, len(traces) + 1, status, reason, status))
+            traces.append(record(_trace(by_id[name], run_id, len(traces) + 1, status, reason, status)))
     _record_errors(spark, traces, folder)
-    write_trace(spark.createDataFrame([_trace_row(t) for t in traces], TRACE_SCHEMA), f"{folder}/traces")
-    written = read_trace(spark, f"{folder}/traces").where(f"run_id = '{run_id}'")
+    written = read_trace(spark, f"{folder}/traces").where(F.col("run_id") == run_id)
     _verdict(traces, plan, strict, written)
     return written
 
 
-def _run_one(load: TableLoad, source: DataFrame, target: VersionedTable, run_id: str, number: int, folder: str,
-             parents: dict[str, DataFrame]) -> dict:
+def _run_one(load: TableLoad, sources: dict[str, DataFrame], targets: dict[str, VersionedTable], run_id: str, number: int,
+             folder: str, above: list[TableLoad]) -> dict:
     started = datetime.now()
     rejects = f"{folder}/rejects/{load.target.id}/{run_id}"
     try:
+        source, target = sources[load.key], targets[load.key]
+        parents = {p.target.id: targets[p.key].read() for p in above}
         if load.is_incremental:
             result = incremental_load(load, source, target, run_id, f"{folder}/state", parents, rejects)
         else:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cache
 
 from pyspark.sql import functions as F
 
 from ferryline.operators.rows import ForeignKey, TargetSchema
 from ferryline.plans.contract import Incremental, TableLoad, TableRef, columns
-from ferryline.plans.loads import full_load, incremental_load
+from ferryline.plans.loads import full_load, incremental_load, incremental_loads
 from ferryline.plans.migrate import migrate
 from ferryline.queries import query
 from ferryline.session import new_folder
@@ -172,6 +173,48 @@ def incremental_append(spark, d):
     return target.read()
 
 
+@query("incremental_drain", "SELECT * FROM events")
+def incremental_drain(spark, d):
+    """All of `events` in batches; the run stops after its second batch and is started again under its id."""
+    events = scan(spark, "events", d)
+    root = new_folder(spark, "drain")
+    target = target_of(spark, "events", root)
+    load = load_of("events", migration_type="incremental", incremental=Incremental("ts", "1970-01-01 00:00:00", 4000, "append"))
+    for done in ("run.1", "run.2"):
+        incremental_load(load, events, target, done, f"{root}/state")
+    incremental_loads(load, events, target, "run", f"{root}/state")
+    return target.read()
+
+
+@query("migrate_shared_target", "SELECT * FROM orders WHERE o_orderstatus <> 'P'")
+def migrate_shared_target(spark, d):
+    """Two filtered entries of one contract load one target; the run is started twice under its id."""
+    root = new_folder(spark, "shared")
+    loads = [replace(load_of("orders", where=f"o_orderstatus = '{status}'"), key=f"orders_{status}") for status in "FO"]
+    targets = {load.key: target_of(spark, "orders", root) for load in loads}
+    for _ in range(2):
+        migrate(spark, loads, {load.key: scan(spark, "orders", d) for load in loads}, targets, "run-1", root)
+    return targets["orders_F"].read()
+
+
+@query("migrate_schema_check", """
+    SELECT 'public.region' AS table_id, 'FAILED' AS status, 0 AS records_processed,
+           'not run: the schemas differ: nullability r_name, too_short r_name' AS reason
+    UNION ALL SELECT 'public.nation', 'BLOCKED', 0, 'not run: parents failed: region'
+    UNION ALL SELECT 'public.part', 'SUCCESS', count(*), NULL FROM part
+""")
+def migrate_schema_check(spark, d):
+    """A source declared wider than its target is not loaded, nor what depends on it."""
+    root = new_folder(spark, "schema-check")
+    loads = [load_of(name) for name in ("region", "nation", "part")]
+    wider = TargetSchema(columns("r_regionkey int, r_name varchar(40)"), ["r_regionkey"])
+    trace = migrate(
+        spark, loads, {load.key: scan(spark, load.key, d) for load in loads},
+        {load.key: target_of(spark, load.key, f"{root}/tables") for load in loads}, "run-1", root, strict=False,
+        source_schemas={"region": wider, "nation": schemas()["nation"]})
+    return trace.select("table_id", "status", "records_processed", "reason")
+
+
 # --- streaming ----------------------------------------------------------------
 
 

@@ -143,3 +143,14 @@ def next_batch_large(spark, d):
 def batch_cursor(spark, d):
     batch = S.next_batch(scan(spark, "events", d), "ts", "2024-01-05 00:00:00")
     return S.batch_cursor(batch, "ts")
+
+
+@query("next_batch_exact_large", """
+    SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_shipdate FROM lineitem
+    WHERE l_shipdate > TIMESTAMP '1995-01-01 00:00:00'
+    ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity LIMIT 25000
+""")
+def next_batch_exact_large(spark, d):
+    rows = S.project(scan(spark, "lineitem", d), ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_shipdate"])
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
+    return S.next_batch(rows, "l_shipdate", "1995-01-01 00:00:00", 25_000, tie_break=order)

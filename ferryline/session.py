@@ -93,6 +93,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Delete a folder with all in it; whether it was there."""
+    files, target = _file_system(spark, path)
+    return files.delete(target, True)
+
+
 def one_row(spark: SparkSession, **values: Column) -> DataFrame:
     """A single row of expressions, made inside the JVM."""
     return spark.range(0, 1, 1, 1).select(*[value.alias(name) for name, value in values.items()])

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ferryline.functions.ids import table_id
 from ferryline.functions.text import redact
@@ -23,21 +26,32 @@ TRACE_SCHEMA = """
 SEVERITY, STATUS = "ERROR", "FAILED"
 
 
-def write_trace(traces: DataFrame, path: str) -> None:
-    """Append trace rows, one folder per run; messages lose their secrets on the way."""
+def _safe(traces: DataFrame) -> DataFrame:
+    """Traces whose messages have lost their secrets."""
     def clean(texts):
         return F.transform(texts, redact)
 
-    safe = (
+    return (
         traces.withColumn("reason", F.when(F.col("reason").isNotNull(), redact(F.col("reason"))))
         .withColumn("errors", clean(F.col("errors")))
         .withColumn("metrics", F.col("metrics").withField("warnings", clean(F.col("metrics.warnings"))))
     )
-    safe.write.mode("append").partitionBy("run_id").json(path)
+
+
+def write_trace(traces: DataFrame, path: str) -> None:
+    """Append trace rows, one folder per run."""
+    _safe(traces).write.mode("append").partitionBy("run_id").json(path)
+
+
+def write_table_trace(trace: DataFrame, path: str, run_id: str, entry: str) -> None:
+    """The trace of one entry in one run, in a folder of its own: a run started again replaces it."""
+    folder = f"{path}/run_id={quote(run_id, safe='')}/entry={quote(entry, safe='')}"
+    _safe(trace).drop("run_id").write.mode("overwrite").json(folder)
 
 
 def read_trace(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(TRACE_SCHEMA).json(path)
+    names = [f.name for f in T.DataType.fromDDL(TRACE_SCHEMA)]
+    return spark.read.schema(TRACE_SCHEMA).json(path).select(*names)
 
 
 def error_rows(failures: DataFrame) -> DataFrame:

@@ -71,8 +71,12 @@ FOREIGN_KEYS_QUERY = f"""
            p.table_schema AS ref_schema, p.table_name AS ref_table, {TABLE_ID.format('p')} AS ref_id,
            p.column_name AS ref_column
     FROM information_schema.referential_constraints r
+    JOIN information_schema.table_constraints t
+      ON t.constraint_schema = r.constraint_schema AND t.constraint_name = r.constraint_name
+     AND t.constraint_type = 'FOREIGN KEY'
     JOIN information_schema.key_column_usage f
-      ON f.constraint_schema = r.constraint_schema AND f.constraint_name = r.constraint_name
+      ON f.constraint_schema = t.constraint_schema AND f.constraint_name = t.constraint_name
+     AND f.table_schema = t.table_schema AND f.table_name = t.table_name
     JOIN information_schema.key_column_usage p
       ON p.constraint_schema = r.unique_constraint_schema AND p.constraint_name = r.unique_constraint_name
      AND p.ordinal_position = f.position_in_unique_constraint

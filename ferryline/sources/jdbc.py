@@ -16,8 +16,8 @@ from ferryline.session import one_row
 
 DEFAULT_DRIVER = "org.postgresql.Driver"  # fixed value
 
-# What names each database type in its driver class or URL; PostgreSQL otherwise.
-DATABASES = {"oracle": "Oracle", "mysql": "MySQL", "mariadb": "MariaDB", "sqlserver": "MS SQL 2012+"}
+# How a database merges staged rows; the SQL standard's MERGE unless named here by the URL's sub-protocol.
+MERGES = {"postgresql": "on conflict", "mysql": "on duplicate key", "mariadb": "on duplicate key", "sqlserver": "merge;"}
 
 
 @dataclass(frozen=True)
@@ -34,14 +34,13 @@ class Connection:
         return {key: value for key, value in given.items() if value and value.strip()}
 
     @property
-    def database(self) -> str:
-        if self.database_type and self.database_type.strip():
-            return self.database_type
-        driver, url = (self.driver or "").lower(), self.url.lower()
-        for mark, name in DATABASES.items():
-            if mark in driver or f":{mark}:" in url:
-                return name
-        return "PostgreSQL"
+    def protocol(self) -> str:
+        """The sub-protocol of the JDBC URL, as in jdbc:<sub-protocol>:..., unless it is set."""
+        return (self.database_type or self.url.removeprefix("jdbc:").partition(":")[0]).strip().lower()
+
+    @property
+    def merge(self) -> str:
+        return MERGES.get(self.protocol, "merge")
 
 
 def jdbc_scan(spark: SparkSession, connection: Connection, table: str, partition_column: str | None = None,
@@ -79,23 +78,23 @@ def jdbc_append(df: DataFrame, connection: Connection, table: str, batch_size: i
     ).mode("append").save()
 
 
-def merge_statement(database: str, table: str, staging: str, columns: list[str], keys: list[str]) -> str:
-    """The statement that upserts a staging table into `table`."""
+def merge_statement(merge: str, table: str, staging: str, columns: list[str], keys: list[str]) -> str:
+    """The statement that upserts a staging table into `table`, in one of the forms of `MERGES`."""
     names = ", ".join(columns)
     values = [c for c in columns if c not in keys]
-    if database == "PostgreSQL":
+    if merge == "on conflict":
         change = ", ".join(f"{c} = EXCLUDED.{c}" for c in values)
         action = f"DO UPDATE SET {change}" if values else "DO NOTHING"
         return (f"INSERT INTO {table} ({names}) SELECT {names} FROM {staging} "
                 f"ON CONFLICT ({', '.join(keys)}) {action}")
-    if database in ("MySQL", "MariaDB"):
+    if merge == "on duplicate key":
         change = ", ".join(f"{c} = VALUES({c})" for c in values or keys)
         return f"INSERT INTO {table} ({names}) SELECT {names} FROM {staging} ON DUPLICATE KEY UPDATE {change}"
     match = " AND ".join(f"t.{k} = s.{k}" for k in keys)
     change = ", ".join(f"t.{c} = s.{c}" for c in values)
     update = f"WHEN MATCHED THEN UPDATE SET {change} " if values else ""
     insert = f"WHEN NOT MATCHED THEN INSERT ({names}) VALUES ({', '.join(f's.{c}' for c in columns)})"
-    end = ";" if database.startswith("MS SQL") else ""
+    end = ";" if merge.endswith(";") else ""
     return f"MERGE INTO {table} t USING {staging} s ON ({match}) {update}{insert}{end}"
 
 
@@ -138,10 +137,11 @@ class JdbcTable:
     def count(self) -> int:
         return self._number(f"SELECT COUNT(*) AS n FROM {self.table}")
 
-    def commit_of(self, run_id: str) -> dict | None:
+    def commit_of(self, run_id: str, entry: str | None = None) -> dict | None:
         self._ensure_log()
         runs = self.spark.read.format("jdbc").options(**self.connection.options).option("dbtable", self.log).load()
-        found = runs.where((F.col("table_name") == self.table) & (F.col("run_id") == run_id)).limit(1).collect()
+        same = (F.col("table_name") == self.table) & (F.col("run_id") == run_id) & (F.col("entry") == (entry or "-"))
+        found = runs.where(same).limit(1).collect()
         return {"run_id": run_id, "cursor": found[0]["last_value"]} if found else None
 
     def stage_append(self, df: DataFrame) -> JdbcStaged:
@@ -154,13 +154,15 @@ class JdbcTable:
         keys = clean_keys(keys or self.keys)
         self._stage(rows_to_write(df, keys, order_by))
         before, added = self.count(), self._number(new_rows_query(self.table, self.staging, keys))
-        statement = merge_statement(self.connection.database, self.table, self.staging, df.columns, keys)
+        statement = merge_statement(self.connection.merge, self.table, self.staging, df.columns, keys)
         return JdbcStaged(statement, before, before + added)
 
-    def publish(self, staged: JdbcStaged, run_id: str, cursor: str | None = None) -> None:
+    def publish(self, staged: JdbcStaged, run_id: str, cursor: str | None = None, entry: str | None = None,
+                selected: int | None = None) -> None:
         self._ensure_log()
-        logged = f"INSERT INTO {self.log} (table_name, run_id, last_value) VALUES (?, ?, ?)"
-        _transaction(self.spark, self.connection, [(staged.statement, []), (logged, [self.table, run_id, cursor])])
+        logged = f"INSERT INTO {self.log} (table_name, run_id, entry, last_value) VALUES (?, ?, ?, ?)"
+        values = [self.table, run_id, entry or "-", cursor]
+        _transaction(self.spark, self.connection, [(staged.statement, []), (logged, values)])
 
     def _stage(self, df: DataFrame) -> None:
         df.write.format("jdbc").options(**self.connection.options).option("dbtable", self.staging).mode("overwrite").save()
@@ -169,7 +171,8 @@ class JdbcTable:
         return int(jdbc_query(self.spark, self.connection, query).first()[0])
 
     def _ensure_log(self) -> None:
-        none = one_row(self.spark, table_name=F.lit(""), run_id=F.lit(""), last_value=F.lit("")).where("false")
+        names = ("table_name", "run_id", "entry", "last_value")
+        none = one_row(self.spark, **{name: F.lit("") for name in names}).where("false")
         none.write.format("jdbc").options(**self.connection.options).option("dbtable", self.log).mode("append").save()
 
 

@@ -8,17 +8,20 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
-from ferryline.operators.merge import clean_keys, merge_upsert, no_null_key, rows_to_write
-from ferryline.session import one_row
+from ferryline.operators.merge import clean_keys, merge_newest, merge_upsert, no_null_key, rows_to_write
+from ferryline.session import delete_path, one_row
 
 BUCKET = "load_bucket"
 VERSION = "load_version"
-BUCKET_BYTES = 256 * 1024 * 1024  # estimated size of a bucket in a new table
+BUCKET_BYTES = 256 * 1024 * 1024  # estimated size of a bucket
 
+# `added` are the parts a version wrote; a fresh one takes the place of all older parts of its bucket, and a
+# version with `reset` that of the whole table.  So a commit stays as small as its load, however long the log.
 LOG_SCHEMA = """
-    version bigint, run_id string, cursor string, buckets int,
-    live array<struct<bucket:int, version:bigint, n_rows:bigint>>
+    version bigint, run_id string, entry string, cursor string, selected bigint, buckets int, n_rows bigint,
+    reset boolean, added array<struct<bucket:int, n_rows:bigint, fresh:boolean>>
 """
 
 
@@ -32,23 +35,32 @@ def scan(spark: SparkSession, name: str, folder: str | None = None, schema: str
 class Staged:
     """Rows written for the next version of a table but not visible yet."""
 
-    def __init__(self, version: int, live: list[dict], rows_before: int, rows_after: int):
-        self.version, self.live = version, live
+    def __init__(self, version: int, live: list[dict], added: list[dict], reset: bool, buckets: int,
+                 rows_before: int, rows_after: int):
+        self.version, self.live, self.added, self.reset, self.buckets = version, live, added, reset, buckets
         self.rows_before, self.rows_after = rows_before, rows_after
 
 
+def _read_bytes(df: DataFrame) -> int:
+    """Estimated size of what a plan reads; sources that can't tell theirs count nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    unknown = int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str((1 << 63) - 1)))
+    return sum(s for s in sizes if s < unknown)
+
+
 class VersionedTable:
     """A parquet table whose versions are published by one small commit row.
 
-    Rows lie in `data/load_version=v/load_bucket=b/`; the newest row of the
-    commit log names the version in force for each bucket.  A reader therefore
-    sees a whole load or nothing of it, a path being read is never overwritten,
-    and a small batch rewrites only the buckets its keys fall in.
+    Rows lie in `data/load_version=v/load_bucket=b/`; the commit log names the
+    parts in force.  A reader therefore sees a whole load or nothing of it, a path
+    being read is never overwritten, and a small batch rewrites only the buckets
+    its keys fall in.
 
-    The bucket of a key is `pmod(hash(key), buckets)`, Spark's own shuffle
-    partition when `spark.sql.shuffle.partitions` is a multiple of `buckets`:
-    the rows leave the merge join already sorted into buckets.  A new table sizes
-    its buckets by its first load; give `buckets` for one that will outgrow it.
+    The bucket of a key is `pmod(hash(key), buckets)` over the table's own key
+    types.  Without a given count a table has one bucket for each `BUCKET_BYTES`
+    of its present size, a power of two; an upsert that finds the table twice as
+    large as its buckets are meant for rewrites it into more.
 
     One writer at a time per table.
     """
@@ -59,67 +71,93 @@ class VersionedTable:
                  keys: list[str] | None = None, buckets: int | None = None):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
         self.keys = [k for k in keys or []]
-        commit = self._latest()
-        self.buckets = commit["buckets"] if commit else buckets
+        if buckets is not None and buckets > 1 and not self.keys:
+            raise ValueError("a table without keys has one bucket")
+        self.fixed_buckets = buckets
 
     # -- reading --------------------------------------------------------------
 
-    def _newest(self, condition: Column | str = "true") -> dict | None:
-        """The newest commit that meets a condition; None before the first."""
+    def _log(self) -> DataFrame | None:
+        """The commit log; None before the first commit."""
         try:
-            log = self.spark.read.schema(LOG_SCHEMA).json(f"{self.path}/commits")
+            return self.spark.read.schema(LOG_SCHEMA).json(f"{self.path}/commits")
         except AnalysisException as missing:
             if missing.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
-        found = log.where(condition).orderBy(F.col("version").desc()).limit(1).collect()
-        return found[0].asDict(recursive=True) if found else None
+
+    def _newest(self, condition: Column | str = "true") -> dict | None:
+        """The newest commit that meets a condition, without its parts; None before the first."""
+        log = self._log()
+        found = log.where(condition).drop("added").orderBy(F.col("version").desc()).limit(1).collect() if log else []
+        return found[0].asDict() if found else None
 
     def _latest(self) -> dict | None:
         return self._newest()
 
-    def commit_of(self, run_id: str) -> dict | None:
-        """The commit a run made, for a run that is started again."""
-        return self._newest(F.col("run_id") == run_id)
+    def commit_of(self, run_id: str, entry: str | None = None) -> dict | None:
+        """The newest commit of a run, or of one entry of its contract, for a run that is started again."""
+        own = F.lit(True) if entry is None else F.col("entry") == entry
+        return self._newest((F.col("run_id") == run_id) & own)
+
+    def _live(self, version: int | None = None) -> list[dict]:
+        """The parts in force at a version (the newest by default): those since their bucket was last written afresh."""
+        log = self._log()
+        if log is None:
+            return []
+        known = log if version is None else log.where(F.col("version") <= version)
+        parts = known.select("version", F.max(F.when(F.col("reset"), F.col("version"))).over(W.partitionBy()).alias("start"),
+                             F.explode("added").alias("part")).select("version", "start", "part.*")
+        fresh = F.max(F.when(F.col("fresh"), F.col("version"))).over(W.partitionBy("bucket"))
+        since = F.greatest(F.coalesce("start", F.lit(0)), F.coalesce(fresh, F.lit(0)))
+        kept = parts.withColumn("since", since).where(F.col("version") >= F.col("since"))
+        rows = kept.where("n_rows > 0").select("bucket", "version", "n_rows").orderBy("version", "bucket").collect()
+        return [r.asDict() for r in rows]
 
     def read(self) -> DataFrame:
         """The rows of the newest published version."""
-        commit = self._latest()
-        return self._rows(commit["live"] if commit else [])
+        return self._rows(self._live())
 
     def count(self) -> int:
         """Rows in the newest version; known from the commit, nothing is scanned."""
         commit = self._latest()
-        return sum(part["n_rows"] for part in commit["live"]) if commit else 0
+        return commit["n_rows"] if commit else 0
 
     def _rows(self, live: list[dict]) -> DataFrame:
-        paths = [f"{self.path}/data/{VERSION}={p['version']}/{BUCKET}={p['bucket']}" for p in live if p["n_rows"]]
+        paths = [self._part(p["version"], p["bucket"]) for p in live if p["n_rows"]]
         if not paths:
             return self.spark.createDataFrame([], self.schema)
         reader = self.spark.read.schema(self.schema).option("basePath", f"{self.path}/data")
         return reader.parquet(*paths).select(*self.schema.names)
 
+    def _part(self, version: int, bucket: int) -> str:
+        return f"{self.path}/data/{VERSION}={version}/{BUCKET}={bucket}"
+
     # -- writing --------------------------------------------------------------
 
-    def _settle_buckets(self, first: DataFrame) -> None:
-        """Bucket count of a new table: by the planner's estimate of its first load, a divisor of the shuffle partitions."""
-        if self.buckets is None:
-            partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            size = int(str(first._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-            wanted = max(1, size // BUCKET_BYTES) if self.keys else 1
-            self.buckets = max(n for n in range(1, partitions + 1) if partitions % n == 0 and n <= wanted)
+    def _wanted_buckets(self, *frames: DataFrame) -> int:
+        """A bucket for each `BUCKET_BYTES` of the frames' estimated size, as a power of two."""
+        if self.fixed_buckets or not self.keys:
+            return self.fixed_buckets or 1
+        return 1 << (sum(map(_read_bytes, frames)) // BUCKET_BYTES).bit_length()
 
-    def _bucket(self) -> Column:
-        if self.buckets == 1:
+    def _bucket(self, buckets: int) -> Column:
+        if buckets == 1:
             return F.lit(0)
         hashable = [f.name for f in self.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-        keyless = F.pmod(F.hash(*[F.col(c) for c in hashable]), F.lit(self.buckets))
-        keyed = F.pmod(F.hash(*[F.col(k) for k in self.keys]), F.lit(self.buckets))
+        keyless = F.pmod(F.hash(*[F.col(c) for c in hashable]), F.lit(buckets))
+        keyed = F.pmod(F.hash(*[F.col(k) for k in self.keys]), F.lit(buckets))
         return F.when(no_null_key(self.keys), keyed).otherwise(keyless)
 
-    def _write(self, df: DataFrame, version: int) -> list[dict]:
+    def _shaped(self, df: DataFrame) -> DataFrame:
+        """The table's columns in its own types: an int and a bigint key would hash to different buckets."""
+        return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema])
+
+    def _write(self, rows: DataFrame, version: int, buckets: int, few_files: bool = False) -> list[dict]:
         folder = f"{self.path}/data/{VERSION}={version}"
-        placed = df.select(*self.schema.names).withColumn(BUCKET, self._bucket())
+        placed = rows.withColumn(BUCKET, self._bucket(buckets))
+        if few_files and buckets > 1:
+            placed = placed.repartition(BUCKET)
         # Overwrite: a first attempt that died has left uncommitted files behind.
         placed.write.mode("overwrite").partitionBy(BUCKET).parquet(folder)
         # Counted from the files themselves (footers only): exact even if tasks were repeated.
@@ -127,45 +165,71 @@ class VersionedTable:
         counts = self.spark.read.schema(layout).parquet(folder).groupBy(BUCKET).agg(F.count("*").alias("n"))
         return [{"bucket": r[BUCKET], "version": version, "n_rows": r["n"]} for r in counts.collect()]
 
-    def stage_append(self, df: DataFrame) -> Staged:
-        """INSERT: every row as it is; no shuffle."""
-        self._settle_buckets(df)
+    def _state(self) -> tuple[list[dict], int, int, int | None]:
+        """Parts in force, next version, rows and buckets so far."""
         commit = self._latest()
-        live, version = (commit["live"], commit["version"] + 1) if commit else ([], 1)
-        before = sum(part["n_rows"] for part in live)
-        added = self._write(df, version)
-        return Staged(version, live + added, before, before + sum(part["n_rows"] for part in added))
+        return (self._live(), commit["version"] + 1, commit["n_rows"], commit["buckets"]) if commit else ([], 1, 0, None)
+
+    def stage_append(self, df: DataFrame) -> Staged:
+        """INSERT: every row as it is, at most one file for each bucket and task of a shuffle by bucket."""
+        rows = self._shaped(df)
+        live, version, before, buckets = self._state()
+        buckets = buckets or self._wanted_buckets(rows)
+        new = self._write(rows, version, buckets, few_files=True)
+        added = [{"bucket": p["bucket"], "n_rows": p["n_rows"], "fresh": False} for p in new]
+        return Staged(version, live + new, added, False, buckets, before, before + sum(p["n_rows"] for p in new))
 
     def stage_upsert(self, df: DataFrame, keys: list[str] | None = None, order_by: list[str] | None = None,
-                     small_batch: bool = False) -> Staged:
+                     small_batch: bool = False, keep_newer: bool = False) -> Staged:
         """UPSERT on `keys` (the table's own when none are given).
 
         With `small_batch` the buckets the batch falls in are looked up first
         and the others are carried over untouched; a full load skips that pass.
+        With `keep_newer` a stored row stays where the batch's is older by `order_by`.
         """
         keys = clean_keys(keys or self.keys)
-        self._settle_buckets(df)
-        commit = self._latest()
-        live, version = (commit["live"], commit["version"] + 1) if commit else ([], 1)
-        before = sum(part["n_rows"] for part in live)
+        rows = self._shaped(df)
+        live, version, before, old_buckets = self._state()
+        wanted = self._wanted_buckets(self._rows(live), rows) if live else self._wanted_buckets(rows)
+        grow = not live or old_buckets is None or wanted >= 2 * old_buckets
+        buckets = wanted if grow else old_buckets
         touched, carried = live, []
-        if small_batch and live and keys == self.keys and self.buckets > 1:
-            hit = {r[0] for r in df.select(self._bucket()).distinct().collect()}  # at most `buckets` values
+        if small_batch and live and not grow and keys == self.keys and buckets > 1:
+            hit = {r[0] for r in rows.select(self._bucket(buckets)).distinct().collect()}  # at most `buckets` values
             touched = [part for part in live if part["bucket"] in hit]
             carried = [part for part in live if part["bucket"] not in hit]
-        rows = df.select(*self.schema.names)
-        if any(part["n_rows"] for part in touched):
-            rewritten = self._write(merge_upsert(self._rows(touched), rows, keys, order_by), version)
+        if touched:
+            merge = merge_newest if keep_newer and order_by else merge_upsert
+            new = self._write(merge(self._rows(touched), rows, keys, order_by), version, buckets)
         else:
-            rewritten = self._write(rows_to_write(rows, keys, order_by), version)
-        live = carried + rewritten
-        return Staged(version, live, before, sum(part["n_rows"] for part in live))
+            new = self._write(rows_to_write(rows, keys, order_by), version, buckets)
+        added = [{"bucket": p["bucket"], "n_rows": p["n_rows"], "fresh": True} for p in new]
+        # a bucket whose rows all went elsewhere leaves a mark, so that its old parts are in force no more
+        written = {p["bucket"] for p in new}
+        added += [{"bucket": b, "n_rows": 0, "fresh": True} for b in sorted({p["bucket"] for p in touched} - written)]
+        live = carried + new
+        return Staged(version, live, added, not carried, buckets, before, sum(part["n_rows"] for part in live))
 
     def staged_rows(self, staged: Staged) -> DataFrame:
         return self._rows(staged.live)
 
-    def publish(self, staged: Staged, run_id: str, cursor: str | None = None) -> None:
+    def publish(self, staged: Staged, run_id: str, cursor: str | None = None, entry: str | None = None,
+                selected: int | None = None) -> None:
         """Make a staged version the one in force: one row, one file, one rename."""
-        row = {"version": staged.version, "run_id": run_id, "cursor": cursor, "buckets": self.buckets,
-               "live": staged.live}
+        row = {"version": staged.version, "run_id": run_id, "entry": entry, "cursor": cursor, "selected": selected,
+               "buckets": staged.buckets, "n_rows": staged.rows_after, "reset": staged.reset, "added": staged.added}
         one_row(self.spark, value=F.lit(json.dumps(row))).write.mode("append").text(f"{self.path}/commits")
+
+    def vacuum(self, keep_versions: int = 2) -> int:
+        """Delete the parts that none of the newest versions needs; returns how many.
+
+        Not while a reader may still be on an older version, and not beside a writer.
+        """
+        log = self._log()
+        if log is None:
+            return 0
+        kept = [r[0] for r in log.select("version").orderBy(F.desc("version")).limit(max(1, keep_versions)).collect()]
+        needed = {(p["version"], p["bucket"]) for v in kept for p in self._live(v)}
+        parts = log.select("version", F.explode("added").alias("p")).where("p.n_rows > 0").select("version", "p.bucket").collect()
+        old = [(p["version"], p["bucket"]) for p in parts if (p["version"], p["bucket"]) not in needed]
+        return sum(delete_path(self.spark, self._part(v, b)) for v, b in old)

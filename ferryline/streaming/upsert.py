@@ -18,6 +18,7 @@ def stream_upsert(stream: DataFrame, target: VersionedTable, keys: list[str], ch
 
     The checkpoint replaces the saved cursor.  A batch that is delivered again
     is recognised by its id in the commit log, so a restart writes nothing twice.
+    With `order_by` a row that arrives late never replaces a newer one.
     """
     keys = clean_keys(keys)
 
@@ -26,7 +27,7 @@ def stream_upsert(stream: DataFrame, target: VersionedTable, keys: list[str], ch
         if target.commit_of(run_id):
             return
         rows = materialize(batch, "micro-batch")
-        staged = target.stage_upsert(rows, keys, order_by, small_batch=True)
+        staged = target.stage_upsert(rows, keys, order_by, small_batch=True, keep_newer=True)
         verdict = audit_counts(rows.sparkSession, "UPSERT", rows.count(), staged.rows_before, staged.rows_after)
         if verdict["consistency"] == INCONSISTENT:
             raise RuntimeError(f"batch {batch_id}: source and target disagree: {verdict}")

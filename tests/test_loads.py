@@ -241,8 +241,125 @@ def test_connection():
     assert Connection("jdbc:postgresql://h/db", "u", "p").options == {
         "url": "jdbc:postgresql://h/db", "driver": "org.postgresql.Driver", "user": "u", "password": "p"}
     assert "user" not in Connection("jdbc:x:y", driver="d").options
-    assert Connection("jdbc:mysql://h/db").database == "MySQL"
-    assert Connection("jdbc:sqlserver://h").database == "MS SQL 2012+"
-    assert Connection("jdbc:oracle:thin:@h").database == "Oracle"
-    assert Connection("jdbc:mariadb://h").database == "MariaDB"
-    assert Connection("jdbc:postgresql://h").database == "PostgreSQL"
+    assert Connection("jdbc:mysql://h/db").merge == Connection("jdbc:mariadb://h").merge == "on duplicate key"
+    assert Connection("jdbc:sqlserver://h").merge == "merge;"
+    assert Connection("jdbc:oracle:thin:@h").protocol == "oracle" and Connection("jdbc:oracle:thin:@h").merge == "merge"
+    assert Connection("jdbc:postgresql://h").merge == "on conflict"
+    assert Connection("jdbc:x:y", database_type=" MySQL ").merge == "on duplicate key"
+
+
+# --- runs started again, shared targets, growing tables -------------------------
+
+
+def test_a_drain_started_again_goes_on(spark, source, target, folder):
+    spec = load(migration_type="incremental", incremental=incremental("append", 6))
+    incremental_load(spec, source, target, "r.1", f"{folder}/state")
+    incremental_load(spec, source, target, "r.2", f"{folder}/state")
+    results = incremental_loads(spec, source, target, "r", f"{folder}/state")
+    assert [r.published_before for r in results] == [True, True, False, False]
+    assert target.count() == 20 and target.read().distinct().count() == 20
+
+
+def test_a_cursor_never_moves_back(spark, source, target, folder):
+    spec, state = load(migration_type="incremental", incremental=incremental("append", 6)), f"{folder}/state"
+    for run_id in ("r1", "r2", "r1"):
+        incremental_load(spec, source, target, run_id, state)
+    assert saved_cursor(spark, state, "public.customers") == "2026-01-05 00:00:00"
+
+
+def test_two_entries_share_a_target(spark, source, folder):
+    both = [load(f"part{i}", where=f"id % 2 = {i}") for i in (0, 1)]
+    both = [C.TableLoad(**{**x.__dict__, "target": C.TableRef("all", "public")}) for x in both]
+    targets = {x.key: VersionedTable(spark, f"{folder}/all", x.schema.stored, ["id"]) for x in both}
+    for _ in range(2):  # the second start finds both published
+        trace = migrate(spark, both, {x.key: source for x in both}, targets, "run's", folder)
+        assert trace.count() == 2 and {r.status for r in trace.collect()} == {"SUCCESS"}
+        assert targets["part0"].count() == 20 and targets["part0"].read().distinct().count() == 20
+
+
+def test_entries_that_differ_only_in_case_are_refused():
+    with pytest.raises(C.InvalidContract, match="repeat: a"):
+        C.validate([load("A"), load(" a ")])
+
+
+def test_an_unreadable_parent_fails_its_child_alone(spark, source, folder):
+    class Broken(VersionedTable):
+        def read(self):
+            raise OSError("unreadable")
+
+    loads = [load("customers"), load("orders", schema=child_of("customers")), load("other")]
+    targets = {x.key: VersionedTable(spark, f"{folder}/t/{x.key}", x.schema.stored, x.schema.primary_key) for x in loads}
+    targets["customers"].__class__ = Broken
+    rows = spark.createDataFrame([(1, 1)], "id int, up int")
+    trace = migrate(spark, loads, {"customers": source, "orders": rows, "other": source}, targets, "r", folder, strict=False)
+    assert {r.table_id: r.status for r in trace.collect()} == {
+        "public.customers": "SUCCESS", "public.orders": "FAILED", "public.other": "SUCCESS"}
+
+
+def test_schemas_are_compared_before_loading(spark, source, folder):
+    loads = [load("customers"), load("orders", schema=child_of("customers")), load("other")]
+    declared = {"customers": schema("id int NOT NULL, name varchar(30), updated_at timestamp_ntz"), "other": schema()}
+    rows = spark.createDataFrame([(1, 1)], "id int, up int")
+    found = run(spark, folder, loads, {"customers": source, "orders": rows, "other": source}, strict=False, source_schemas=declared)
+    assert {k: v.status for k, v in found.items()} == {"customers": "FAILED", "orders": "BLOCKED", "other": "SUCCESS"}
+    assert "too_short name" in found["customers"].reason
+
+
+def test_instants_survive_a_change_of_clocks(spark, folder):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = spark.range(240).selectExpr("cast(id as int) id", "'n' name", "timestamp_seconds(1793509200 + id * 60) updated_at")
+        rules = schema("id int NOT NULL, name varchar(9), updated_at timestamp")
+        table = VersionedTable(spark, f"{folder}/clock", rules.stored, ["id"])
+        spec = load(schema=rules, migration_type="incremental", incremental=incremental("append", 50, start="2026-10-01 00:00:00Z"))
+        incremental_loads(spec, rows, table, "r", f"{folder}/state")
+        assert table.count() == 240
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_a_table_outgrows_its_first_load(spark, folder, monkeypatch):
+    from ferryline.sources import tables
+
+    monkeypatch.setattr(tables, "BUCKET_BYTES", 20_000)
+    table = VersionedTable(spark, f"{folder}/grows", spark.range(1).schema, ["id"])
+    table.publish(table.stage_upsert(spark.range(100)), "r0")
+    first = table._latest()["buckets"]
+    table.publish(table.stage_upsert(spark.range(0, 50_000)), "r1")
+    table.publish(table.stage_upsert(spark.range(49_000, 60_000).selectExpr("cast(id as int) id"), small_batch=True), "r2")
+    assert table._latest()["buckets"] > first
+    assert table.count() == table.read().distinct().count() == 60_000
+
+
+def test_int_keys_meet_bigint_keys(spark, folder):
+    table = VersionedTable(spark, f"{folder}/types", spark.range(1).schema, ["id"], buckets=16)
+    table.publish(table.stage_upsert(spark.range(100)), "r0")
+    table.publish(table.stage_upsert(spark.range(3).selectExpr("cast(id as int) id"), small_batch=True), "r1")
+    assert table.count() == table.read().distinct().count() == 100
+
+
+def test_appends_keep_commits_and_files_few(spark, folder):
+    import pathlib
+
+    root = pathlib.Path(folder.removeprefix("file:"))
+    table = VersionedTable(spark, folder, spark.range(1).schema, ["id"], buckets=4)
+    for i in range(6):
+        table.publish(table.stage_append(spark.range(i * 100, i * 100 + 100, 1, 8)), f"r{i}")
+    sizes = [p.stat().st_size for p in (root / "commits").glob("part*")]
+    assert max(sizes) - min(sizes) < 40 and len(list((root / "data").rglob("*.parquet"))) <= 24
+    assert table.count() == table.read().count() == 600
+    table.publish(table.stage_upsert(spark.range(600)), "all")
+    assert table.vacuum(1) == 24 and table.read().count() == 600
+    with pytest.raises(ValueError, match="one bucket"):
+        VersionedTable(spark, folder, spark.range(1).schema, buckets=2)
+
+
+def test_a_late_batch_does_not_replace_newer_rows(spark, source, folder):
+    newer = source.withColumn("name", F.lit("new")).withColumn("updated_at", F.expr("updated_at + interval 1 year"))
+    target = VersionedTable(spark, f"{folder}/late", source.schema, ["id"])
+    for i, rows in enumerate([newer, source]):
+        rows.coalesce(1).write.mode("append").parquet(f"{folder}/late-in")
+        stream = spark.readStream.schema(source.schema).parquet(f"{folder}/late-in")
+        stream_upsert(stream, target, ["id"], f"{folder}/late-checkpoint", ["updated_at"], name=f"late{i}")
+    assert target.count() == target.read().where("name = 'new'").count() == 20
