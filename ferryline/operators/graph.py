@@ -3,7 +3,8 @@
 All of these go round by round: a round joins the edges with the nodes settled
 in the round before and writes what is new to the shared folder.  Nodes are in
 `nodes(id)`, edges in `edges(parent, child)` without duplicates or self edges
-(see `clean_edges`).  The number of rounds is the depth of the graph, not its size.
+(see `clean_edges`).  Stretches without forks are passed over by doubling; what
+is left takes as many rounds as it is deep.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferryline.operators.hierarchy import UNREACHED, hierarchy_depth
+from ferryline.operators.hierarchy import chase
 from ferryline.operators.rounds import Rounds
 from ferryline.session import Scratch, materialize
 
@@ -42,40 +43,58 @@ def _within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def topo_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level): longest path from a root; level is null for a node on or below a cycle.
 
-    Each round reads every edge once against the nodes freed last and rewrites
-    only the nodes still waiting.  Where no node has two parents the graph is a
-    hierarchy, and its depth is found in far fewer rounds.
+    Nodes with one parent hang below the nearest node above that has none or
+    several, at a known distance.  Where they are the most, only the others are
+    levelled, over edges that count the steps in between, and so on until forks
+    prevail.  Then each round reads every edge once against the nodes freed last
+    and rewrites only the nodes still waiting.
     """
     return _levels(nodes, materialize(edges.select("parent", "child"), "edges"))
 
 
 def _levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    if edges.groupBy("child").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return _tree_levels(nodes, edges)
-
+    return _long_levels(nodes.select("id"), edges.select("parent", "child", F.lit(1).alias("steps")))
+
+
+def _long_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Levels over edges(parent, child, steps), one for each pair of nodes; a node that is its own parent is never freed."""
+    parents = edges.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("up"), F.max("steps").alias("hops"))
+    one, more = parents.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") > 1)).first()
+    if one < more:
+        return _freed_by_rounds(nodes, edges)
+    only = parents.where("n = 1").select(F.col("child").alias("id"), "up", "hops")
+    hung = chase(nodes.join(only, "id", "left").select("id", "up", F.coalesce("hops", F.lit(0)).alias("hops")))
+    if not more:
+        return hung.select("id", F.when(F.col("root").isNotNull(), F.col("hops")).alias("level"))
+    # A parent on a cycle, or below one, holds its child for ever: the child waits for itself.
+    ends = hung.select(F.col("id").alias("parent"), F.col("root"), "hops")
+    above = F.coalesce("root", "child")
+    long_edges = edges.join(parents.where("n > 1").select("child"), "child", "left_semi").join(ends, "parent").select(
+        above.alias("parent"), "child", (F.col("steps") + F.col("hops")).alias("steps"))
+    long_edges = materialize(long_edges.groupBy("parent", "child").agg(F.max("steps").alias("steps")), "long-edges")
+    heads = _long_levels(hung.where("root = id").select("id"), long_edges).select(
+        F.col("id").alias("root"), F.col("level").alias("start"))
+    return hung.join(heads, "root", "left").select("id", (F.col("start") + F.col("hops")).alias("level"))
+
+
+def _freed_by_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     def counted(waiting: DataFrame, counts: DataFrame) -> DataFrame:
         """Waiting nodes after adding the counts: one shuffle, summed per task before it."""
-        return waiting.union(counts).groupBy("id").agg(F.sum("waits_for").alias("waits_for"))
+        return waiting.union(counts).groupBy("id").agg(F.sum("waits_for").alias("waits_for"), F.max("level").alias("level"))
 
-    # The level of a node is the round it was freed in.  No round number goes
-    # into the expressions, so every round runs the same generated code.
-    zero, one = F.lit(0).cast("bigint").alias("waits_for"), F.lit(1).cast("bigint").alias("waits_for")
-    start = counted(nodes.select("id", zero), edges.select("child", one))
+    # No round number goes into the expressions, so every round runs the same generated code.
+    zero, one, minus = (F.lit(n).cast("bigint").alias("waits_for") for n in (0, 1, -1))
+    ground = F.lit(0).alias("level")
+    start = counted(nodes.select("id", zero, ground), edges.select("child", one, ground))
     rounds = Rounds(nodes.sparkSession, "levels", start.schema)
     is_free = F.col("waits_for") == 0
     rounds.write(start, is_free)
     while rounds.any_settled():
-        parents = rounds.settled_now().select(F.col("id").alias("parent"))
-        served = edges.join(parents, "parent").select("child", F.lit(-1).cast("bigint"))
+        freed = rounds.settled_now().select(F.col("id").alias("parent"), "level")
+        served = edges.join(freed, "parent").select("child", minus, (F.col("level") + F.col("steps")).alias("level"))
         rounds.write(counted(rounds.open(), served), is_free)
-    settled = rounds.settled().select("id", F.col("round").alias("level"))
-    return settled.unionByName(rounds.open().select("id", F.lit(None).cast("int").alias("level")))
-
-
-def _tree_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    links = nodes.join(edges.select(F.col("child").alias("id"), "parent"), "id", "left")
-    level = F.when(F.col("depth") < UNREACHED, F.col("depth"))
-    return hierarchy_depth(links, "id", "parent").select("id", level.alias("level"))
+    waiting = rounds.open().select("id", F.lit(None).cast("int").alias("level"))
+    return rounds.settled().select("id", "level").unionByName(waiting)
 
 
 def stuck_nodes(levels: DataFrame) -> DataFrame:
@@ -157,11 +176,36 @@ def _label_both_ways(edges: DataFrame) -> DataFrame:
     return state.select("id", *[F.col(f"{c}.root").alias(c) for c in ABOVE + BELOW])
 
 
+def _merge_stretches(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Edges with each stretch of nodes that have one parent and one child shrunk to its last node, and (id, root): the
+    nodes of stretches with that node.
+
+    A stretch is on a cycle as a whole or not at all.  The root is null in a ring
+    without forks; its edges drop out.  Where such nodes are fewer than the others, all stays as it is.
+    """
+    nothing = F.lit(None).cast(edges.schema["child"].dataType)
+    ends = edges.select(F.col("child").alias("id"), F.lit(1).alias("above"), F.lit(0).alias("below"), nothing.alias("up")).union(
+        edges.select(F.col("parent").alias("id"), F.lit(0), F.lit(1), F.col("child")))
+    shape = ends.groupBy("id").agg(F.sum("above").alias("above"), F.sum("below").alias("below"), F.min("up").alias("up"))
+    between = (F.col("above") == 1) & (F.col("below") == 1)
+    passing, total = shape.agg(F.count_if(between), F.count("*")).first()
+    if 2 * passing < total:
+        return edges, None
+    stretches = chase(shape.where(between).select("id", "up", F.lit(1).alias("hops"))).select("id", "root")
+    ends = stretches.withColumn("inside", F.lit(True))
+    place = F.when(F.col("inside"), F.col("root"))
+    for end in ("parent", "child"):
+        at = ends.select(F.col("id").alias(end), "root", "inside")
+        edges = edges.join(at, end, "left").withColumn(end, F.coalesce(place, F.when(F.col("inside").isNull(), F.col(end)))).drop(
+            "root", "inside")
+    return edges.select("parent", "child").where("parent <> child"), stretches
+
+
 def cycle_members(edges: DataFrame, stuck: DataFrame | None = None) -> DataFrame:
     """Nodes on a cycle of two or more.
 
     What lies only above or below cycles is peeled off first.  In the core that
-    is left, every node learns the least node above it and the least below it,
+    is left stretches without forks shrink to one node, then every node learns the least node above it and the least below it,
     in several random orders.  Where the two are one other node, or the node
     itself and of another one besides, it is on a cycle with it.  An edge whose
     ends learnt different things lies on no cycle and drops out; what remains
@@ -174,7 +218,9 @@ def cycle_members(edges: DataFrame, stuck: DataFrame | None = None) -> DataFrame
     inner = materialize(_within(edges, stuck), "inner-edges")
     core = materialize(stuck_nodes(_levels(stuck, _reverse(inner))), "core")
     remaining, cyclic = Scratch(edges.sparkSession, "core-edges"), Scratch(edges.sparkSession, "cyclic")
-    inner = remaining.put(_within(inner, core))
+    inner = materialize(_within(inner, core), "core-inner")
+    inner, stretches = _merge_stretches(inner)
+    inner = remaining.put(inner)
     found = core.limit(0)
     while not inner.isEmpty():
         labels = _label_both_ways(inner)
@@ -187,7 +233,12 @@ def cycle_members(edges: DataFrame, stuck: DataFrame | None = None) -> DataFrame
         children = settled.select(F.col("id").alias("child"), F.col("labels").alias("child_labels"))
         left = inner.join(parents, "parent").join(children, "child").where("NOT settled AND parent_labels = child_labels")
         inner = remaining.put(left.select("parent", "child"))
-    return found.distinct()
+    found = found.distinct()
+    if stretches is None:
+        return found
+    on_cycles = stretches.join(found.withColumnRenamed("id", "root"), "root", "left_semi").select("id")
+    rings = stretches.where("root IS NULL").select("id")
+    return found.join(stretches, "id", "left_anti").union(on_cycles).union(rings)
 
 
 def blocked_by_cycle(stuck: DataFrame, cyclic: DataFrame) -> DataFrame:

@@ -121,6 +121,47 @@ def test_levels_of_a_long_chain_take_few_rounds(spark, monkeypatch):
     assert found == {i: i if i < 10 else None for i in range(300)}
 
 
+def jobs_of(spark, group, run):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        result = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return result, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_rings_and_forked_chains_take_few_jobs(spark):
+    def ring(n):
+        return spark.range(n).selectExpr("id AS parent", f"(id + 1) % {n} AS child")
+
+    # a chord closes a shorter cycle; 5000 feeds the ring and 6000 hangs below it
+    more = spark.createDataFrame([(1500, 100), (5000, 3), (7, 6000)], "parent bigint, child bigint")
+    found, jobs = jobs_of(spark, "ring", lambda: {r.id for r in G.cycle_members(ring(2000).union(more)).collect()})
+    assert found == set(range(2000)) and jobs < 250
+    plain, jobs = jobs_of(spark, "plain-ring", lambda: {r.id for r in G.cycle_members(ring(2000)).collect()})
+    assert plain == set(range(2000)) and jobs < 120
+
+    nodes = spark.range(2000)
+    chain = nodes.where("id > 0").selectExpr("id - 1 AS parent", "id AS child")
+    forked = chain.union(spark.createDataFrame([(5, 1000), (2, 1990)], "parent bigint, child bigint"))
+    found, jobs = jobs_of(spark, "chain", lambda: {r.id: r.level for r in G.topo_levels(nodes, forked).collect()})
+    assert found == {i: i for i in range(2000)} and jobs < 150
+
+
+def test_a_chain_of_diamonds_and_its_knot(spark):
+    # a0 -> b0, c0 -> a1 -> ...; a second edge set knots the last diamond into a cycle
+    edges = [e for i in range(0, 90, 3) for e in [(i, i + 1), (i, i + 2), (i + 1, i + 3), (i + 2, i + 3)]]
+    pairs = spark.createDataFrame(edges, "parent bigint, child bigint")
+    found = {r.id: r.level for r in G.topo_levels(spark.range(91), pairs).collect()}
+    assert found == {i: 2 * (i // 3) + (i % 3 > 0) for i in range(91)}
+    knot = pairs.union(spark.createDataFrame([(89, 60)], "parent bigint, child bigint"))
+    plan = {r.id: (r.state, r.level) for r in G.load_plan(spark.range(91), knot).collect()}
+    for i in range(91):
+        on = 60 <= i < 90 and i != 88
+        want = ("executable", 2 * (i // 3) + (i % 3 > 0)) if i < 60 else ("cyclic", None) if on else ("blocked", None)
+        assert plan[i] == want, i
+
+
 def test_edges_between_contract_keys(spark, rows):
     mapping = spark.createDataFrame([(0, "s.a", "A"), (1, "s.b", "B"), (2, "s.a", "A2")],
                                     "ordinal int, source_id string, contract_key string")
