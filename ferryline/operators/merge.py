@@ -51,13 +51,14 @@ def without(df: DataFrame, taken: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str],
-                 order_by: list[str] | None = None) -> DataFrame:
+                 order_by: list[str] | None = None, keys_set: bool = False) -> DataFrame:
     """`target` after upserting `source`: matched rows replaced, others inserted, none deleted.
 
-    A key with a NULL matches nothing: such rows are inserted as they are.
+    A key with a NULL matches nothing: such rows are inserted as they are.  With
+    `keys_set`, where `source` was checked to have none, it is not read for them.
     """
     keys = clean_keys(keys)
-    return without(target, source, keys).unionByName(rows_to_write(source, keys, order_by))
+    return without(target, source, keys).unionByName(rows_to_write(source, keys, order_by, keys_set))
 
 
 def merge_newest(target: DataFrame, source: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
@@ -68,8 +69,11 @@ def merge_newest(target: DataFrame, source: DataFrame, keys: list[str], order_by
     return newest.unionByName(both.where(~no_null_key(keys))).drop("_incoming")
 
 
-def rows_to_write(source: DataFrame, keys: list[str], order_by: list[str] | None = None) -> DataFrame:
+def rows_to_write(source: DataFrame, keys: list[str], order_by: list[str] | None = None,
+                  keys_set: bool = False) -> DataFrame:
     """What an upsert writes of `source`: the last row of each key, and every row with a NULL in its key."""
+    if keys_set:
+        return latest_per_key(source, keys, order_by)
     return latest_per_key(source.where(no_null_key(keys)), keys, order_by).unionByName(source.where(~no_null_key(keys)))
 
 

@@ -66,7 +66,7 @@ def full_load(load: TableLoad, source: DataFrame, target: VersionedTable, run_id
     if load.snapshot:
         selected = materialize(selected, "snapshot")
     good = _accept(load, selected, result, parents or {}, rejects_path)
-    staged = target.stage_upsert(good, keys, load.order_by)
+    staged = target.stage_upsert(good, keys, load.order_by, keys_set=True)  # a NULL in a primary key is rejected
     _finish(load, target, staged, result, run_id)
     return result
 
@@ -103,7 +103,7 @@ def incremental_load(load: TableLoad, source: DataFrame, target: VersionedTable,
     else:
         keys = clean_keys(spec.keys or load.schema.primary_key)
         order = load.order_by or [spec.column]
-        staged = target.stage_upsert(good, keys, order, small_batch=True)
+        staged = target.stage_upsert(good, keys, order, small_batch=True, keys_set=set(keys) <= set(load.schema.primary_key))
     last = selection.last_cursor(batch, spec.column)
     _finish(load, target, staged, result, run_id, cursor=last)
     if last and last.strip():

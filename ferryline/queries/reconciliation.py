@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ferryline.operators import reconcile as R
 from ferryline.queries import query
+from ferryline.queries.scalars import REDACT_SQL
 from ferryline.session import new_folder
 from ferryline.sources.audit_log import error_rows, read_trace, write_trace
 from ferryline.sources.tables import scan
@@ -197,19 +198,20 @@ def trace_rows(spark, d):
     )
 
 
-@query("error_rows", """
+MESSAGE_SQL = """'user ' || user_id || ' token=' || event_id || ' "jwt": "' || props || '" end'"""
+
+
+@query("error_rows", f"""
     SELECT event_id AS table_run_id, 'ERROR' AS severity, 'FAILED' AS status,
            CASE WHEN event_type <> 'view' THEN 'public.' || event_type END AS table_id,
            CASE WHEN event_type = 'error' THEN 'RuntimeError' ELSE 'UnknownException' END AS error_type,
            CASE WHEN event_type = 'signup' THEN 'Fallo sin diagnostico disponible.'
-                ELSE 'user ' || user_id || ' token=[REDACTED] "jwt": "[REDACTED]" end' END AS message
+                ELSE {REDACT_SQL.format(text=MESSAGE_SQL)} END AS message
     FROM events
 """)
 def error_rows_query(spark, d):
     events = scan(spark, "events", d)
-    # The JSON in props would close the quoted secret early; keep its digits only.
-    message = F.concat(F.lit("user "), "user_id", F.lit(" token="), "event_id", F.lit(' "jwt": "'),
-                       F.regexp_replace("props", "[^0-9]", ""), F.lit('" end'))
+    message = F.expr(MESSAGE_SQL)  # the JSON in props closes the quoted secret early
     failures = events.select(
         F.col("ts").alias("at"), F.lit("run").alias("run_id"), F.col("event_id").alias("table_run_id"),
         F.lit("TABLE_LOAD").alias("phase"), F.lit(None).cast("string").alias("table_schema"),

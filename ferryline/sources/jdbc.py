@@ -150,9 +150,9 @@ class JdbcTable:
         return JdbcStaged(insert_statement(self.table, self.staging, df.columns), before, before + added)
 
     def stage_upsert(self, df: DataFrame, keys: list[str] | None = None, order_by: list[str] | None = None,
-                     small_batch: bool = False) -> JdbcStaged:
+                     small_batch: bool = False, keys_set: bool = False) -> JdbcStaged:
         keys = clean_keys(keys or self.keys)
-        self._stage(rows_to_write(df, keys, order_by))
+        self._stage(rows_to_write(df, keys, order_by, keys_set))
         before, added = self.count(), self._number(new_rows_query(self.table, self.staging, keys))
         statement = merge_statement(self.connection.merge, self.table, self.staging, df.columns, keys)
         return JdbcStaged(statement, before, before + added)

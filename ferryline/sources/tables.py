@@ -180,12 +180,13 @@ class VersionedTable:
         return Staged(version, live + new, added, False, buckets, before, before + sum(p["n_rows"] for p in new))
 
     def stage_upsert(self, df: DataFrame, keys: list[str] | None = None, order_by: list[str] | None = None,
-                     small_batch: bool = False, keep_newer: bool = False) -> Staged:
+                     small_batch: bool = False, keep_newer: bool = False, keys_set: bool = False) -> Staged:
         """UPSERT on `keys` (the table's own when none are given).
 
         With `small_batch` the buckets the batch falls in are looked up first
         and the others are carried over untouched; a full load skips that pass.
         With `keep_newer` a stored row stays where the batch's is older by `order_by`.
+        `keys_set` says that the rows were checked to have no NULL in their keys.
         """
         keys = clean_keys(keys or self.keys)
         rows = self._shaped(df)
@@ -199,10 +200,12 @@ class VersionedTable:
             touched = [part for part in live if part["bucket"] in hit]
             carried = [part for part in live if part["bucket"] not in hit]
         if touched:
-            merge = merge_newest if keep_newer and order_by else merge_upsert
-            new = self._write(merge(self._rows(touched), rows, keys, order_by), version, buckets)
+            stored = self._rows(touched)
+            newest = keep_newer and order_by
+            merged = merge_newest(stored, rows, keys, order_by) if newest else merge_upsert(stored, rows, keys, order_by, keys_set)
+            new = self._write(merged, version, buckets)
         else:
-            new = self._write(rows_to_write(rows, keys, order_by), version, buckets)
+            new = self._write(rows_to_write(rows, keys, order_by, keys_set), version, buckets)
         added = [{"bucket": p["bucket"], "n_rows": p["n_rows"], "fresh": True} for p in new]
         # a bucket whose rows all went elsewhere leaves a mark, so that its old parts are in force no more
         written = {p["bucket"] for p in new}

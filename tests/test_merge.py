@@ -90,3 +90,15 @@ def test_append_adds_every_row(spark, folder):
     for i in range(2):
         table.publish(table.stage_append(spark.createDataFrame([(1, "a", 0, "x")] * 3, LAYOUT)), f"{i}")
     assert table.count() == table.read().count() == 6
+
+
+def test_checked_keys_are_read_less(spark, rows, tmp_path):
+    old = [(1, "a", 0, "x"), (None, "a", 0, "x"), (2, "a", 0, "x")]
+    spark.createDataFrame(old, LAYOUT).write.parquet(f"{tmp_path}/target")
+    spark.createDataFrame([(2, "a", 1, "y"), (2, "a", 2, "z"), (3, "b", 0, "x")], LAYOUT).write.parquet(f"{tmp_path}/source")
+    target, source = spark.read.parquet(f"{tmp_path}/target"), spark.read.parquet(f"{tmp_path}/source")
+    merged = M.merge_upsert(target, source, ["k", "part"], ["seq"], keys_set=True)
+    assert rows(merged) == rows(M.merge_upsert(target, source, ["k", "part"], ["seq"]))
+    plan = merged._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count(f"{tmp_path}/target") <= 2 and plan.count(f"{tmp_path}/source") <= 2
+    assert plan.count("FileScan parquet") == 4
