@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferryline.llm.common import map_batches, mix64
+from ferryline.llm.common import map_batches, mix64, numbered
 from ferryline.llm.components import components
 from ferryline.session import materialize
 
@@ -31,6 +31,9 @@ BITS = 64
 SEED = 42
 CROWD = 64
 COMMON = 1_000  # most frequent part values whose exact counts refine the estimate
+SKETCH = 1_024  # hashes that similarity is told from
+SLACK = 0.02
+NEXT = 3
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -59,13 +62,12 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return majority(shingle_hashes(text, shingle))
 
 
-def sampled_fingerprints(text: str | None, shingle: int, sample: int, spaces: int) -> np.ndarray:
-    """For each space, SimHash of the `sample` distinct shingles whose hash, mixed for that space, is least.
+def sampled_fingerprints(hashes: np.ndarray, sample: int, spaces: int) -> np.ndarray:
+    """For each space, SimHash of the `sample` of a text's distinct `hashes` that are least when mixed for that space.
 
     Texts whose shingle sets have Jaccard similarity J draw the same sample with a
     chance of about J to the power of `sample`.
     """
-    hashes = np.unique(shingle_hashes(text, shingle))
     out = np.zeros(spaces, np.uint64)
     for s in range(spaces if len(hashes) else 0):
         mixed = mix64(hashes + np.uint64((s + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
@@ -74,6 +76,26 @@ def sampled_fingerprints(text: str | None, shingle: int, sample: int, spaces: in
     return out
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The `SKETCH` least of a text's distinct hashes, shortened to 32 bits: all of them for most texts."""
+    return np.unique((mix64(hashes) >> np.uint64(32)).astype("<u4"))[:SKETCH]
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> tuple[float, bool]:
+    """Jaccard similarity of two sets of shingles from their sketches, and whether it is exact.
+
+    If a sketch is full, the least `SKETCH` hashes of the union are a sample of
+    it, of which the standard deviation is 0.0125 at 0.8.
+    """
+    merged = np.sort(np.concatenate([a, b]))
+    again = merged[1:][merged[1:] == merged[:-1]]
+    n = len(merged) - len(again)
+    if n <= SKETCH or max(len(a), len(b)) < SKETCH:
+        return len(again) / max(n, 1), max(len(a), len(b)) < SKETCH
+    last = np.unique(merged)[SKETCH - 1]
+    return int((again <= last).sum()) / SKETCH, False
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp) of each row; fp is the fingerprint as a signed long."""
     def run(batch: pa.RecordBatch) -> dict:
@@ -249,34 +271,76 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFra
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, sample: int = 5, spaces: int = 8, bits: int = 2) -> DataFrame:
+def _alike(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """Those of `pairs` (a, b) whose shingle sets have a similarity of at least `least`; `sketches` has (doc_id, sketch)."""
+    def run(batch: pa.RecordBatch) -> dict:
+        left, right = ([np.frombuffer(x, "<u4") for x in batch.column(c).to_pylist()] for c in ("left", "right"))
+        found = [similarity(x, y) for x, y in zip(left, right)]
+        good = pa.array([j >= (least if exact else least - SLACK) for j, exact in found], pa.bool_())
+        return {c: batch.column(c).filter(good) for c in ("a", "b")}
+
+    left = sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("left"))
+    right = sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("right"))
+    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right"), run, "a long, b long")
+
+
+def _neighbours(places: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each of `places` (space, fp, fps, node) and the next `NEXT` with its fingerprint.
+
+    Places are in order of the node's fingerprints in the other spaces, so that
+    the more alike two nodes are, the nearer they tend to stand.
+    """
+    order = F.concat(F.slice("fps", F.col("space") + 2, F.size("fps")), F.slice("fps", F.lit(1), F.col("space")))
+    line = materialize(numbered(places.withColumn("order", order).drop("fps"), "places-in-order", "space", "fp", "order", "node"), "places")
+    before = line.select("space", "fp", F.col("node").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(NEXT))).alias("step"),
+                         "position").select("space", "fp", "a", (F.col("position") + F.col("step")).alias("position"))
+    return before.join(line, ["position", "space", "fp"]).select("a", F.col("node").alias("b"))
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, sample: int = 5, spaces: int = 8, bits: int = 2, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id) for each distinct doc_id of `docs` (doc_id, text): documents of mostly the same shingles.
 
     One SimHash of all shingles tells only near-identical texts within a few
     bits.  So each document has a fingerprint in each of several spaces, of a
-    small sample of its distinct shingles, and two are linked if they are at most
-    `bits` apart in any.  With the defaults, sets of Jaccard similarity 0.8 meet
-    with a chance of about 0.96, of 0.9 always, of 0.5 one time in four, of 0.2
-    or less about never.  component_id is the smallest doc_id reachable.  Equal
-    texts, and texts without words, are linked.  Rows without doc_id are left out;
-    a doc_id that comes with several texts joins their groups.
+    small sample of its distinct shingles; documents at most `bits` apart in any
+    space are candidates.  With the defaults, sets of Jaccard similarity 0.8 meet
+    with a chance of about 0.96, of 0.9 always.  Candidates are linked if their
+    sets have a similarity of at least `least`: exact for texts of fewer than
+    `SKETCH` distinct shingles, else an estimate, which counts from `SLACK` less.
+
+    Of those with one fingerprint all are compared with the least doc_id; who
+    isn't like it is compared with the `NEXT` that are next in order of the other
+    spaces, so that rows stay in proportion however many share a fingerprint.
+
+    component_id is the smallest doc_id reachable.  Texts of the same shingles,
+    and texts without words, are linked.  Rows without doc_id are left out; a
+    doc_id that comes with several texts joins their groups.
     """
     def run(batch: pa.RecordBatch) -> dict:
-        marks = [sampled_fingerprints(t, shingle, sample, spaces).view(np.int64).tolist() for t in batch.column("text").to_pylist()]
-        return {"doc_id": batch.column("doc_id"), "fps": pa.array(marks, pa.list_(pa.int64()))}
+        sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column("text").to_pylist()]
+        return {"doc_id": batch.column("doc_id"), "mark": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                "fps": pa.array([sampled_fingerprints(s, sample, spaces).view(np.int64).tolist() for s in sets], pa.list_(pa.int64())),
+                "sketch": pa.array([sketch(s).tobytes() for s in sets], pa.binary())}
 
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    marks = materialize(map_batches(texts, run, "doc_id long, fps array<long>"), "sampled-fingerprints")
-    whole = materialize(marks.groupBy("fps").agg(F.min("doc_id").alias("node")), "sampled-sets")
-    places = whole.select("node", F.posexplode("fps").alias("space", "fp"))
-    least = materialize(places.groupBy("space", "fp").agg(F.min("node").alias("rep")), "fingerprint-reps")
-    same = places.join(least, ["space", "fp"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    near = links(least.select("space", "fp"), bits)
-    left = least.select("space", F.col("fp").alias("a"), F.col("rep").alias("x"))
-    right = least.select("space", F.col("fp").alias("b"), F.col("rep").alias("y"))
+    marks = materialize(map_batches(texts, run, "doc_id long, mark binary, fps array<long>, sketch binary"), "sampled-fingerprints")
+    whole = materialize(marks.groupBy("mark", "fps").agg(F.min("doc_id").alias("node")), "shingle-sets")
+    places = whole.select("node", "fps", F.posexplode("fps").alias("space", "fp"))
+    reps = materialize(places.groupBy("space", "fp").agg(F.min("node").alias("rep"), F.count("*").alias("n")), "fingerprint-reps")
+    members = materialize(places.join(reps.where("n > 1").drop("n"), ["space", "fp"]).where("node <> rep"), "members")
+    near = links(reps.select("space", "fp"), bits)
+    left = reps.select("space", F.col("fp").alias("a"), F.col("rep").alias("x"))
+    right = reps.select("space", F.col("fp").alias("b"), F.col("rep").alias("y"))
     met = near.join(left, ["space", "a"]).join(right, ["space", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    again = marks.join(whole, "fps").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    # a document's set has the least doc_id as its node: only other members need a link
-    roots = components(same.union(met).union(again.where("a <> b")))
+    pairs = materialize(members.select(F.col("node").alias("a"), F.col("rep").alias("b")).union(
+        met.select(F.greatest("a", "b"), F.least("a", "b"))).where("a <> b").distinct(), "candidates")
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sketches = materialize(marks.select("doc_id", "sketch").join(ends, "doc_id", "left_semi"), "sketches")
+    alike = materialize(_alike(pairs, sketches, least), "alike")
+    others = members.join(alike.select(F.col("a").alias("node"), F.col("b").alias("rep")), ["node", "rep"], "left_anti").drop("rep")
+    second = _neighbours(others).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    again = marks.select("doc_id", "mark").join(whole.drop("fps"), "mark").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    # a set's node is its least doc_id: only the others need a link
+    roots = components(alike.union(_alike(second, sketches, least)).union(again.where("a <> b")))
     return marks.select("doc_id").distinct().join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select(
         "doc_id", F.coalesce("root", "doc_id").alias("component_id"))

@@ -125,6 +125,56 @@ def test_near_copies_meet_and_others_do_not(docs_of):
     assert found[100] == found[101] == found[102] == 100 and found[103] == 0 and None not in found
 
 
+def shingle_sets(rows, width=5):
+    words = [(i, (t or "").lower().split()) for i, t in rows]
+    return {i: {tuple(w[p : p + width]) for p in range(max(1, len(w) - width + 1))} for i, w in words}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_similarity_from_sketches_is_exact_for_most_texts_and_near_for_long_ones():
+    rng = np.random.default_rng(5)
+    for size, spread in ((1, 0), (300, 0), (700, 0), (20_000, 0.05)):
+        a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        b = np.unique(np.append(a[size // 8 :], rng.integers(0, 2**63, size // 9).astype(np.uint64)))
+        true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        found, exact = simhash.similarity(simhash.sketch(a), simhash.sketch(b))
+        assert exact == (spread == 0) and abs(found - true) <= spread
+        assert simhash.similarity(simhash.sketch(a), simhash.sketch(a))[0] == 1
+    nothing = simhash.sketch(np.empty(0, np.uint64))
+    assert simhash.similarity(nothing, nothing) == (0, True) and simhash.similarity(nothing, simhash.sketch(a))[0] == 0
+
+
+def test_near_copies_hold_only_documents_of_similarity_eight_tenths(spark, docs_of, small_tables):
+    rows = [r for r in given(spark, small_tables) if r[0] is not None]
+    sets = shingle_sets(rows)
+    found = dict(map(tuple, simhash.near_copies(docs_of(rows)).collect()))
+    assert sorted(found) == sorted(sets)
+    for i in sets:
+        like = [j for j in sets if j != i and jaccard(sets[i], sets[j]) >= 0.8]
+        assert all(found[j] == found[i] for j in like if jaccard(sets[i], sets[j]) >= 0.95)
+        mates = [j for j in sets if j != i and found[j] == found[i]]
+        assert not mates or max(jaccard(sets[i], sets[j]) for j in mates) >= 0.8 - simhash.SLACK
+
+
+def test_a_common_passage_neither_links_documents_nor_hides_copies_among_them(docs_of):
+    rng = random.Random(7)
+    passage = [f"p{i}" for i in range(160)]
+    own = {i: [f"d{i}_{k}" for k in range(45)] for i in range(120)}  # two share the passage: similarity 0.6
+    rows = [(i, " ".join(passage + own[i])) for i in range(120)]
+    copies = {}
+    for i in range(20, 30):  # and a copy of similarity 0.95
+        words = passage + own[i]
+        words[rng.randrange(165, 200)] = "other"
+        copies[500 + i] = i
+        rows.append((500 + i, " ".join(words)))
+    found = dict(map(tuple, simhash.near_copies(docs_of(rows)).collect()))
+    assert all(found[i] == i for i in range(120))
+    assert {i: found[i] for i in copies} == copies
+
+
 # --- substrings ------------------------------------------------------------------
 
 
