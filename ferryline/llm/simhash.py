@@ -304,7 +304,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, sample: int = 5, spaces: int
     bits.  So each document has a fingerprint in each of several spaces, of a
     small sample of its distinct shingles; documents at most `bits` apart in any
     space are candidates.  With the defaults, sets of Jaccard similarity 0.8 meet
-    with a chance of about 0.96, of 0.9 always.  Candidates are linked if their
+    with a chance of about 0.96, of 0.9 of 0.999.  Candidates are linked if their
     sets have a similarity of at least `least`: exact for texts of fewer than
     `SKETCH` distinct shingles, else an estimate, which counts from `SLACK` less.
 
