@@ -20,10 +20,10 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferryline.llm.common import map_batches, mix64, numbered
+from ferryline.llm.common import map_batches, mix64
 from ferryline.llm.components import components
 from ferryline.session import materialize
 
@@ -33,7 +33,9 @@ CROWD = 64
 COMMON = 1_000  # most frequent part values whose exact counts refine the estimate
 SKETCH = 1_024  # hashes that similarity is told from
 SLACK = 0.02
-NEXT = 3
+SAMPLED = 8  # one in so many shingle sets tells which shingles are common
+OFTEN = 4  # sampled sets that a common shingle is in at least
+MOST_COMMON = 1 << 18  # common shingles known to every task
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -62,20 +64,6 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return majority(shingle_hashes(text, shingle))
 
 
-def sampled_fingerprints(hashes: np.ndarray, sample: int, spaces: int) -> np.ndarray:
-    """For each space, SimHash of the `sample` of a text's distinct `hashes` that are least when mixed for that space.
-
-    Texts whose shingle sets have Jaccard similarity J draw the same sample with a
-    chance of about J to the power of `sample`.
-    """
-    out = np.zeros(spaces, np.uint64)
-    for s in range(spaces if len(hashes) else 0):
-        mixed = mix64(hashes + np.uint64((s + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-        least = np.partition(mixed, sample - 1)[:sample] if len(mixed) > sample else mixed
-        out[s] = majority(mix64(least))  # mixed again: the least hashes all begin with zeros
-    return out
-
-
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """The `SKETCH` least of a text's distinct hashes, shortened to 32 bits: all of them for most texts."""
     return np.unique((mix64(hashes) >> np.uint64(32)).astype("<u4"))[:SKETCH]
@@ -271,76 +259,135 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFra
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _alike(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """Those of `pairs` (a, b) whose shingle sets have a similarity of at least `least`; `sketches` has (doc_id, sketch)."""
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(row, doc_id, mark, hashes) for each row of `docs` with a doc_id: its sorted distinct shingle hashes and a digest of them."""
     def run(batch: pa.RecordBatch) -> dict:
-        left, right = ([np.frombuffer(x, "<u4") for x in batch.column(c).to_pylist()] for c in ("left", "right"))
-        found = [similarity(x, y) for x, y in zip(left, right)]
-        good = pa.array([j >= (least if exact else least - SLACK) for j, exact in found], pa.bool_())
-        return {c: batch.column(c).filter(good) for c in ("a", "b")}
+        sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column("text").to_pylist()]
+        return {"row": batch.column("row"), "doc_id": batch.column("doc_id"),
+                "mark": pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), "hashes": pa.array(sets, pa.binary())}
+
+    texts = docs.where("doc_id IS NOT NULL").select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return materialize(map_batches(texts, run, "row long, doc_id long, mark binary, hashes binary"), "shingle-sets")
 
-    left = sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("left"))
-    right = sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("right"))
-    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right"), run, "a long, b long")
+
+def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the most common shingles, `MOST_COMMON` at most, and in how many of a sample of the sets each is."""
+    def run(batch: pa.RecordBatch) -> dict:
+        return {"token": np.concatenate([np.frombuffer(x, "<i8") for x in batch.column("hashes").to_pylist()])}
+
+    some = sets.where(F.pmod(F.xxhash64("mark"), F.lit(SAMPLED)) == 0).select("hashes")
+    counts = map_batches(some, run, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    found = counts.orderBy(F.desc("n"), "token").limit(MOST_COMMON).toArrow()
+    tokens = found.column("token").to_numpy().view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], found.column("n").to_numpy()[order]
+
+
+def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The rarest of a set's hashes, as many as two sets of a similarity of `least` need to share one; rarest first.
+
+    Which hashes are known to be common changes how many sets meet, not which
+    sets of that similarity do: any one order of all hashes serves.
+    """
+    tokens, counts = common
+    often = np.zeros(len(hashes), np.int64)
+    if len(tokens):
+        at = np.minimum(np.searchsorted(tokens, hashes), len(tokens) - 1)
+        often = np.where(tokens[at] == hashes, counts[at], 0)
+    kept = len(hashes) - int(np.ceil(least * len(hashes) - 1e-9)) + 1
+    return hashes[np.lexsort((mix64(hashes), often))[: kept if len(hashes) else 0]]
 
 
-def _neighbours(places: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each of `places` (space, fp, fps, node) and the next `NEXT` with its fingerprint.
+def _meetings(sets: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(token, node, size, place, rep, rep_size, rep_place): sets with a prefix hash that another set's prefix has too.
 
-    Places are in order of the node's fingerprints in the other spaces, so that
-    the more alike two nodes are, the nearer they tend to stand.
+    `rep` is the one of the token's sets that has it first in its prefix: it has
+    the fewest hashes of its own, so copies of one text meet the text itself.
     """
-    order = F.concat(F.slice("fps", F.col("space") + 2, F.size("fps")), F.slice("fps", F.lit(1), F.col("space")))
-    line = materialize(numbered(places.withColumn("order", order).drop("fps"), "places-in-order", "space", "fp", "order", "node"), "places")
-    before = line.select("space", "fp", F.col("node").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(NEXT))).alias("step"),
-                         "position").select("space", "fp", "a", (F.col("position") + F.col("step")).alias("position"))
-    return before.join(line, ["position", "space", "fp"]).select("a", F.col("node").alias("b"))
+    common = common_shingles(sets)
 
+    def run(batch: pa.RecordBatch) -> dict:
+        hashes = [np.frombuffer(x, "<u8") for x in batch.column("hashes").to_pylist()]
+        return {"node": batch.column("row"), "size": np.array([len(h) for h in hashes], np.int32),
+                "tokens": pa.array([prefix(h, common, least).view(np.int64) for h in hashes], pa.list_(pa.int64()))}
+
+    prefixes = map_batches(sets.select("row", "hashes"), run, "node long, size int, tokens array<long>").join(nodes, "node", "left_semi")
+    index = prefixes.select("node", "size", F.posexplode("tokens").alias("place", "token"))
+    bucket = Window.partitionBy("token")
+    first = F.min(F.struct((F.col("place") / F.col("size")).alias("at"), "node", "size", "place")).over(bucket)
+    met = index.withColumn("n", F.count("*").over(bucket)).withColumn("first", first).where("n > 1")
+    return materialize(met.select("token", "node", "size", "place", F.col("first.node").alias("rep"), F.col("first.size").alias("rep_size"),
+                                  F.col("first.place").alias("rep_place")), "meetings")
+
+
+def _may_be_alike(size, place, other_size, other_place, least: float):
+    """Whether sets whose first common hash stands at these places can have that similarity: nothing before it is common."""
+    most = F.least(F.col(size) - F.col(place), F.col(other_size) - F.col(other_place))
+    return most * F.lit(1 + least) >= (F.col(size) + F.col(other_size)) * F.lit(least) - 1e-6
 
-def near_copies(docs: DataFrame, shingle: int = 5, sample: int = 5, spaces: int = 8, bits: int = 2, least: float = 0.8) -> DataFrame:
+
+def _pairs(found: DataFrame, a: str, b: str) -> DataFrame:
+    return found.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of `pairs` (a, b) of rows of `sets` whose shingle sets have a similarity of at least `least`."""
+    def run(batch: pa.RecordBatch) -> dict:
+        left, right = ([sketch(np.frombuffer(x, "<u8")) for x in batch.column(c).to_pylist()] for c in ("left", "right"))
+        found = [similarity(x, y) for x, y in zip(left, right)]
+        good = pa.array([j >= (least if exact else least - SLACK) for j, exact in found], pa.bool_())
+        return {c: batch.column(c).filter(good) for c in ("a", "b")}
+
+    pairs = materialize(pairs, "candidates")
+    ends = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    whole = materialize(sets.select("row", "hashes").join(ends, "row", "left_semi"), "candidate-sets")
+    left = whole.select(F.col("row").alias("a"), F.col("hashes").alias("left"))
+    right = whole.select(F.col("row").alias("b"), F.col("hashes").alias("right"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    return materialize(map_batches(both, run, "a long, b long", 64), "alike")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id) for each distinct doc_id of `docs` (doc_id, text): documents of mostly the same shingles.
 
-    One SimHash of all shingles tells only near-identical texts within a few
-    bits.  So each document has a fingerprint in each of several spaces, of a
-    small sample of its distinct shingles; documents at most `bits` apart in any
-    space are candidates.  With the defaults, sets of Jaccard similarity 0.8 meet
-    with a chance of about 0.96, of 0.9 of 0.999.  Candidates are linked if their
-    sets have a similarity of at least `least`: exact for texts of fewer than
-    `SKETCH` distinct shingles, else an estimate, which counts from `SLACK` less.
+    Documents are linked if their sets of shingles have a Jaccard similarity of at
+    least `least`.  Of two such sets, the rarest hashes (a fifth of each, with the
+    default) share one: all sets that share one are candidates, but for pairs that
+    the hash's places in them rule out, and so are all pairs that are linked found.
+    Shingles that many documents have come last in the order and are hardly ever
+    among the rarest, so that a common passage makes few candidates.
 
-    Of those with one fingerprint all are compared with the least doc_id; who
-    isn't like it is compared with the `NEXT` that are next in order of the other
-    spaces, so that rows stay in proportion however many share a fingerprint.
+    First the sets with a hash are compared with the one that has it foremost;
+    that links groups of copies.  Then the pairs not linked by that are compared.
+    Pairs grow with the square of a group only if its members are neither linked
+    to one of them nor ruled out.
 
     component_id is the smallest doc_id reachable.  Texts of the same shingles,
     and texts without words, are linked.  Rows without doc_id are left out; a
     doc_id that comes with several texts joins their groups.
     """
-    def run(batch: pa.RecordBatch) -> dict:
-        sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column("text").to_pylist()]
-        return {"doc_id": batch.column("doc_id"), "mark": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                "fps": pa.array([sampled_fingerprints(s, sample, spaces).view(np.int64).tolist() for s in sets], pa.list_(pa.int64())),
-                "sketch": pa.array([sketch(s).tobytes() for s in sets], pa.binary())}
-
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    marks = materialize(map_batches(texts, run, "doc_id long, mark binary, fps array<long>, sketch binary"), "sampled-fingerprints")
-    whole = materialize(marks.groupBy("mark", "fps").agg(F.min("doc_id").alias("node")), "shingle-sets")
-    places = whole.select("node", "fps", F.posexplode("fps").alias("space", "fp"))
-    reps = materialize(places.groupBy("space", "fp").agg(F.min("node").alias("rep"), F.count("*").alias("n")), "fingerprint-reps")
-    members = materialize(places.join(reps.where("n > 1").drop("n"), ["space", "fp"]).where("node <> rep"), "members")
-    near = links(reps.select("space", "fp"), bits)
-    left = reps.select("space", F.col("fp").alias("a"), F.col("rep").alias("x"))
-    right = reps.select("space", F.col("fp").alias("b"), F.col("rep").alias("y"))
-    met = near.join(left, ["space", "a"]).join(right, ["space", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    pairs = materialize(members.select(F.col("node").alias("a"), F.col("rep").alias("b")).union(
-        met.select(F.greatest("a", "b"), F.least("a", "b"))).where("a <> b").distinct(), "candidates")
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sketches = materialize(marks.select("doc_id", "sketch").join(ends, "doc_id", "left_semi"), "sketches")
-    alike = materialize(_alike(pairs, sketches, least), "alike")
-    others = members.join(alike.select(F.col("a").alias("node"), F.col("b").alias("rep")), ["node", "rep"], "left_anti").drop("rep")
-    second = _neighbours(others).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    again = marks.select("doc_id", "mark").join(whole.drop("fps"), "mark").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    # a set's node is its least doc_id: only the others need a link
-    roots = components(alike.union(_alike(second, sketches, least)).union(again.where("a <> b")))
-    return marks.select("doc_id").distinct().join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select(
-        "doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+    sets = shingle_sets(docs, shingle)
+    whole = materialize(sets.groupBy("mark").agg(F.min(F.struct("doc_id", "row")).alias("first")).select(
+        "mark", F.col("first.row").alias("node"), F.col("first.doc_id").alias("first_id")), "distinct-sets")
+    met = _meetings(sets, whole.select("node"), least)
+    possible = _may_be_alike("size", "place", "rep_size", "rep_place", least)
+    alike = _alike(_pairs(met.where("node <> rep").where(possible), "node", "rep"), sets, least)
+    groups = components(alike)
+    home = met.join(groups.withColumnRenamed("root", "own"), "node", "left").withColumn("own", F.coalesce("own", "node")).join(
+        groups.select(F.col("node").alias("rep"), F.col("root").alias("main")), "rep", "left").withColumn("main", F.coalesce("main", "rep"))
+    placed = materialize(home.select("token", "node", "size", "place", "own", "main"), "meetings-by-group")
+    apart = placed.where("own <> main").drop("main")
+    others = placed.join(apart.select("token").distinct(), "token", "left_semi").select(
+        "token", *[F.col(c).alias(f"other_{c}") for c in ("node", "size", "place", "own")])
+    second = apart.join(others, "token").where(F.col("own") != F.col("other_own")).where(
+        _may_be_alike("size", "place", "other_size", "other_place", least))
+    links_ = alike.union(_alike(_pairs(second, "node", "other_node"), sets, least))
+    roots = whole.join(components(links_), "node", "left").select("mark", "first_id", F.coalesce("root", "node").alias("root"))
+    ids = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = materialize(roots.join(ids, "root").select("mark", "component_id"), "groups")
+    again = sets.select("doc_id", "mark").join(named, "mark").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    texts = again.groupBy("a").agg(F.count_distinct("b").alias("n")).where("n > 1")  # a doc_id in several groups joins them
+    joined = components(again.join(texts, "a", "left_semi"))
+    return again.join(joined, again["b"] == joined["node"], "left").select(
+        F.col("a").alias("doc_id"), F.least(F.coalesce("root", "b"), "b").alias("component_id")).distinct()

@@ -175,6 +175,45 @@ def test_a_common_passage_neither_links_documents_nor_hides_copies_among_them(do
     assert {i: found[i] for i in copies} == copies
 
 
+@pytest.mark.parametrize("shared", [156, 168, 180])
+def test_copies_are_found_among_documents_that_share_most_of_their_shingles(docs_of, shared):
+    rng = random.Random(shared)
+    passage = [f"p{i}" for i in range(shared + 4)]
+    rows, at = [], {}
+    for i in range(300):
+        rows.append((i, " ".join(passage + [f"d{i}_{k}" for k in range(205 - shared)])))
+    for n, i in enumerate(rng.sample(range(300), 100)):  # and copies that end in other words: similarity 0.8 to 0.9
+        at[1_000 + n], other = i, rng.randrange(11, 23)
+        rows.append((1_000 + n, " ".join(rows[i][1].split()[:-other] + [f"c{i}_{k}" for k in range(other)])))
+    sets = shingle_sets(rows)
+    want = brute_groups(sets)
+    assert all(0.8 <= jaccard(sets[i], sets[at[i]]) < 0.9 for i in at) and want == {i: at.get(i, i) for i in sets}
+    assert dict(map(tuple, simhash.near_copies(docs_of(rows)).collect())) == want
+
+
+def brute_groups(sets, least=0.8):
+    ids, group = sorted(sets), {i: i for i in sets}
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if group[i] != group[j] and jaccard(sets[i], sets[j]) >= least:
+                a, b = sorted((group[i], group[j]))
+                group = {k: a if g == b else g for k, g in group.items()}
+    return group
+
+
+def test_copies_of_a_text_that_are_not_alike_are_linked_through_it(docs_of):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(204)]
+    rows = [(900, " ".join(base))]
+    for i in range(60):
+        words = list(base)
+        for p in rng.sample(range(4, 200, 8), 4):
+            words[p] = f"e{i}_{p}"  # 20 of 200 shingles: 0.82 to the text, 0.7 to another copy
+        rows.append((i, " ".join(words)))
+    found = dict(map(tuple, simhash.near_copies(docs_of(rows)).collect()))
+    assert set(found.values()) == {0} and brute_groups(shingle_sets(rows)) == found
+
+
 # --- substrings ------------------------------------------------------------------
 
 
