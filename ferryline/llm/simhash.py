@@ -84,6 +84,13 @@ def similarity(a: np.ndarray, b: np.ndarray) -> tuple[float, bool]:
     return int((again <= last).sum()) / SKETCH, False
 
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of distinct hashes; of none, zero."""
+    merged = np.sort(np.concatenate([a, b]), kind="stable")
+    shared = int((merged[1:] == merged[:-1]).sum())
+    return shared / max(len(merged) - shared, 1)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp) of each row; fp is the fingerprint as a signed long."""
     def run(batch: pa.RecordBatch) -> dict:
@@ -334,9 +341,8 @@ def _pairs(found: DataFrame, a: str, b: str) -> DataFrame:
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of `pairs` (a, b) of rows of `sets` whose shingle sets have a similarity of at least `least`."""
     def run(batch: pa.RecordBatch) -> dict:
-        left, right = ([sketch(np.frombuffer(x, "<u8")) for x in batch.column(c).to_pylist()] for c in ("left", "right"))
-        found = [similarity(x, y) for x, y in zip(left, right)]
-        good = pa.array([j >= (least if exact else least - SLACK) for j, exact in found], pa.bool_())
+        left, right = ([np.frombuffer(x, "<u8") for x in batch.column(c).to_pylist()] for c in ("left", "right"))
+        good = pa.array([jaccard(x, y) >= least for x, y in zip(left, right)], pa.bool_())
         return {c: batch.column(c).filter(good) for c in ("a", "b")}
 
     pairs = materialize(pairs, "candidates")
@@ -351,8 +357,8 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id) for each distinct doc_id of `docs` (doc_id, text): documents of mostly the same shingles.
 
-    Documents are linked if their sets of shingles have a Jaccard similarity of at
-    least `least`.  Of two such sets, the rarest hashes (a fifth of each, with the
+    Documents are linked if their whole sets of shingles have a Jaccard similarity
+    of at least `least`, of whatever length they are.  Of two such sets, the rarest hashes (a fifth of each, with the
     default) share one: all sets that share one are candidates, but for pairs that
     the hash's places in them rule out, and so are all pairs that are linked found.
     Shingles that many documents have come last in the order and are hardly ever

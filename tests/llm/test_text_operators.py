@@ -214,6 +214,17 @@ def test_copies_of_a_text_that_are_not_alike_are_linked_through_it(docs_of):
     assert set(found.values()) == {0} and brute_groups(shingle_sets(rows)) == found
 
 
+def test_long_texts_are_linked_from_eight_tenths_exactly(docs_of):
+    n, rows, want = 4_000, [], {}
+    for i, other in enumerate((444, 445, 446, 450, 460, 470, 480, 490, 500, 520)):  # 444 of 4,000 shingles: 0.8002; 445: 0.7998
+        base = [f"d{i}_{k}" for k in range(n + 4)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:-other] + [f"c{i}_{k}" for k in range(other)]))]
+    sets = shingle_sets(rows)
+    want = {j: j - j % 2 if jaccard(sets[j - j % 2], sets[j - j % 2 + 1]) >= 0.8 else j for j in sets}
+    assert [j for j in want if want[j] != j] == [1]
+    assert dict(map(tuple, simhash.near_copies(docs_of(rows)).collect())) == want
+
+
 # --- substrings ------------------------------------------------------------------
 
 
