@@ -266,12 +266,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFra
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def set_mark(hashes: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(hashes)
+
+
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     """(row, doc_id, mark, hashes) for each row of `docs` with a doc_id: its sorted distinct shingle hashes and a digest of them."""
     def run(batch: pa.RecordBatch) -> dict:
         sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column("text").to_pylist()]
         return {"row": batch.column("row"), "doc_id": batch.column("doc_id"),
-                "mark": pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), "hashes": pa.array(sets, pa.binary())}
+                "mark": pa.array([set_mark(s) for s in sets], pa.binary()), "hashes": pa.array(sets, pa.binary())}
 
     texts = docs.where("doc_id IS NOT NULL").select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -354,24 +358,20 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return materialize(map_batches(both, run, "a long, b long", 64), "alike")
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) for each distinct doc_id of `docs` (doc_id, text): documents of mostly the same shingles.
+def _groups(docs: DataFrame, shingle: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """`shingle_sets` of `docs`, and (mark, first_id, root) for each distinct set: its least doc_id and its group.
 
     Documents are linked if their whole sets of shingles have a Jaccard similarity
-    of at least `least`, of whatever length they are.  Of two such sets, the rarest hashes (a fifth of each, with the
-    default) share one: all sets that share one are candidates, but for pairs that
-    the hash's places in them rule out, and so are all pairs that are linked found.
-    Shingles that many documents have come last in the order and are hardly ever
+    of at least `least`, of whatever length they are.  Of two such sets, the rarest
+    hashes (a fifth of each, with the default) share one: all sets that share one
+    are candidates, but for pairs that the hash's places in them rule out, and no
+    pair to link is missed.  Shingles that many documents have come last in the order and are hardly ever
     among the rarest, so that a common passage makes few candidates.
 
     First the sets with a hash are compared with the one that has it foremost;
     that links groups of copies.  Then the pairs not linked by that are compared.
     Pairs grow with the square of a group only if its members are neither linked
     to one of them nor ruled out.
-
-    component_id is the smallest doc_id reachable.  Texts of the same shingles,
-    and texts without words, are linked.  Rows without doc_id are left out; a
-    doc_id that comes with several texts joins their groups.
     """
     sets = shingle_sets(docs, shingle)
     whole = materialize(sets.groupBy("mark").agg(F.min(F.struct("doc_id", "row")).alias("first")).select(
@@ -389,11 +389,36 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
     second = apart.join(others, "token").where(F.col("own") != F.col("other_own")).where(
         _may_be_alike("size", "place", "other_size", "other_place", least))
     links_ = alike.union(_alike(_pairs(second, "node", "other_node"), sets, least))
-    roots = whole.join(components(links_), "node", "left").select("mark", "first_id", F.coalesce("root", "node").alias("root"))
+    return sets, materialize(whole.join(components(links_), "node", "left").select(
+        "mark", "first_id", F.coalesce("root", "node").alias("root")), "groups")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) for each distinct doc_id of `docs` (doc_id, text): documents of mostly the same shingles.
+
+    component_id is the smallest doc_id reachable.  Texts of the same shingles,
+    and texts without words, are linked.  Rows without doc_id are left out; a
+    doc_id that comes with several texts has a row for each of their groups, which
+    it doesn't join.
+    """
+    sets, roots = _groups(docs, shingle, least)
     ids = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = materialize(roots.join(ids, "root").select("mark", "component_id"), "groups")
-    again = sets.select("doc_id", "mark").join(named, "mark").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    texts = again.groupBy("a").agg(F.count_distinct("b").alias("n")).where("n > 1")  # a doc_id in several groups joins them
-    joined = components(again.join(texts, "a", "left_semi"))
-    return again.join(joined, again["b"] == joined["node"], "left").select(
-        F.col("a").alias("doc_id"), F.least(F.coalesce("root", "b"), "b").alias("component_id")).distinct()
+    return sets.select("doc_id", "mark").join(roots, "mark").join(ids, "root").select("doc_id", "component_id").distinct()
+
+
+def first_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, mark) of the document to keep of each group of near copies: the least doc_id and, of its texts in the group, the least mark."""
+    _, roots = _groups(docs, shingle, least)
+    return roots.groupBy("root").agg(F.min(F.struct("first_id", "mark")).alias("first")).select(
+        F.col("first.first_id").alias("doc_id"), "first.mark")
+
+
+def with_marks(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """`docs` with `mark`, the digest of the row's set of shingles."""
+    def run(batch: pa.RecordBatch) -> dict:
+        marks = [set_mark(np.unique(shingle_hashes(t, shingle)).tobytes()) for t in batch.column("text").to_pylist()]
+        return {c: batch.column(c) for c in docs_columns} | {"mark": pa.array(marks, pa.binary())}
+
+    docs_columns = docs.columns
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return map_batches(docs, run, f"{fields}, mark binary")

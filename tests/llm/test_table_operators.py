@@ -262,5 +262,12 @@ def test_pipeline_of_odd_rows(spark, docs_of, odd_texts, small_tables):
     assert once.where("doc_id IS NULL").count() == 2
 
 
+def test_near_dedup_keeps_every_distinct_text_of_a_repeated_doc_id(spark, docs_of, small_tables):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b.upper()), (1, b), (2, a), (3, b + " more"), (4, c), (None, a)]
+    once = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs_of(rows), small_tables)
+    assert Counter((r["doc_id"], r["text"]) for r in once.collect()) == Counter([(1, a), (1, b.upper()), (4, c), (None, a)])
+
+
 def test_queries_are_registered_for_every_operator():
     assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 11)] == [1] * 10
