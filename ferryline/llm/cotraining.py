@@ -155,13 +155,20 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def _sample(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features and labels of the documents in `ids` (doc_id, good), which are at most `LABELLED` + `POOL`."""
+    """Features and labels of the documents in `ids` (doc_id, good), which are at most `LABELLED` + `POOL`.
+
+    Of rows with one doc_id the one of least hash counts, so that no more reach the driver.
+    """
     def run(batch: pa.RecordBatch) -> dict:
         text, meta = _views(batch)
         return {"doc_id": batch.column("doc_id"), "good": batch.column("good"),
                 "views": pa.array([r.tobytes() for r in np.hstack([text, meta])], pa.binary())}
 
-    rows = map_batches(_plain(docs).join(F.broadcast(ids), "doc_id"), run, "doc_id long, good int, views binary").toArrow()
+    sampled = _plain(docs).join(F.broadcast(ids), "doc_id")
+    row = F.struct("text", "lang", "source", "n_chars", "good")
+    one = sampled.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64(row).alias("hash"), row.alias("row"))).alias("least")).select(
+        "doc_id", "least.row.*")
+    rows = map_batches(one, run, "doc_id long, good int, views binary").toArrow()
     order = np.lexsort(([xxhash.xxh32_intdigest(v) for v in rows.column("views").to_pylist()],
                         [xxhash.xxh64_intdigest(str(x)) for x in rows.column("doc_id").to_pylist()])) if rows.num_rows else []
     width = len(text_features("")) + len(metadata_features("", "", 0))

@@ -93,6 +93,14 @@ def test_classifier_on_odd_rows(spark, docs_of, odd_texts):
     assert cotraining.judge(bare, labels).count() == len(odd_texts)
 
 
+def test_sample_has_one_row_of_each_doc_id(spark, docs_of):
+    docs = docs_of([(0, f"text {i}") for i in range(50)] + [(1, "some"), (2, "other"), (2, "other")])
+    ids = spark.createDataFrame([(0, 1), (1, 0), (2, None)], "doc_id long, good int")
+    text, meta, good = cotraining._sample(docs, ids)
+    assert len(text) == len(meta) == len(good) == 3
+    assert all(np.array_equal(text, cotraining._sample(d, ids)[0]) for d in (docs.repartition(7), docs.orderBy("text")))
+
+
 def test_views_teach_each_other():
     rng = np.random.default_rng(3)
     y = rng.random(3_000) < 0.7
