@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ferryline.llm.common import map_batches, mix64
 from ferryline.llm.components import components
-from ferryline.session import materialize
+from ferryline.session import Scratch, materialize
 
 BITS = 64
 SEED = 42
@@ -270,7 +270,7 @@ def set_mark(hashes: bytes) -> bytes:
     return xxhash.xxh3_128_digest(hashes)
 
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+def shingle_sets(docs: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
     """(row, doc_id, mark, hashes) for each row of `docs` with a doc_id: its sorted distinct shingle hashes and a digest of them."""
     def run(batch: pa.RecordBatch) -> dict:
         sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column("text").to_pylist()]
@@ -279,7 +279,7 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
     texts = docs.where("doc_id IS NOT NULL").select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return materialize(map_batches(texts, run, "row long, doc_id long, mark binary, hashes binary"), "shingle-sets")
+    return scratch.put(map_batches(texts, run, "row long, doc_id long, mark binary, hashes binary"))
 
 
 def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -351,15 +351,18 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     pairs = materialize(pairs, "candidates")
     ends = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    whole = materialize(sets.select("row", "hashes").join(ends, "row", "left_semi"), "candidate-sets")
+    scratch = Scratch(pairs.sparkSession, "candidate-sets")
+    whole = scratch.put(sets.select("row", "hashes").join(ends, "row", "left_semi"))
     left = whole.select(F.col("row").alias("a"), F.col("hashes").alias("left"))
     right = whole.select(F.col("row").alias("b"), F.col("hashes").alias("right"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return materialize(map_batches(both, run, "a long, b long", 64), "alike")
+    alike = materialize(map_batches(both, run, "a long, b long", 64), "alike")
+    scratch.drop()
+    return alike
 
 
 def _groups(docs: DataFrame, shingle: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """`shingle_sets` of `docs`, and (mark, first_id, root) for each distinct set: its least doc_id and its group.
+    """(doc_id, mark) of each row of `docs`, and (mark, first_id, root) for each distinct set: its least doc_id and its group.
 
     Documents are linked if their whole sets of shingles have a Jaccard similarity
     of at least `least`, of whatever length they are.  Of two such sets, the rarest
@@ -373,7 +376,9 @@ def _groups(docs: DataFrame, shingle: int, least: float) -> tuple[DataFrame, Dat
     Pairs grow with the square of a group only if its members are neither linked
     to one of them nor ruled out.
     """
-    sets = shingle_sets(docs, shingle)
+    scratch = Scratch(docs.sparkSession, "shingle-sets")
+    sets = shingle_sets(docs, shingle, scratch)
+    marks = materialize(sets.select("doc_id", "mark"), "marks")
     whole = materialize(sets.groupBy("mark").agg(F.min(F.struct("doc_id", "row")).alias("first")).select(
         "mark", F.col("first.row").alias("node"), F.col("first.doc_id").alias("first_id")), "distinct-sets")
     met = _meetings(sets, whole.select("node"), least)
@@ -389,8 +394,10 @@ def _groups(docs: DataFrame, shingle: int, least: float) -> tuple[DataFrame, Dat
     second = apart.join(others, "token").where(F.col("own") != F.col("other_own")).where(
         _may_be_alike("size", "place", "other_size", "other_place", least))
     links_ = alike.union(_alike(_pairs(second, "node", "other_node"), sets, least))
-    return sets, materialize(whole.join(components(links_), "node", "left").select(
+    roots = materialize(whole.join(components(links_), "node", "left").select(
         "mark", "first_id", F.coalesce("root", "node").alias("root")), "groups")
+    scratch.drop()
+    return marks, roots
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -401,9 +408,9 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
     doc_id that comes with several texts has a row for each of their groups, which
     it doesn't join.
     """
-    sets, roots = _groups(docs, shingle, least)
+    marks, roots = _groups(docs, shingle, least)
     ids = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return sets.select("doc_id", "mark").join(roots, "mark").join(ids, "root").select("doc_id", "component_id").distinct()
+    return marks.join(roots, "mark").join(ids, "root").select("doc_id", "component_id").distinct()
 
 
 def first_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:

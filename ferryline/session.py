@@ -78,6 +78,10 @@ class Scratch:
         """Whether the present rows have a `column=value` partition; no job is run."""
         return path_exists(self.spark, f"{self.folder}/{self.number}/{partition}")
 
+    def drop(self) -> None:
+        """Delete the present rows; nothing that reads them may run any more."""
+        self._delete(f"{self.folder}/{self.number}")
+
     def _delete(self, path: str) -> None:
         files, old = _file_system(self.spark, path)
         files.delete(old, True)
