@@ -13,6 +13,8 @@ from ferryline.session import materialize
 
 # A word is a run of anything but the ASCII blanks; bytes.split() cuts at the same ones.
 WORD = r"[^\x20\x09-\x0D]+"
+# A run of ASCII letters and digits and of anything beyond ASCII, in a text whose A-Z are lower-cased.
+PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,13 +13,15 @@ from ferryline.llm import (
     difference_cover,
     mixing,
     pieces,
+    resampling,
+    runs,
     sharding,
     simhash,
     spotsigs,
     token_files,
     url_cascade,
 )
-from ferryline.llm.common import table
+from ferryline.llm.common import PLAIN_WORD, WORD, table
 
 
 def vocabulary(name: str) -> str:
@@ -147,3 +149,70 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_token_files")
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in which one document in ten, by its id, repeats a block of its words to its end (the contract's data)."""
+    mark = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(mark / 10).cast("long")
+    n, a, p = F.col("_n"), F.col("_a"), F.col("_p")
+    words = F.when(mark % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    cut = docs.select("doc_id", "text", g.alias("_g"), words.alias("_words")).withColumn("_n", F.size("_words").cast("long"))
+    spots = cut.withColumn("_a", F.when(n > 0, F.col("_g") % n).cast("int")).withColumn(
+        "_p", (1 + F.floor((n - F.col("_a")) / (3 + F.col("_g") % 8))).cast("int"))
+    block = F.slice("_words", a + 1, p)
+    tail = F.slice(F.flatten(F.array_repeat(block, F.ceil((n - a) / p).cast("int"))), F.lit(1), (n - a).cast("int"))
+    planted = F.array_join(F.concat(F.slice("_words", F.lit(1), a), tail), " ")
+    return spots.select("doc_id", F.when(n > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_runs")
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents"))).withColumn("best", runs.highest_run())
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+_PLAIN_WORDS = f"regexp_extract_all(translate(text, '{url_cascade.UPPER}', '{url_cascade.LOWER}'), '{PLAIN_WORD}')"
+
+
+@query("op13_resampling", f"""
+    WITH crc_table AS (
+        SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS entries
+        FROM range(256) AS bytes(i)),
+    docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_PLAIN_WORDS}, []) AS words FROM documents),
+    features AS (SELECT r, unnest(words) AS word FROM docs),
+    wanted AS (SELECT unnest({_PLAIN_WORDS}) AS word FROM benchmark),
+    kinds AS (
+        SELECT word, list_transform(range(1, 2 * octet_length(encode(word)), 2), lambda i: ('0x' || hex(encode(word))[i:i + 1])::BIGINT) AS bytes
+        FROM (SELECT word FROM features UNION SELECT word FROM wanted)),
+    hashed AS (
+        SELECT word, xor(4294967295, list_reduce(bytes, lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1]), 4294967295))
+                     % {resampling.BUCKETS} AS bucket
+        FROM kinds, crc_table),
+    s AS (SELECT bucket, count(*) AS n FROM features JOIN hashed USING (word) GROUP BY bucket),
+    t AS (SELECT bucket, count(*) AS n FROM wanted JOIN hashed USING (word) GROUP BY bucket),
+    gains AS (
+        SELECT bucket, floor(1000 * ln((coalesce(t.n, 0)::DOUBLE + 1) * ((SELECT count(*) FROM features)::DOUBLE + {resampling.BUCKETS})
+                             / ((s.n::DOUBLE + 1) * ((SELECT count(*) FROM wanted)::DOUBLE + {resampling.BUCKETS}))))::BIGINT AS gain
+        FROM s LEFT JOIN t USING (bucket)),
+    weights AS (
+        SELECT r, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+        FROM features JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY r),
+    scored AS (
+        SELECT r, doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+               coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('{resampling.SEED}:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT
+                                                           + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+        FROM docs LEFT JOIN weights USING (r)),
+    ranked AS (
+        SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS rank FROM scored
+        WHERE n_words >= {resampling.LEAST_WORDS}
+        QUALIFY row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) <= {resampling.PERCENT} * count(*) OVER () // 100)
+    SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN ranked USING (r)""")
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
