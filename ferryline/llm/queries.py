@@ -11,6 +11,7 @@ from ferryline.llm import (
     cotraining,
     cover_tree,
     difference_cover,
+    licences,
     mixing,
     pieces,
     resampling,
@@ -216,3 +217,57 @@ _PLAIN_WORDS = f"regexp_extract_all(translate(text, '{url_cascade.UPPER}', '{url
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def _rows(rows: list[tuple]) -> str:
+    """Rows of a VALUES list."""
+    return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in rows)
+
+
+_LICENCES = [*licences.PHRASES, *licences.TEMPLATES]
+_LICENCE_PHRASES = sorted({phrase for t in _LICENCES for phrase, _ in t.keys()})
+
+
+@query("op12_licences", f"""
+    WITH template(t, label, need, indexed, n_keys, length, plain) AS (VALUES {_rows([
+        (t, x.label, 1 if x.exact else licences.NEED, 1 if x.exact else licences.RARE, len(x.keys()), len(x.split()),
+         x in licences.PHRASES) for t, x in enumerate(_LICENCES)])}),
+    template_word(t, i, word) AS (VALUES {_rows([(t, i, w) for t, x in enumerate(_LICENCES) for i, w in enumerate(x.split())])}),
+    phrase_word(phrase, i, word, length) AS (VALUES {_rows([
+        (p, i, w, len(p.split())) for p in _LICENCE_PHRASES for i, w in enumerate(p.split())])}),
+    template_phrase(t, phrase, i) AS (VALUES {_rows([(t, p, i) for t, x in enumerate(_LICENCES) for p, i in x.keys()])}),
+    docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_PLAIN_WORDS}, []) AS words FROM documents),
+    spread AS (SELECT r, unnest(words) AS word, unnest(range(len(words))) AS spot FROM docs),
+    hits AS (SELECT * FROM spread WHERE word IN (SELECT word FROM template_word)),
+    counts AS (SELECT word, count(DISTINCT r) AS n FROM hits GROUP BY word),
+    rare AS (
+        SELECT t, i, word, need FROM template_word JOIN counts USING (word) JOIN template USING (t)
+        QUALIFY row_number() OVER (PARTITION BY t ORDER BY n, word, i) <= indexed),
+    begun AS (SELECT r, t, spot - i AS start FROM hits JOIN rare USING (word) GROUP BY r, t, spot - i, need HAVING count(*) >= need),
+    phrases AS (
+        SELECT r, phrase, spot - i AS start FROM hits JOIN phrase_word USING (word)
+        GROUP BY r, phrase, spot - i, length HAVING count(*) = length),
+    held AS (
+        SELECT r, t, start - i AS start FROM phrases JOIN template_phrase USING (phrase) JOIN template USING (t)
+        GROUP BY r, t, start - i, n_keys HAVING count(*) = n_keys),
+    plain AS (SELECT r, t, start FROM held JOIN template USING (t) WHERE plain),
+    found AS (
+        SELECT r, t, start FROM plain
+        UNION SELECT r, t, start FROM held JOIN begun USING (r, t, start)),
+    base AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word,
+                    string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+             FROM plain JOIN template USING (t) GROUP BY r),
+    every AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM found JOIN template USING (t) GROUP BY r),
+    inside AS (SELECT r, count(DISTINCT spot) AS n_inside FROM spread JOIN found USING (r) JOIN template USING (t)
+               WHERE spot >= start AND spot < start + length GROUP BY r)
+    SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+           last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+           CASE WHEN len(words) > 0 THEN coalesce(n_inside, 0)::DOUBLE / len(words)::DOUBLE ELSE 0.0::DOUBLE END AS score
+    FROM docs LEFT JOIN base USING (r) LEFT JOIN every USING (r) LEFT JOIN inside USING (r)""")
+def op12_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.find_licences(table(spark, sf_dir, "documents"))
+    starts = F.col("places.start")
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), licences.label_list("places").alias("base_labels"),
+        licences.label_list("places", "matches").alias("labels"), "score")
