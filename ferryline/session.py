@@ -97,6 +97,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
+def sub_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; no job is run."""
+    files, target = _file_system(spark, path)
+    return [entry.getPath().getName() for entry in files.listStatus(target) if entry.isDirectory()]
+
+
 def delete_path(spark: SparkSession, path: str) -> bool:
     """Delete a folder with all in it; whether it was there."""
     files, target = _file_system(spark, path)
