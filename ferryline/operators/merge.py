@@ -71,10 +71,14 @@ def merge_newest(target: DataFrame, source: DataFrame, keys: list[str], order_by
 
 def rows_to_write(source: DataFrame, keys: list[str], order_by: list[str] | None = None,
                   keys_set: bool = False) -> DataFrame:
-    """What an upsert writes of `source`: the last row of each key, and every row with a NULL in its key."""
+    """What an upsert writes of `source`, read once: the last row of each key, and every row with a NULL in its key.
+
+    Rows with a NULL are given a number each: none is dropped, and they don't meet in one task.
+    """
     if keys_set:
         return latest_per_key(source, keys, order_by)
-    return latest_per_key(source.where(no_null_key(keys)), keys, order_by).unionByName(source.where(~no_null_key(keys)))
+    alone = F.when(~no_null_key(keys), F.monotonically_increasing_id())
+    return latest_per_key(source.withColumn("_alone", alone), [*keys, "_alone"], order_by).drop("_alone")
 
 
 def merge_changes(target: DataFrame, source: DataFrame, keys: list[str],

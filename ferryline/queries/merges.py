@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ferryline.operators import merge as M
 from ferryline.queries import query
 from ferryline.session import new_folder
+from ferryline.sources.buckets import BucketedTable
 from ferryline.sources.tables import VersionedTable, scan
 
 
@@ -89,6 +90,22 @@ def merge_composite_key(spark, d):
     return M.merge_upsert(target, lines.where("l_linestatus = 'F'"), LINE_KEY, LINE_ORDER)
 
 
+@query("merge_bucketed", f"""
+    WITH source AS ({LATEST_LINE.format(where="l_linestatus = 'F'")}),
+         target AS ({LATEST_LINE.format(where="l_linestatus = 'O'")})
+    SELECT * FROM source
+    UNION ALL SELECT * FROM target t WHERE NOT EXISTS (
+        SELECT 1 FROM source s WHERE s.l_orderkey = t.l_orderkey AND s.l_linenumber = t.l_linenumber)
+""")
+def merge_bucketed(spark, d):
+    """The merge of `merge_composite_key` into a table in buckets of its key."""
+    lines = scan(spark, "lineitem", d)
+    table = BucketedTable(spark, new_folder(spark, "bucketed"), lines.schema, LINE_KEY, buckets=8)
+    table.upsert(lines.where("l_linestatus = 'O'"), "first", LINE_ORDER)
+    table.upsert(lines.where("l_linestatus = 'F'"), "second", LINE_ORDER)
+    return table.read()
+
+
 @query("merge_null_keys", """
     WITH source AS (SELECT CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS custkey,
                            o_orderkey AS last_order FROM orders),

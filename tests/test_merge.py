@@ -3,6 +3,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from ferryline.operators import merge as M
+from ferryline.sources.buckets import BucketedTable
 from ferryline.sources.tables import VersionedTable
 
 LAYOUT = "k int, part string, seq int, value string"
@@ -102,3 +103,65 @@ def test_checked_keys_are_read_less(spark, rows, tmp_path):
     plan = merged._jdf.queryExecution().sparkPlan().toString()
     assert plan.count(f"{tmp_path}/target") <= 2 and plan.count(f"{tmp_path}/source") <= 2
     assert plan.count("FileScan parquet") == 4
+
+
+def exchanges_above(df, source: str) -> int:
+    """Shuffles on the way from a scan of `source` up to the root of the plan."""
+    depth, found = None, 0
+    df.collect()
+    lines = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n")
+    for line in reversed(lines):
+        indent = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        if depth is None:
+            depth = indent if "FileScan" in line and source in line else None
+        elif indent < depth:
+            depth = indent
+            found += "Exchange" in line
+    assert depth is not None
+    return found
+
+
+def test_a_bucketed_target_is_not_shuffled(spark, folder):
+    old = spark.range(5_000).selectExpr("id AS k", "concat('old', id) AS v", "0L AS seq")
+    new = spark.range(4_000, 6_000).selectExpr("id AS k", "concat('new', id) AS v", "id % 3 AS seq")
+    table = BucketedTable(spark, folder, old.schema, ["k"], buckets=16)
+    assert table.version() == 0 and table.read().count() == 0
+    assert table.upsert(old, "r1") == 1
+    merged = table.merged(new.union(new.selectExpr("k", "'older'", "-1L")), ["seq"])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert exchanges_above(merged, table._name(1)) == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    table.upsert(new.union(new.selectExpr("k", "'older'", "-1L")), "r2", ["seq"])
+    again = BucketedTable(spark, folder, old.schema, ["k"], buckets=16)
+    assert again.version() == 2
+    found = {r.k: r.v for r in again.read().collect()}
+    assert found == {i: f"old{i}" if i < 4_000 else f"new{i}" for i in range(6_000)}
+    files = [r[0] for r in again.read().selectExpr("input_file_name()").distinct().collect()]
+    assert len(files) == 16  # a file a bucket
+
+
+def test_another_session_declares_the_buckets_anew(spark, folder):
+    rows = spark.range(100).selectExpr("id AS k", "named_struct('a', id, 'b', array(id)) AS v")
+    BucketedTable(spark, folder, rows.schema, ["k"], buckets=4).upsert(rows, "r")
+    table = BucketedTable(spark, folder, rows.schema, ["k"], buckets=4)
+    spark.sql(f"DROP TABLE {table._name(1)}")
+    assert table.read().count() == 100
+    assert table.upsert(rows.where("k < 10"), "r2") == 2 and table.read().count() == 100
+
+
+def test_a_bucketed_key_must_be_set(spark, folder):
+    rows = spark.createDataFrame([(1, "a"), (None, "b")], "k int, v string")
+    with pytest.raises(Exception, match="must not be NULL"):
+        BucketedTable(spark, folder, rows.schema, ["k"], buckets=2).upsert(rows, "r")
+
+
+def test_a_source_is_read_once_for_its_null_keys(spark, folder):
+    spark.range(100).selectExpr("nullif(id % 7, 3) AS k", "id AS seq").write.parquet(folder)
+    source = spark.read.parquet(folder)
+    kept = M.rows_to_write(source, ["k"], ["seq"])
+    assert kept._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert sorted((r.k is None, r.seq) for r in kept.collect()) == sorted(
+        [(True, i) for i in range(100) if i % 7 == 3] + [(False, max(i for i in range(100) if i % 7 == k)) for k in (0, 1, 2, 4, 5, 6)])
