@@ -89,6 +89,29 @@ def test_large_selection_equals_sorting(spark, monkeypatch, data_type, expressio
     assert S.kth_cursor(df, "c", n) == ordered[min(n, 120) - 1]
 
 
+@pytest.mark.parametrize("low, high", [(None, None), (10.0, 20.0), (31.0, 39.5), (90.0, None), (None, 1.0), (33.0, 33.0)])
+def test_a_bracket_that_misses_is_seen(spark, monkeypatch, low, high):
+    monkeypatch.setattr(S, "TOP_K_ROWS", 3)
+    values = spark.range(0, 200, 1, 4).selectExpr("id div 3 AS c")
+    assert S._kth_in_bracket(values, 101, low, high) == "33"
+
+
+def test_a_batch_takes_two_passes(spark, monkeypatch, folder):
+    """Many rows, a hot value, NaN, and few rows around the wanted one counted."""
+    monkeypatch.setattr(S, "TOP_K_ROWS", 3)
+    spark.range(0, 200_000, 1, 4).selectExpr("CASE WHEN id % 3 = 0 THEN 5000D WHEN id = 1 THEN double('NaN') ELSE id / 7 END AS c").write.parquet(folder)
+    values = spark.read.parquet(folder)
+    ordered = sorted(r.c for r in values.where("NOT isnan(c)").collect())
+    scans = []
+    plain = S._kth_in_bracket
+    monkeypatch.setattr(S, "_kth_in_bracket", lambda *a: (scans.append(a[2:]), plain(*a))[1])
+    monkeypatch.setattr(S, "_kth_by_slices", lambda *a: pytest.fail("the bracket missed"))
+    for n in (4, 500, 30_000, 60_000, 150_000, 199_000):
+        assert float(S.kth_cursor(values, "c", n)) == ordered[n - 1]
+    assert S.kth_cursor(values, "c", 200_000) == "NaN" and len(scans) == 6
+    assert all(low is None or high is None or sum(low <= v <= high for v in ordered) < 3_000 or low <= 5000 <= high for low, high in scans)
+
+
 def test_kth_of_nothing(spark):
     assert S.kth_cursor(spark.range(0), "id", 20_000) is None
 
