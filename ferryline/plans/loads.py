@@ -169,7 +169,8 @@ def _forbid_taken_keys(load: TableLoad, batch: DataFrame, target: VersionedTable
         return
     if not key_duplicates(batch, keys).isEmpty():
         raise LoadFailed("an INSERT batch repeats a primary key", result)
-    if not target.read().join(batch.select(*keys), keys, "left_semi").isEmpty():
+    stored = target.read_near(batch) if keys == target.keys else target.read()
+    if not stored.join(batch.select(*keys), keys, "left_semi").isEmpty():
         raise LoadFailed("an INSERT batch holds primary keys the target already has", result)
 
 

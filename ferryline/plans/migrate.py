@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass, replace
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferryline.operators.blocks import on_cycles
 from ferryline.operators.edges import included_edges, map_edges
-from ferryline.operators.graph import cycle_members
 from ferryline.operators.reconcile import BLOCKED, FAILED, SUCCESS
 from ferryline.operators.rows import TargetSchema
 from ferryline.operators.schema_diff import schema_diff
@@ -74,13 +76,52 @@ def plan_loads(spark: SparkSession, loads: list[TableLoad], fk_rows: DataFrame)
         levels |= {n: max((levels[p] + 1 for p in parents[n]), default=0) for n in free}
     stuck = sorted(set(parents) - set(levels))
     inside = [pair for pair in pairs if pair[1] in stuck and pair[0] in stuck]
-    cyclic = _on_a_cycle(spark, inside) if inside else []
+    cyclic = _on_a_cycle(inside)
     return Plan(levels, cyclic, [n for n in stuck if n not in cyclic], parents)
 
 
-def _on_a_cycle(spark: SparkSession, pairs: list[tuple[str, str]]) -> list[str]:
-    edges = spark.createDataFrame(pairs, "parent string, child string")
-    return sorted(row["id"] for row in cycle_members(edges).collect())
+def _on_a_cycle(pairs: list[tuple[str, str]]) -> list[str]:
+    """Few edges, at hand already: walked here."""
+    edges = pa.table({"parent": pa.array([p for p, _ in pairs], pa.string()), "child": pa.array([c for _, c in pairs], pa.string())})
+    return sorted(on_cycles(edges)["id"].to_pylist())
+
+
+def _ways(plan: Plan) -> dict[str, int]:
+    """Tables on the longest way from each executable table down to one that nothing depends on."""
+    longest = dict.fromkeys(plan.levels, 1)
+    for name in sorted(plan.levels, key=plan.levels.__getitem__, reverse=True):
+        for parent in plan.parents[name]:
+            if parent in longest:
+                longest[parent] = max(longest[parent], longest[name] + 1)
+    return longest
+
+
+def run_by_edges(plan: Plan, targets: dict[str, str], run: Callable[[str], dict], concurrency: int) -> list[dict]:
+    """`run` every executable table as soon as its own parents have ended; what it returned, in the order of the ends.
+
+    Of those that may start the one with the longest way below it goes first.  Entries
+    with one target (`targets`) follow each other in the order of the plan.  An
+    error of `run` itself ends the run once the tables under way have ended.
+    """
+    order = sorted(plan.levels, key=lambda name: (plan.levels[name], name))
+    waits = {name: set(plan.parents[name]) for name in order}
+    last: dict[str, str] = {}
+    for name in order:
+        if targets[name] in last:
+            waits[name].add(last[targets[name]])
+        last[targets[name]] = name
+    longest, ended, running, results = _ways(plan), set(), {}, []
+    with ThreadPoolExecutor(concurrency) as pool:
+        while len(results) < len(order):
+            ready = sorted((n for n in order if n not in ended and n not in running.values() and waits[n] <= ended),
+                           key=lambda n: (-longest[n], order.index(n)))
+            for name in ready[: concurrency - len(running)]:
+                future: Future = pool.submit(run, name)
+                running[future] = name
+            for future in wait(running, return_when=FIRST_COMPLETED).done:
+                results.append(future.result())
+                ended.add(running.pop(future))
+    return results
 
 
 def schema_violations(spark: SparkSession, loads: list[TableLoad], sources: dict[str, TargetSchema]) -> dict[str, str]:
@@ -113,8 +154,8 @@ def migrate(spark: SparkSession, loads: list[TableLoad], sources: dict[str, Data
     """Run the enabled loads and return their trace, one row per table.
 
     `sources` and `targets` go by contract key.  `folder` takes state, traces,
-    errors and rejects; a table's trace is written when the table ends.  Tables of
-    one level run side by side, those with the same target one after the other.
+    errors and rejects; a table's trace is written when the table ends.  A table starts
+    when its own parents have ended, whatever else is still running; those with the same target go one after the other.
     Declared schemas of the sources are compared with the targets' first; a table
     that breaks a rule is not run.  With `strict` the run fails if more tables
     failed or were blocked than cycles made unavoidable.
@@ -124,10 +165,10 @@ def migrate(spark: SparkSession, loads: list[TableLoad], sources: dict[str, Data
     plan = plan_loads(spark, loads, fk_rows if fk_rows is not None else declared_foreign_keys(spark, loads))
     broken = schema_violations(spark, loads, source_schemas or {})
     stopped: set[str] = set()
-    traces: list[dict] = []
+    numbers = {name: i for i, name in enumerate(sorted(plan.levels, key=lambda n: (plan.levels[n], n)), 1)}
 
-    def run(name: str, number: int, level: int) -> dict:
-        load = by_id[name]
+    def run(name: str) -> dict:
+        load, number = by_id[name], numbers[name]
         blockers = [p for p in plan.parents[name] if p in stopped]
         if blockers:
             trace = _trace(load, run_id, number, BLOCKED, f"not run: parents failed: {', '.join(blockers)}")
@@ -135,28 +176,17 @@ def migrate(spark: SparkSession, loads: list[TableLoad], sources: dict[str, Data
             trace = _trace(load, run_id, number, FAILED, f"not run: the schemas differ: {broken[name]}", "SCHEMA_MISMATCH")
         else:
             trace = _run_one(load, sources, targets, run_id, number, folder, [by_id[p] for p in plan.parents[name]])
-        return record({**trace, "level": level})
+        if trace["status"] != SUCCESS:
+            stopped.add(name)
+        return record({**trace, "level": plan.levels[name]})
 
     def record(trace: dict) -> dict:
         row = spark.createDataFrame([_trace_row(trace)], TRACE_SCHEMA)
         write_table_trace(row, f"{folder}/traces", run_id, trace["load"].entry)
         return trace
 
-    def in_turn(names: list[str], numbers: dict[str, int], level: int) -> list[dict]:
-        return [run(name, numbers[name], level) for name in names]
-
-    with ThreadPoolExecutor(concurrency) as pool:
-        for level in sorted(set(plan.levels.values())):
-            names = sorted(name for name, at in plan.levels.items() if at == level)
-            numbers = {name: len(traces) + i for i, name in enumerate(names, 1)}
-            by_target: dict[str, list[str]] = {}
-            for name in names:
-                by_target.setdefault(by_id[name].target.id, []).append(name)
-            done = pool.map(lambda group: in_turn(group, numbers, level), by_target.values())  # noqa: B023
-            for trace in sorted((t for group in done for t in group), key=lambda t: t["load_order"]):
-                traces.append(trace)
-                if trace["status"] != SUCCESS:
-                    stopped.add(trace["load"].entry)
+    ran = run_by_edges(plan, {name: by_id[name].target.id for name in plan.levels}, run, concurrency)
+    traces = sorted(ran, key=lambda t: t["load_order"])
     for stuck, status, reason in ((plan.cyclic, FAILED, CYCLIC_REASON), (plan.blocked, BLOCKED, BELOW_CYCLE_REASON)):
         for name in stuck:
             traces.append(record(_trace(by_id[name], run_id, len(traces) + 1, status, reason, status)))

@@ -118,6 +118,21 @@ class VersionedTable:
         """The rows of the newest published version."""
         return self._rows(self._live())
 
+    def read_near(self, rows: DataFrame) -> DataFrame:
+        """The stored rows that may share a key with `rows`: of the buckets these fall in, between their least and greatest first key.
+
+        Other buckets are not opened, and of these files the row groups out of range are skipped.
+        """
+        live, commit = self._live(), self._latest()
+        if not live or not self.keys:
+            return self._rows(live)
+        keyed, first = self._shaped(rows.select(*self.keys), self.keys), F.col(self.keys[0])
+        buckets = F.collect_set(self._bucket(commit["buckets"], self.keys))  # at most as many values as buckets
+        hit, least, greatest = keyed.where(no_null_key(self.keys)).agg(buckets, F.min(first), F.max(first)).first()
+        stored = self._rows([part for part in live if part["bucket"] in set(hit)])
+        plain = isinstance(self.schema[self.keys[0]].dataType, (T.IntegralType, T.StringType, T.DateType))
+        return stored.where(first.between(F.lit(least), F.lit(greatest))) if plain else stored
+
     def count(self) -> int:
         """Rows in the newest version; known from the commit, nothing is scanned."""
         commit = self._latest()
@@ -141,17 +156,18 @@ class VersionedTable:
             return self.fixed_buckets or 1
         return 1 << (sum(map(_read_bytes, frames)) // BUCKET_BYTES).bit_length()
 
-    def _bucket(self, buckets: int) -> Column:
+    def _bucket(self, buckets: int, names: list[str] | None = None) -> Column:
+        """The bucket of a row; `names` are the columns at hand where they are not all."""
         if buckets == 1:
             return F.lit(0)
-        hashable = [f.name for f in self.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+        hashable = [f.name for f in self.schema if f.name in (names or self.schema.names) and not isinstance(f.dataType, (T.MapType, T.VariantType))]
         keyless = F.pmod(F.hash(*[F.col(c) for c in hashable]), F.lit(buckets))
         keyed = F.pmod(F.hash(*[F.col(k) for k in self.keys]), F.lit(buckets))
         return F.when(no_null_key(self.keys), keyed).otherwise(keyless)
 
-    def _shaped(self, df: DataFrame) -> DataFrame:
+    def _shaped(self, df: DataFrame, names: list[str] | None = None) -> DataFrame:
         """The table's columns in its own types: an int and a bigint key would hash to different buckets."""
-        return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema])
+        return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema if f.name in (names or self.schema.names)])
 
     def _write(self, rows: DataFrame, version: int, buckets: int, few_files: bool = False) -> list[dict]:
         folder = f"{self.path}/data/{VERSION}={version}"

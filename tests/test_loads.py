@@ -1,4 +1,5 @@
 import datetime as dt
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from ferryline.operators.rows import ForeignKey, TargetSchema
 from ferryline.plans import contract as C
 from ferryline.plans.loads import LoadFailed, full_load, incremental_load, incremental_loads
-from ferryline.plans.migrate import MigrationFailed, migrate
+from ferryline.plans.migrate import MigrationFailed, Plan, migrate, run_by_edges
 from ferryline.sources.jdbc import Connection
 from ferryline.sources.state import read_state, saved_cursor
 from ferryline.sources.tables import VersionedTable
@@ -136,6 +137,19 @@ def test_append_of_taken_keys_fails(source, target, folder):
         incremental_load(spec, source, target, "r1", f"{folder}/state")
 
 
+def test_an_append_opens_only_the_buckets_it_meets(spark, folder):
+    rows = spark.range(4_000).selectExpr("id", "concat('v', id) AS v")
+    table = VersionedTable(spark, folder, rows.schema, ["id"], buckets=16)
+    table.publish(table.stage_append(rows), "r1")
+    batch = spark.createDataFrame([(17, "x"), (9_000, "y")], "id int, v string")
+    near = table.read_near(batch)
+    opened = {f.rsplit("/", 2)[-2] for f in near.inputFiles()}
+    assert 1 <= len(opened) <= 2 and near.where("id = 17").count() == 1
+    assert "GreaterThanOrEqual(id,17), LessThanOrEqual(id,9000)" in near._jdf.queryExecution().executedPlan().toString()
+    assert table.read_near(batch.limit(0)).count() == 0
+    assert VersionedTable(spark, f"{folder}-none", rows.schema, ["id"]).read_near(batch).count() == 0
+
+
 # --- whole runs ----------------------------------------------------------------
 
 
@@ -363,3 +377,24 @@ def test_a_late_batch_does_not_replace_newer_rows(spark, source, folder):
         stream = spark.readStream.schema(source.schema).parquet(f"{folder}/late-in")
         stream_upsert(stream, target, ["id"], f"{folder}/late-checkpoint", ["updated_at"], name=f"late{i}")
     assert target.count() == target.read().where("name = 'new'").count() == 20
+
+
+def test_a_table_starts_when_its_own_parents_end():
+    """b waits for a alone, not for the slow c of its level; entries with one target follow each other."""
+    plan = Plan({"a": 0, "c": 0, "x": 0, "b": 1, "d": 2}, [], [], {"a": [], "c": [], "x": [], "b": ["a"], "d": ["b"]})
+    done, began, lock = threading.Event(), [], threading.Lock()
+
+    def run(name):
+        with lock:
+            began.append(name)
+        if name == "c":
+            assert done.wait(20), "d did not start before c ended"
+        if name == "d":
+            done.set()
+        return {"name": name}
+
+    names = [r["name"] for r in run_by_edges(plan, {"a": "a", "b": "b", "c": "c", "d": "d", "x": "b"}, run, 2)]
+    assert began[0] == "a" and names.index("d") < names.index("c")  # a has the longest way below it
+    assert names.index("x") < names.index("b")  # the same target: in the order of the plan
+    with pytest.raises(RuntimeError, match="boom"):
+        run_by_edges(plan, dict.fromkeys("abcdx", "t"), lambda name: (_ for _ in ()).throw(RuntimeError("boom")), 2)
