@@ -178,18 +178,26 @@ def migrate(spark: SparkSession, loads: list[TableLoad], sources: dict[str, Data
             trace = _run_one(load, sources, targets, run_id, number, folder, [by_id[p] for p in plan.parents[name]])
         if trace["status"] != SUCCESS:
             stopped.add(name)
-        return record({**trace, "level": plan.levels[name]})
+        trace["level"] = plan.levels[name]
+        records.append(clerks.submit(record, trace))
+        return trace
 
-    def record(trace: dict) -> dict:
-        row = spark.createDataFrame([_trace_row(trace)], TRACE_SCHEMA)
+    def record(trace: dict) -> None:
+        row = spark.createDataFrame([_trace_row(trace)], TRACE_SCHEMA).coalesce(1)
         write_table_trace(row, f"{folder}/traces", run_id, trace["load"].entry)
-        return trace
 
-    ran = run_by_edges(plan, {name: by_id[name].target.id for name in plan.levels}, run, concurrency)
-    traces = sorted(ran, key=lambda t: t["load_order"])
-    for stuck, status, reason in ((plan.cyclic, FAILED, CYCLIC_REASON), (plan.blocked, BLOCKED, BELOW_CYCLE_REASON)):
-        for name in stuck:
-            traces.append(record(_trace(by_id[name], run_id, len(traces) + 1, status, reason, status)))
+    records: list[Future] = []
+    with ThreadPoolExecutor(concurrency) as clerks:  # no table waits for another one's trace
+        try:
+            ran = run_by_edges(plan, {name: by_id[name].target.id for name in plan.levels}, run, concurrency)
+            traces = sorted(ran, key=lambda t: t["load_order"])
+            for stuck, status, reason in ((plan.cyclic, FAILED, CYCLIC_REASON), (plan.blocked, BLOCKED, BELOW_CYCLE_REASON)):
+                for name in stuck:
+                    traces.append(_trace(by_id[name], run_id, len(traces) + 1, status, reason, status))
+                    records.append(clerks.submit(record, traces[-1]))
+        finally:
+            for written in records:
+                written.result()
     _record_errors(spark, traces, folder)
     written = read_trace(spark, f"{folder}/traces").where(F.col("run_id") == run_id)
     _verdict(traces, plan, strict, written)
