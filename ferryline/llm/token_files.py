@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,7 +33,6 @@ BATCH = 512  # sequences of a batch
 PART_BYTES = 48 << 20  # text of a part
 CACHE = 250_000  # words, and pieces, remembered by a worker
 
-_BLANKS = re.compile("[ \n]+")
 _SAFE = re.compile("[!-~À-ÖØ-öø-ÿ]+")  # lowering and composing these is the same for a word alone
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
@@ -90,10 +90,29 @@ class WordTokens:
         safe = self.short_cut and _SAFE.fullmatch(word) and "<|" not in word
         return self._plain(word) if safe else self._whole(word)
 
+    def encode_all(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, `end` after each, and how many each has; null is an empty text.
+
+        Texts are cut and their words numbered by Arrow; each distinct word is looked up
+        once, and the ids of all places are gathered from those.
+        """
+        cut = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        words = pc.list_flatten(cut).dictionary_encode()
+        known = [self.words[w] for w in words.dictionary.to_pylist()] + [_packed([end])]
+        stop = np.cumsum(pc.list_value_length(cut).to_numpy(), dtype=np.int64)
+        places = np.insert(words.indices.to_numpy().astype(np.int64), stop, len(known) - 1)
+        lengths = np.array([len(k) // 4 for k in known], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        taken = lengths[places]
+        upto = np.cumsum(taken)
+        flat = np.frombuffer(b"".join(known), "<u4")[np.repeat(starts[places] - (upto - taken), taken) + np.arange(upto[-1] if len(upto) else 0)]
+        ends = upto[stop + np.arange(len(stop))]
+        return flat, np.diff(ends, prepend=0)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers; null is an empty text."""
-        known = self.words.__getitem__
-        return [b"".join(map(known, _BLANKS.split(t))) if t else b"" for t in texts]
+        flat, sizes = self.encode_all(pa.array(texts, pa.string()), END)
+        return [x[:-1].tobytes() for x in np.split(flat, np.cumsum(sizes)[:-1])] if len(sizes) else []
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -130,14 +149,14 @@ class PartWriter:
         self.sinks = [system.open_output_stream(f"{path}/{what}-{name}.arrow") for what in ("tokens", "index")]
         self.tokens, self.index = (pa.ipc.new_file(s, schema) for s, schema in zip(self.sinks, (_schema(kind), INDEX)))
 
-    def add(self, doc_ids: list, ids: list[np.ndarray]) -> None:
-        sizes = np.array([len(x) for x in ids], np.int64)
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Documents with the ids of all of them end to end."""
         starts = self.total + np.cumsum(sizes) - sizes
-        self.index.write_batch(pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(starts), pa.array(sizes)], schema=INDEX))
-        self.left += ids
-        self.held += int(sizes.sum())
-        self.total += int(sizes.sum())
-        self.documents += len(ids)
+        self.index.write_batch(pa.record_batch([doc_ids, pa.array(starts), pa.array(sizes)], schema=INDEX))
+        self.left.append(ids)
+        self.held += len(ids)
+        self.total += len(ids)
+        self.documents += len(sizes)
         if self.held >= BATCH * LENGTH:
             flat = np.concatenate(self.left)
             whole = len(flat) // LENGTH * LENGTH
@@ -218,10 +237,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END) -> DataF
             if writer is None:
                 name = f"{part:06d}-{uuid.uuid4().hex}"
                 writer = PartWriter(folder, name, kind)
-            last = np.array([end], "<u4").tobytes()
-            ids = [np.frombuffer(x + last, "<u4").astype(kind.to_pandas_dtype())
-                   for x in model.encode(batch.column("text").to_pylist())]
-            writer.add(batch.column("doc_id").to_pylist(), ids)
+            ids, sizes = model.encode_all(batch.column("text"), end)
+            writer.add(batch.column("doc_id"), ids.astype(kind.to_pandas_dtype()), sizes)
         if writer:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([name]), pa.array([writer.documents]),
@@ -245,7 +262,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for name, ahead in zip(batch.column("name").to_pylist(), batch.column("before").to_pylist()):
                 for doc_ids, starts, documents in PartReader(folder, name).documents():
-                    sums = [zlib.crc32(x.astype("<u4").tobytes()) for x in documents]
+                    sums = [zlib.crc32(x.astype("<u4")) for x in documents]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(doc_ids, pa.int64()), pa.array([ahead + s for s in starts], pa.int64()),
                         pa.array([len(x) for x in documents], pa.int64()), pa.array(sums, pa.int64())],
