@@ -98,16 +98,14 @@ class WordTokens:
         """
         cut = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
         words = pc.list_flatten(cut).dictionary_encode()
-        known = [self.words[w] for w in words.dictionary.to_pylist()] + [_packed([end])]
+        known = [*map(self.words.__getitem__, words.dictionary.to_numpy(zero_copy_only=False).tolist()), _packed([end])]
+        offsets = np.zeros(len(known) + 1, np.int32)
+        np.cumsum([len(k) >> 2 for k in known], out=offsets[1:])
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(known), "<u4")))
         stop = np.cumsum(pc.list_value_length(cut).to_numpy(), dtype=np.int64)
-        places = np.insert(words.indices.to_numpy().astype(np.int64), stop, len(known) - 1)
-        lengths = np.array([len(k) // 4 for k in known], np.int64)
-        starts = np.cumsum(lengths) - lengths
-        taken = lengths[places]
-        upto = np.cumsum(taken)
-        flat = np.frombuffer(b"".join(known), "<u4")[np.repeat(starts[places] - (upto - taken), taken) + np.arange(upto[-1] if len(upto) else 0)]
-        ends = upto[stop + np.arange(len(stop))]
-        return flat, np.diff(ends, prepend=0)
+        taken = lists.take(pa.array(np.insert(words.indices.to_numpy(), stop, len(known) - 1)))
+        ends = taken.offsets.to_numpy()[stop + np.arange(1, len(stop) + 1)]
+        return taken.flatten().to_numpy(), np.diff(ends, prepend=0).astype(np.int64)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers; null is an empty text."""
@@ -233,7 +231,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END) -> DataF
     def run(batches):
         part, writer, name = TaskContext.get().partitionId(), None, ""
         model = word_tokens(tokenizer)
-        for batch in slices(batches, 512):
+        for batch in slices(batches, 1_024):
             if writer is None:
                 name = f"{part:06d}-{uuid.uuid4().hex}"
                 writer = PartWriter(folder, name, kind)
