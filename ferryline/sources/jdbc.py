@@ -78,21 +78,41 @@ def jdbc_append(df: DataFrame, connection: Connection, table: str, batch_size: i
     ).mode("append").save()
 
 
-def merge_statement(merge: str, table: str, staging: str, columns: list[str], keys: list[str]) -> str:
-    """The statement that upserts a staging table into `table`, in one of the forms of `MERGES`."""
+def _not_older(new: str, old: str, order_by: list[str]) -> str:
+    """Condition that a row comes at or after another by `order_by`, a NULL before all else; `new` and `old` are forms of a column."""
+    condition = "1 = 1"
+    for column in reversed(order_by):
+        n, o = new.format(column), old.format(column)
+        same = f"({n} = {o} OR ({n} IS NULL AND {o} IS NULL))"
+        condition = f"({n} > {o} OR ({o} IS NULL AND {n} IS NOT NULL) OR ({same} AND {condition}))"
+    return condition
+
+
+def merge_statement(merge: str, table: str, staging: str, columns: list[str], keys: list[str],
+                    newer_by: list[str] | None = None) -> str:
+    """The statement that upserts a staging table into `table`, in one of the forms of `MERGES`.
+
+    With `newer_by` a stored row stays where the staged one is older by these columns.
+    """
     names = ", ".join(columns)
     values = [c for c in columns if c not in keys]
     if merge == "on conflict":
         change = ", ".join(f"{c} = EXCLUDED.{c}" for c in values)
-        action = f"DO UPDATE SET {change}" if values else "DO NOTHING"
+        newer = f" WHERE {_not_older('EXCLUDED.{}', table + '.{}', newer_by)}" if newer_by else ""
+        action = f"DO UPDATE SET {change}{newer}" if values else "DO NOTHING"
         return (f"INSERT INTO {table} ({names}) SELECT {names} FROM {staging} "
                 f"ON CONFLICT ({', '.join(keys)}) {action}")
     if merge == "on duplicate key":
-        change = ", ".join(f"{c} = VALUES({c})" for c in values or keys)
+        newer = _not_older("VALUES({})", table + ".{}", newer_by) if newer_by else ""
+        # assignments see those before them: what decides is assigned last, the least of it first
+        last = [c for c in reversed(newer_by or []) if c in values]
+        change = ", ".join(f"{c} = IF({newer}, VALUES({c}), {table}.{c})" if newer else f"{c} = VALUES({c})"
+                           for c in [c for c in values if c not in last] + last or keys)
         return f"INSERT INTO {table} ({names}) SELECT {names} FROM {staging} ON DUPLICATE KEY UPDATE {change}"
     match = " AND ".join(f"t.{k} = s.{k}" for k in keys)
     change = ", ".join(f"t.{c} = s.{c}" for c in values)
-    update = f"WHEN MATCHED THEN UPDATE SET {change} " if values else ""
+    newer = f" AND {_not_older('s.{}', 't.{}', newer_by)}" if newer_by else ""
+    update = f"WHEN MATCHED{newer} THEN UPDATE SET {change} " if values else ""
     insert = f"WHEN NOT MATCHED THEN INSERT ({names}) VALUES ({', '.join(f's.{c}' for c in columns)})"
     end = ";" if merge.endswith(";") else ""
     return f"MERGE INTO {table} t USING {staging} s ON ({match}) {update}{insert}{end}"
@@ -150,11 +170,12 @@ class JdbcTable:
         return JdbcStaged(insert_statement(self.table, self.staging, df.columns), before, before + added)
 
     def stage_upsert(self, df: DataFrame, keys: list[str] | None = None, order_by: list[str] | None = None,
-                     small_batch: bool = False, keys_set: bool = False) -> JdbcStaged:
+                     small_batch: bool = False, keep_newer: bool = False, keys_set: bool = False) -> JdbcStaged:
         keys = clean_keys(keys or self.keys)
         self._stage(rows_to_write(df, keys, order_by, keys_set))
         before, added = self.count(), self._number(new_rows_query(self.table, self.staging, keys))
-        statement = merge_statement(self.connection.merge, self.table, self.staging, df.columns, keys)
+        newer_by = order_by if keep_newer else None
+        statement = merge_statement(self.connection.merge, self.table, self.staging, df.columns, keys, newer_by)
         return JdbcStaged(statement, before, before + added)
 
     def publish(self, staged: JdbcStaged, run_id: str, cursor: str | None = None, entry: str | None = None,

@@ -13,20 +13,32 @@ from ferryline.sources.tables import VersionedTable
 
 
 def stream_upsert(stream: DataFrame, target: VersionedTable, keys: list[str], checkpoint: str,
-                  order_by: list[str] | None = None, name: str = "stream"):
+                  order_by: list[str] | None = None, name: str = "stream", event_time: str | None = None,
+                  horizon: str | None = None):
     """Take what has arrived, batch by batch, and stop; returns the query.
 
     The checkpoint replaces the saved cursor.  A batch that is delivered again
     is recognised by its id in the commit log, so a restart writes nothing twice.
     With `order_by` a row that arrives late never replaces a newer one.
+
+    With `event_time` and a `horizon` (such as "2 hours") rows that came before, alike in every
+    column, are dropped by the stream's state and never reach the target; a row that differs in any
+    column passes.  The state is bounded by the horizon: a row that lies further back than that behind
+    the newest of the batches before is dropped as well, and left to `late_rows`.
     """
     keys = clean_keys(keys)
+    if (event_time is None) != (horizon is None):
+        raise ValueError("an event time and a horizon go together")
+    if event_time:
+        stream = stream.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark()
 
     def step(batch: DataFrame, batch_id: int) -> None:
         run_id = f"{name}-{batch_id}"
         if target.commit_of(run_id):
             return
         rows = materialize(batch, "micro-batch")
+        if rows.isEmpty():
+            return
         staged = target.stage_upsert(rows, keys, order_by, small_batch=True, keep_newer=True)
         verdict = audit_counts(rows.sparkSession, "UPSERT", rows.count(), staged.rows_before, staged.rows_after)
         if verdict["consistency"] == INCONSISTENT:

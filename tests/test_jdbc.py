@@ -1,5 +1,7 @@
 """JDBC targets without a database: the statements they would run, tried on DuckDB in this process."""
 
+import inspect
+
 import compare
 import pytest
 
@@ -8,6 +10,8 @@ from ferryline.operators.rows import TargetSchema
 from ferryline.plans import contract as C
 from ferryline.plans.loads import full_load, incremental_load
 from ferryline.sources import catalog, jdbc
+from ferryline.sources.tables import VersionedTable
+from ferryline.streaming.upsert import stream_upsert
 
 CONNECTION = jdbc.Connection("jdbc:postgresql://h/db", "u", "p")
 
@@ -30,6 +34,39 @@ def test_merge_statement(con, merge):
         (1, 1, "old", 1), (1, 2, "new", 2), (2, 1, "new", 2)]
 
 
+@pytest.mark.parametrize("merge", ["on conflict", "merge"])
+def test_a_newer_stored_row_stays(con, merge):
+    con.execute("CREATE TABLE t (k INT PRIMARY KEY, v VARCHAR, day INT, n INT)")
+    con.execute("INSERT INTO t VALUES (1, 'old', 5, 1), (2, 'old', 5, 1), (3, 'old', 5, 1), (4, 'old', NULL, 1), (5, 'old', 5, NULL), (6, 'old', 5, 2)")
+    con.execute("CREATE TABLE s AS SELECT * FROM (VALUES (1, 'new', 6, 0), (2, 'new', 4, 9), (3, 'new', 5, 1), (4, 'new', 0, 0), "
+                "(5, 'new', NULL, 3), (6, 'new', 5, 1), (7, 'new', 1, 1)) x(k, v, day, n)")
+    statement = jdbc.merge_statement(merge, "t", "s", ["k", "v", "day", "n"], ["k"], ["day", "n"])
+    con.execute(statement.replace("SET t.v", "SET v").replace(", t.day =", ", day =").replace(", t.n =", ", n ="))
+    assert [r[0] for r in con.execute("SELECT v FROM t ORDER BY k").fetchall()] == ["new", "old", "new", "new", "old", "old", "new"]
+
+
+def test_what_decides_is_assigned_last():
+    statement = jdbc.merge_statement("on duplicate key", "t", "s", ["k", "day", "n", "v"], ["k"], ["day", "n"])
+    change = statement.split("ON DUPLICATE KEY UPDATE ")[1]
+    assert change.index("v = IF(") < change.index("n = IF(") < change.index("day = IF(")
+
+
+def test_both_targets_take_the_same_arguments():
+    for name in ("stage_upsert", "stage_append", "publish", "commit_of"):
+        own, other = (inspect.signature(getattr(c, name)).parameters for c in (VersionedTable, jdbc.JdbcTable))
+        assert list(own) == list(other), name
+
+
+def test_a_stream_into_a_database_target(spark, con, folder):
+    con.execute("CREATE TABLE t (id INT PRIMARY KEY, name VARCHAR, seq INT)")
+    target = DuckTable(spark, con, "t", ["id"])
+    for i, rows in enumerate([[(1, "a", 5), (2, "b", 1)], [(1, "late", 4), (2, "c", 2)]]):
+        spark.createDataFrame(rows, "id int, name string, seq int").write.parquet(f"{folder}/in/{i}")
+        stream = spark.readStream.schema("id int, name string, seq int").parquet(f"{folder}/in/*")
+        stream_upsert(stream, target, ["id"], f"{folder}/checkpoint", ["seq"], name=f"duck{i}")
+    assert con.execute("SELECT * FROM t ORDER BY id").fetchall() == [(1, "a", 5), (2, "c", 2)]
+
+
 def test_merge_statement_texts():
     assert jdbc.merge_statement("on duplicate key", "t", "s", ["k", "v"], ["k"]) == (
         "INSERT INTO t (k, v) SELECT k, v FROM s ON DUPLICATE KEY UPDATE v = VALUES(v)")

@@ -398,3 +398,27 @@ def test_a_table_starts_when_its_own_parents_end():
     assert names.index("x") < names.index("b")  # the same target: in the order of the plan
     with pytest.raises(RuntimeError, match="boom"):
         run_by_edges(plan, dict.fromkeys("abcdx", "t"), lambda name: (_ for _ in ()).throw(RuntimeError("boom")), 2)
+
+
+def test_repeats_in_a_stream_never_reach_the_target(spark, folder):
+    """Rows seen before are dropped by the stream, across a restart too; changed ones and newer ones that come late are not."""
+    layout = "id int, at timestamp, v string"
+
+    def rows(*some):
+        return spark.createDataFrame([(i, dt.datetime(2026, 1, 1, h), v) for i, h, v in some], layout)
+
+    target = VersionedTable(spark, f"{folder}/t", rows().schema, ["id"])
+
+    def arrive(number, df):
+        df.coalesce(1).write.parquet(f"{folder}/in/{number}")
+        stream = spark.readStream.schema(layout).parquet(f"{folder}/in/*")
+        stream_upsert(stream, target, ["id"], f"{folder}/checkpoint", ["at"], name="watched", event_time="at", horizon="6 hours")
+        return target._latest()["version"], {r.id: r.v for r in target.read().collect()}
+
+    first = arrive(0, rows((1, 8, "a"), (2, 9, "b"), (2, 9, "b")))
+    assert first == (1, {1: "a", 2: "b"})
+    assert arrive(1, rows((1, 8, "a"), (2, 9, "b"))) == first  # nothing is written
+    again = arrive(2, rows((1, 8, "a"), (2, 7, "late"), (1, 9, "newer")))
+    assert again == (2, {1: "newer", 2: "b"})
+    with pytest.raises(ValueError, match="go together"):
+        stream_upsert(None, target, ["id"], folder, event_time="at")
