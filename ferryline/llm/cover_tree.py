@@ -15,7 +15,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferryline.session import materialize
@@ -131,13 +131,19 @@ def search(queries: CoverTree, data: CoverTree, floor: np.ndarray, k: int) -> Be
 def quantised(embeddings: DataFrame) -> DataFrame:
     """(vec_id, v): floor(64 x) of each component, in double, as little-endian 32-bit integers.
 
-    Rows without id, null vectors and vectors with a null, non-finite or huge
-    (2^24 or more after scaling) component take no part.  Zeros at the end are
+    Rows without id, null vectors and vectors with a null or non-finite
+    component take no part.  A finite component of 2^24 or more after scaling, whose
+    products would not be exact, raises an error: no row is left out for it.  Zeros at the end are
     cut off, so that vectors of different lengths are compared as if filled with
     zeros.  Repeated rows count once.
     """
-    parts = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE))
-    usable = F.forall("embedding", lambda x: F.coalesce(F.abs(x.cast("double") * SCALE) < MOST, F.lit(False)))
+    def exact(x: Column) -> Column:
+        scaled = x.cast("double") * SCALE
+        return F.when(F.abs(scaled) < MOST, F.floor(scaled)).otherwise(F.raise_error(F.lit(
+            f"a component of {MOST // SCALE} or more in size can't be scored exactly")))
+
+    parts = F.transform("embedding", exact)
+    usable = F.forall("embedding", lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
     rows = embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(usable).select(
         F.col("vec_id").cast("long").alias("vec_id"), parts.cast("array<int>").alias("v"))
 
@@ -204,8 +210,8 @@ def top_k(embeddings: DataFrame, is_query, k: int = K) -> DataFrame:
 
     trees = blocks(data, BLOCK, False)
     asked = blocks(rows.where(is_query), QUERY_BLOCK, True)
-    numbers = Window.orderBy("block")  # a row per block
-    trees = materialize(trees.withColumn("number", F.row_number().over(numbers) - 1), "numbered-trees")
+    numbers = trees.select("block", (F.row_number().over(Window.orderBy("block")) - 1).alias("number"))  # a name per block, no tree
+    trees = materialize(trees.join(numbers, "block"), "numbered-trees")
     blocks_n = trees.count()
     if not blocks_n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

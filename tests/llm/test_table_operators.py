@@ -56,6 +56,16 @@ def test_top_k_of_odd_rows(spark, monkeypatch):
         [r for r in rows if r[0] in (0, 1, 20)], 20)
 
 
+def test_a_vector_too_large_to_score_is_an_error(spark):
+    rows = [(0, [1.0, 2.0]), (1, [300_000.0, 1.0]), (3, [0.5, 0.5]), (20, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="can't be scored exactly"):
+        cover_tree.top_k(df, "vec_id % 20 = 0").collect()
+    most = spark.createDataFrame([(0, [262_143.0, -1.0]), (1, [-262_143.0, 3.0]), (2, [float("inf"), 1.0])], "vec_id long, embedding array<double>")
+    found = [tuple(r) for r in cover_tree.top_k(most, "vec_id % 20 = 0").collect()]
+    assert found == [(0, 1, 1, -(262_143 * 64) ** 2 - 3 * 64 * 64)]
+
+
 def test_trees_hold_every_row_and_cover_it():
     rng = np.random.default_rng(2)
     points = np.floor(64 * np.vstack([rng.normal(size=(1, 8)) + 0.1 * rng.normal(size=(400, 8)) for _ in range(5)]))
