@@ -57,7 +57,8 @@ def mixture(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, s
     times and once more if its draw is below the fraction.  Size counts words; a
     null text has none.  A null source is a source of its own, the last.  Repeated
     rows are sized and drawn each for itself (the same id draws the same).
-    Columns of `docs` with the names of the new ones are replaced.
+    Columns of `docs` with the names of the new ones are replaced.  An empty table
+    gives an empty one.
     """
     old = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
     sized = docs.select(*old, word_count("text").alias("size"))

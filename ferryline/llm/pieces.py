@@ -234,7 +234,12 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row's text."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row's text.
+
+    A null text is an empty one: begin and end ids only.  Repeated rows and rows
+    without doc_id come back each; other columns are ignored; an empty table
+    gives an empty one.
+    """
     done = round_trip(docs.select("doc_id", "text"), path)
     return done.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))

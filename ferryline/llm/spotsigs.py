@@ -133,7 +133,9 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     as much of the beginning of the next text in descending doc_id, or all of it.
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next.  A null text is an empty one; equal texts, empty ones
-    too, have equal fingerprints and likeness 1.  Other columns are ignored.
+    too, have equal fingerprints and likeness 1.  Rows of one doc_id, and those
+    without one, have a row each and follow one another; other columns are
+    ignored; an empty table gives an empty one.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     signed = with_next(with_signatures(texts, "text", "own"), ["text", "own"])

@@ -221,7 +221,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END) -> DataF
     One row per part, in ascending doc_id order (null first, repeated ids by
     text): part, name, documents, tokens.  Each document's ids are followed by
     `end`; a null text has that one only.  Ids take 16 bits if the vocabulary
-    allows it, else 32.
+    allows it, else 32.  Repeated rows are written each; other columns are
+    ignored.
     """
     parts = max(1, -(-text_bytes(docs) // PART_BYTES))
     small = max(word_tokens(tokenizer).library.get_vocab_size(with_added_tokens=True), end + 1) <= 1 << 16
@@ -271,6 +272,6 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Write `docs` to a new folder below the shared one and read the files back."""
+    """Write `docs` to a new folder below the shared one and read the files back; of an empty table no row comes back."""
     folder = new_folder(spark, "tokens")
     return read(write(docs, folder, tokenizer), folder)

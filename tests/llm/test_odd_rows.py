@@ -1,0 +1,39 @@
+"""Results that the docstrings promise for null, repeated and missing rows."""
+
+import public_tokenizers
+import pytest
+
+from ferryline.llm import mixing, near_copies, pieces, spotsigs, token_files
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+ROWS = [(1, None), (2, ""), (3, "the cat sat on the mat"), (3, "the cat sat on the mat"), (3, "another text"), (None, "no id"), (None, "no id")]
+
+
+@pytest.fixture
+def odd(docs_of):
+    return docs_of(ROWS).withColumnRenamed("component_id", "n_tokens")
+
+
+@pytest.mark.parametrize("run", [
+    lambda spark, df: pieces.digests(df, PIECES), lambda spark, df: token_files.round_trip(spark, df, WORDS),
+    lambda spark, df: spotsigs.compare_edited(df), lambda spark, df: mixing.mixture(df)])
+def test_every_row_comes_back_and_an_empty_table_stays_empty(spark, odd, run):
+    found = [r["doc_id"] for r in run(spark, odd).collect()]
+    assert sorted(map(str, found)) == sorted(str(i) for i, _ in ROWS)
+    assert run(spark, odd.limit(0)).count() == 0
+
+
+def test_a_null_text_is_an_empty_one(odd, spark):
+    digests = {r["doc_id"]: tuple(r)[1:] for r in pieces.digests(odd, PIECES).collect()}
+    assert digests[1] == digests[2] and digests[1][0] == 2
+    tokens = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_files.round_trip(spark, odd, WORDS).collect()}
+    assert tokens[1] == tokens[2] and tokens[1][0] == 1
+    marks = {r["doc_id"]: r["fingerprint"] for r in spotsigs.compare_edited(odd).collect()}
+    assert marks[1] == marks[2]
+
+
+def test_first_copies_count_the_rows_of_each_kept_set(odd):
+    found = {(r["doc_id"], r["n"]) for r in near_copies.first_copies(odd).collect()}
+    assert found == {(1, 1), (3, 2), (3, 1)}  # 2 is a copy of 1; 3 has one set twice and another once
+    assert near_copies.first_copies(odd.limit(0)).count() == 0 and near_copies.near_copies(odd.limit(0)).count() == 0
