@@ -66,7 +66,8 @@ def full_load(load: TableLoad, source: DataFrame, target: VersionedTable, run_id
     if load.snapshot:
         selected = materialize(selected, "snapshot")
     good = _accept(load, selected, result, parents or {}, rejects_path)
-    staged = target.stage_upsert(good, keys, load.order_by, keys_set=True)  # a NULL in a primary key is rejected
+    # a NULL in a primary key is rejected
+    staged = target.stage_upsert(good, keys, load.order_by, keys_set=True, n_rows=result.source_selected)
     _finish(load, target, staged, result, run_id)
     return result
 
@@ -99,11 +100,12 @@ def incremental_load(load: TableLoad, source: DataFrame, target: VersionedTable,
     good = _accept(load, batch, result, parents or {}, rejects_path)
     if spec.appends:
         _forbid_taken_keys(load, good, target, result)
-        staged = target.stage_append(good)
+        staged = target.stage_append(good, result.source_selected)
     else:
         keys = clean_keys(spec.keys or load.schema.primary_key)
         order = load.order_by or [spec.column]
-        staged = target.stage_upsert(good, keys, order, small_batch=True, keys_set=set(keys) <= set(load.schema.primary_key))
+        staged = target.stage_upsert(good, keys, order, small_batch=True, keys_set=set(keys) <= set(load.schema.primary_key),
+                                     n_rows=result.source_selected)
     last = selection.last_cursor(batch, spec.column)
     _finish(load, target, staged, result, run_id, cursor=last)
     if last and last.strip():

@@ -164,13 +164,14 @@ class JdbcTable:
         found = runs.where(same).limit(1).collect()
         return {"run_id": run_id, "cursor": found[0]["last_value"]} if found else None
 
-    def stage_append(self, df: DataFrame) -> JdbcStaged:
+    def stage_append(self, df: DataFrame, n_rows: int | None = None) -> JdbcStaged:
         self._stage(df)
         before, added = self.count(), self._number(f"SELECT COUNT(*) AS n FROM {self.staging}")
         return JdbcStaged(insert_statement(self.table, self.staging, df.columns), before, before + added)
 
     def stage_upsert(self, df: DataFrame, keys: list[str] | None = None, order_by: list[str] | None = None,
-                     small_batch: bool = False, keep_newer: bool = False, keys_set: bool = False) -> JdbcStaged:
+                     small_batch: bool = False, keep_newer: bool = False, keys_set: bool = False,
+                     n_rows: int | None = None) -> JdbcStaged:
         keys = clean_keys(keys or self.keys)
         self._stage(rows_to_write(df, keys, order_by, keys_set))
         before, added = self.count(), self._number(new_rows_query(self.table, self.staging, keys))

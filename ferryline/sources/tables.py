@@ -1,27 +1,28 @@
-"""Table scans and the versioned parquet target."""
+"""Table scans and the parquet target of loads: a folder for each load, a row that publishes it."""
 
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass, field, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from ferryline.operators.merge import clean_keys, merge_newest, merge_upsert, no_null_key, rows_to_write
-from ferryline.session import delete_path, one_row
+from ferryline.session import delete_path, one_row, sub_folders
 
 BUCKET = "load_bucket"
 VERSION = "load_version"
-BUCKET_BYTES = 256 * 1024 * 1024  # estimated size of a bucket
+BUCKET_ROWS = 4_000_000  # rows a bucket is meant for
+MOST_BUCKETS = 4096      # a larger table has larger buckets, of more files each; no task handles a bucket as a whole
 
-# `added` are the parts a version wrote; a fresh one takes the place of all older parts of its bucket, and a
-# version with `reset` that of the whole table.  So a commit stays as small as its load, however long the log.
+# A load with `base` equal to its version wrote the whole table anew; any other one added rows, or
+# wrote the buckets in `replaced` anew.
 LOG_SCHEMA = """
     version bigint, run_id string, entry string, cursor string, selected bigint, buckets int, n_rows bigint,
-    reset boolean, added array<struct<bucket:int, n_rows:bigint, fresh:boolean>>
+    base bigint, replaced array<int>
 """
 
 
@@ -32,35 +33,50 @@ def scan(spark: SparkSession, name: str, folder: str | None = None, schema: str
     return spark.table(f"{schema}.{name}" if schema and schema.strip() else name)
 
 
+@dataclass(frozen=True)
+class View:
+    """What a reader sees: loads `base` to `version`, and of a bucket in `since` only those from that load on."""
+
+    version: int = 0
+    base: int = 1
+    buckets: int | None = None
+    n_rows: int = 0
+    since: dict[int, int] = field(default_factory=dict)
+
+    def covers(self) -> Column:
+        """The same as a filter on the partition columns alone, so that other folders are not opened."""
+        seen = F.col(VERSION).between(self.base, self.version)
+        if not self.since:
+            return seen
+        first = F.create_map(*[F.lit(value) for pair in sorted(self.since.items()) for value in pair])
+        return seen & (F.col(VERSION) >= F.coalesce(F.try_element_at(first, F.col(BUCKET)), F.lit(self.base)))
+
+
+@dataclass(frozen=True)
 class Staged:
     """Rows written for the next version of a table but not visible yet."""
 
-    def __init__(self, version: int, live: list[dict], added: list[dict], reset: bool, buckets: int,
-                 rows_before: int, rows_after: int):
-        self.version, self.live, self.added, self.reset, self.buckets = version, live, added, reset, buckets
-        self.rows_before, self.rows_after = rows_before, rows_after
+    view: View
+    replaced: list[int]
+    rows_before: int
 
-
-def _read_bytes(df: DataFrame) -> int:
-    """Estimated size of what a plan reads; sources that can't tell theirs count nothing."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    unknown = int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str((1 << 63) - 1)))
-    return sum(s for s in sizes if s < unknown)
+    @property
+    def rows_after(self) -> int:
+        return self.view.n_rows
 
 
 class VersionedTable:
-    """A parquet table whose versions are published by one small commit row.
+    """A parquet table that a load changes as a whole or not at all.
 
-    Rows lie in `data/load_version=v/load_bucket=b/`; the commit log names the
-    parts in force.  A reader therefore sees a whole load or nothing of it, a path
-    being read is never overwritten, and a small batch rewrites only the buckets
-    its keys fall in.
+    A load writes a folder of its own, `data/load_version=v/`, partitioned by
+    `load_bucket`; one row in `commits` then makes it part of the table.  Nothing
+    that may be read is overwritten, and what is in force is a filter on the two
+    partition columns.  A full load writes the table anew, an append adds rows, and
+    a small upsert writes only the buckets that its keys fall in anew.
 
     The bucket of a key is `pmod(hash(key), buckets)` over the table's own key
-    types.  Without a given count a table has one bucket for each `BUCKET_BYTES`
-    of its present size, a power of two; an upsert that finds the table twice as
-    large as its buckets are meant for rewrites it into more.
+    types.  Without a given count a table has a bucket for each `BUCKET_ROWS`, a
+    power of two; an upsert that finds it twice as large as that writes it anew.
 
     One writer at a time per table.
     """
@@ -78,7 +94,7 @@ class VersionedTable:
     # -- reading --------------------------------------------------------------
 
     def _log(self) -> DataFrame | None:
-        """The commit log; None before the first commit."""
+        """The rows that published loads; None before the first."""
         try:
             return self.spark.read.schema(LOG_SCHEMA).json(f"{self.path}/commits")
         except AnalysisException as missing:
@@ -86,75 +102,67 @@ class VersionedTable:
                 return None
             raise
 
-    def _newest(self, condition: Column | str = "true") -> dict | None:
-        """The newest commit that meets a condition, without its parts; None before the first."""
-        log = self._log()
-        found = log.where(condition).drop("added").orderBy(F.col("version").desc()).limit(1).collect() if log else []
-        return found[0].asDict() if found else None
-
-    def _latest(self) -> dict | None:
-        return self._newest()
-
     def commit_of(self, run_id: str, entry: str | None = None) -> dict | None:
         """The newest commit of a run, or of one entry of its contract, for a run that is started again."""
+        log = self._log()
         own = F.lit(True) if entry is None else F.col("entry") == entry
-        return self._newest((F.col("run_id") == run_id) & own)
+        found = log.where((F.col("run_id") == run_id) & own).orderBy(F.desc("version")).limit(1).collect() if log else []
+        return found[0].asDict() if found else None
 
-    def _live(self, version: int | None = None) -> list[dict]:
-        """The parts in force at a version (the newest by default): those since their bucket was last written afresh."""
+    def view(self, version: int | None = None) -> View:
+        """What is in force at a version, the newest by default; at most a number for each bucket is fetched."""
         log = self._log()
         if log is None:
-            return []
-        known = log if version is None else log.where(F.col("version") <= version)
-        parts = known.select("version", F.max(F.when(F.col("reset"), F.col("version"))).over(W.partitionBy()).alias("start"),
-                             F.explode("added").alias("part")).select("version", "start", "part.*")
-        fresh = F.max(F.when(F.col("fresh"), F.col("version"))).over(W.partitionBy("bucket"))
-        since = F.greatest(F.coalesce("start", F.lit(0)), F.coalesce(fresh, F.lit(0)))
-        kept = parts.withColumn("since", since).where(F.col("version") >= F.col("since"))
-        rows = kept.where("n_rows > 0").select("bucket", "version", "n_rows").orderBy("version", "bucket").collect()
-        return [r.asDict() for r in rows]
+            return View()
+        if version is not None:
+            log = log.where(F.col("version") <= version)
+        last = log.orderBy(F.desc("version")).first()
+        if last is None:
+            return View()
+        since = {}
+        if last["base"] < last["version"]:
+            later = log.where(F.col("version") > last["base"]).select("version", F.explode("replaced").alias("bucket"))
+            since = {r["bucket"]: r["since"] for r in later.groupBy("bucket").agg(F.max("version").alias("since")).collect()}
+        return View(last["version"], last["base"], last["buckets"], last["n_rows"], since)
 
     def read(self) -> DataFrame:
         """The rows of the newest published version."""
-        return self._rows(self._live())
+        return self._rows(self.view())
 
     def read_near(self, rows: DataFrame) -> DataFrame:
         """The stored rows that may share a key with `rows`: of the buckets these fall in, between their least and greatest first key.
 
         Other buckets are not opened, and of these files the row groups out of range are skipped.
         """
-        live, commit = self._live(), self._latest()
-        if not live or not self.keys:
-            return self._rows(live)
+        view = self.view()
+        if not view.version or not self.keys:
+            return self._rows(view)
         keyed, first = self._shaped(rows.select(*self.keys), self.keys), F.col(self.keys[0])
-        buckets = F.collect_set(self._bucket(commit["buckets"], self.keys))  # at most as many values as buckets
+        buckets = F.collect_set(self._bucket(view.buckets, self.keys))  # at most as many values as buckets
         hit, least, greatest = keyed.where(no_null_key(self.keys)).agg(buckets, F.min(first), F.max(first)).first()
-        stored = self._rows([part for part in live if part["bucket"] in set(hit)])
+        stored = self._rows(view, hit)
         plain = isinstance(self.schema[self.keys[0]].dataType, (T.IntegralType, T.StringType, T.DateType))
         return stored.where(first.between(F.lit(least), F.lit(greatest))) if plain else stored
 
     def count(self) -> int:
         """Rows in the newest version; known from the commit, nothing is scanned."""
-        commit = self._latest()
-        return commit["n_rows"] if commit else 0
+        return self.view().n_rows
 
-    def _rows(self, live: list[dict]) -> DataFrame:
-        paths = [self._part(p["version"], p["bucket"]) for p in live if p["n_rows"]]
-        if not paths:
+    def _rows(self, view: View, only: list[int] | None = None) -> DataFrame:
+        """The rows of a view, of all buckets or of some."""
+        if not view.version:
             return self.spark.createDataFrame([], self.schema)
-        reader = self.spark.read.schema(self.schema).option("basePath", f"{self.path}/data")
-        return reader.parquet(*paths).select(*self.schema.names)
-
-    def _part(self, version: int, bucket: int) -> str:
-        return f"{self.path}/data/{VERSION}={version}/{BUCKET}={bucket}"
+        layout = T.StructType([*self.schema.fields, T.StructField(VERSION, T.LongType()), T.StructField(BUCKET, T.IntegerType())])
+        stored = self.spark.read.schema(layout).parquet(f"{self.path}/data").where(view.covers())
+        return (stored if only is None else stored.where(F.col(BUCKET).isin(only))).select(*self.schema.names)
 
     # -- writing --------------------------------------------------------------
 
-    def _wanted_buckets(self, *frames: DataFrame) -> int:
-        """A bucket for each `BUCKET_BYTES` of the frames' estimated size, as a power of two."""
+    def _wanted_buckets(self, n_rows: int) -> int:
+        """A bucket for each `BUCKET_ROWS`, as a power of two."""
         if self.fixed_buckets or not self.keys:
             return self.fixed_buckets or 1
-        return 1 << (sum(map(_read_bytes, frames)) // BUCKET_BYTES).bit_length()
+        return min(MOST_BUCKETS, 1 << (n_rows // BUCKET_ROWS).bit_length())
 
     def _bucket(self, buckets: int, names: list[str] | None = None) -> Column:
         """The bucket of a row; `names` are the columns at hand where they are not all."""
@@ -169,86 +177,84 @@ class VersionedTable:
         """The table's columns in its own types: an int and a bigint key would hash to different buckets."""
         return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema if f.name in (names or self.schema.names)])
 
-    def _write(self, rows: DataFrame, version: int, buckets: int, few_files: bool = False) -> list[dict]:
+    def _write(self, rows: DataFrame, version: int, buckets: int, together: bool = False) -> int:
+        """Write the folder of a load; its number of rows, counted from the files (footers only), exact even if tasks were repeated."""
         folder = f"{self.path}/data/{VERSION}={version}"
         placed = rows.withColumn(BUCKET, self._bucket(buckets))
-        if few_files and buckets > 1:
-            placed = placed.repartition(BUCKET)
-        # Overwrite: a first attempt that died has left uncommitted files behind.
-        placed.write.mode("overwrite").partitionBy(BUCKET).parquet(folder)
-        # Counted from the files themselves (footers only): exact even if tasks were repeated.
-        layout = T.StructType([*self.schema.fields, T.StructField(BUCKET, T.IntegerType())])
-        counts = self.spark.read.schema(layout).parquet(folder).groupBy(BUCKET).agg(F.count("*").alias("n"))
-        return [{"bucket": r[BUCKET], "version": version, "n_rows": r["n"]} for r in counts.collect()]
-
-    def _state(self) -> tuple[list[dict], int, int, int | None]:
-        """Parts in force, next version, rows and buckets so far."""
-        commit = self._latest()
-        return (self._live(), commit["version"] + 1, commit["n_rows"], commit["buckets"]) if commit else ([], 1, 0, None)
-
-    def stage_append(self, df: DataFrame) -> Staged:
-        """INSERT: every row as it is, at most one file for each bucket and task of a shuffle by bucket."""
-        rows = self._shaped(df)
-        live, version, before, buckets = self._state()
-        buckets = buckets or self._wanted_buckets(rows)
-        new = self._write(rows, version, buckets, few_files=True)
-        added = [{"bucket": p["bucket"], "n_rows": p["n_rows"], "fresh": False} for p in new]
-        return Staged(version, live + new, added, False, buckets, before, before + sum(p["n_rows"] for p in new))
+        if together and buckets > 1:
+            placed = placed.hint("rebalance", BUCKET)  # few files a bucket, and a large bucket in several tasks
+        placed.write.mode("overwrite").partitionBy(BUCKET).parquet(folder)  # a try that died may have left files there
+        return self.spark.read.schema(self.schema).parquet(folder).count()
+
+    def stage_append(self, df: DataFrame, n_rows: int | None = None) -> Staged:
+        """INSERT: every row as it is; `n_rows` is their number where it is known."""
+        rows, now = self._shaped(df), self.view()
+        buckets = now.buckets or self._wanted_buckets(self._counted(rows, n_rows))
+        added = self._write(rows, now.version + 1, buckets, together=True)
+        return Staged(replace(now, version=now.version + 1, buckets=buckets, n_rows=now.n_rows + added), [], now.n_rows)
 
     def stage_upsert(self, df: DataFrame, keys: list[str] | None = None, order_by: list[str] | None = None,
-                     small_batch: bool = False, keep_newer: bool = False, keys_set: bool = False) -> Staged:
+                     small_batch: bool = False, keep_newer: bool = False, keys_set: bool = False,
+                     n_rows: int | None = None) -> Staged:
         """UPSERT on `keys` (the table's own when none are given).
 
         With `small_batch` the buckets the batch falls in are looked up first
-        and the others are carried over untouched; a full load skips that pass.
+        and the others stay as they are; a full load skips that pass.
         With `keep_newer` a stored row stays where the batch's is older by `order_by`.
-        `keys_set` says that the rows were checked to have no NULL in their keys.
+        `keys_set` says that the rows were checked to have no NULL in their keys,
+        `n_rows` is their number where it is known.
         """
         keys = clean_keys(keys or self.keys)
-        rows = self._shaped(df)
-        live, version, before, old_buckets = self._state()
-        wanted = self._wanted_buckets(self._rows(live), rows) if live else self._wanted_buckets(rows)
-        grow = not live or old_buckets is None or wanted >= 2 * old_buckets
-        buckets = wanted if grow else old_buckets
-        touched, carried = live, []
-        if small_batch and live and not grow and keys == self.keys and buckets > 1:
-            hit = {r[0] for r in rows.select(self._bucket(buckets)).distinct().collect()}  # at most `buckets` values
-            touched = [part for part in live if part["bucket"] in hit]
-            carried = [part for part in live if part["bucket"] not in hit]
-        if touched:
-            stored = self._rows(touched)
-            newest = keep_newer and order_by
-            merged = merge_newest(stored, rows, keys, order_by) if newest else merge_upsert(stored, rows, keys, order_by, keys_set)
-            new = self._write(merged, version, buckets)
+        rows, now = self._shaped(df), self.view()
+        wanted = self._wanted_buckets(max(now.n_rows, self._counted(rows, n_rows)))
+        version, hit = now.version + 1, None
+        if small_batch and now.version and keys == self.keys and 1 < now.buckets > wanted // 2:
+            hit = sorted(r[0] for r in rows.select(self._bucket(now.buckets)).distinct().collect())  # at most `buckets` values
+        stored, buckets = self._rows(now, hit), wanted if hit is None else now.buckets
+        if not now.version:
+            merged = rows_to_write(rows, keys, order_by, keys_set)
+        elif keep_newer and order_by:
+            merged = merge_newest(stored, rows, keys, order_by)
         else:
-            new = self._write(rows_to_write(rows, keys, order_by, keys_set), version, buckets)
-        added = [{"bucket": p["bucket"], "n_rows": p["n_rows"], "fresh": True} for p in new]
-        # a bucket whose rows all went elsewhere leaves a mark, so that its old parts are in force no more
-        written = {p["bucket"] for p in new}
-        added += [{"bucket": b, "n_rows": 0, "fresh": True} for b in sorted({p["bucket"] for p in touched} - written)]
-        live = carried + new
-        return Staged(version, live, added, not carried, buckets, before, sum(part["n_rows"] for part in live))
+            merged = merge_upsert(stored, rows, keys, order_by, keys_set)
+        written = self._write(merged, version, buckets)
+        if hit is None:
+            return Staged(View(version, version, buckets, written), [], now.n_rows)
+        view = replace(now, version=version, n_rows=now.n_rows - stored.count() + written, since=now.since | dict.fromkeys(hit, version))
+        return Staged(view, hit, now.n_rows)
+
+    def _counted(self, rows: DataFrame, n_rows: int | None) -> int:
+        """The number of rows, counted only where it sets the number of buckets and isn't known."""
+        if self.fixed_buckets or not self.keys:
+            return 0
+        return rows.count() if n_rows is None else n_rows
 
     def staged_rows(self, staged: Staged) -> DataFrame:
-        return self._rows(staged.live)
+        return self._rows(staged.view)
 
     def publish(self, staged: Staged, run_id: str, cursor: str | None = None, entry: str | None = None,
                 selected: int | None = None) -> None:
         """Make a staged version the one in force: one row, one file, one rename."""
-        row = {"version": staged.version, "run_id": run_id, "entry": entry, "cursor": cursor, "selected": selected,
-               "buckets": staged.buckets, "n_rows": staged.rows_after, "reset": staged.reset, "added": staged.added}
+        view = staged.view
+        row = {"version": view.version, "run_id": run_id, "entry": entry, "cursor": cursor, "selected": selected,
+               "buckets": view.buckets, "n_rows": view.n_rows, "base": view.base, "replaced": staged.replaced}
         one_row(self.spark, value=F.lit(json.dumps(row))).write.mode("append").text(f"{self.path}/commits")
 
     def vacuum(self, keep_versions: int = 2) -> int:
-        """Delete the parts that none of the newest versions needs; returns how many.
+        """Delete the folders that none of the newest versions needs, a bucket of a load each; returns how many.
 
         Not while a reader may still be on an older version, and not beside a writer.
         """
         log = self._log()
         if log is None:
             return 0
-        kept = [r[0] for r in log.select("version").orderBy(F.desc("version")).limit(max(1, keep_versions)).collect()]
-        needed = {(p["version"], p["bucket"]) for v in kept for p in self._live(v)}
-        parts = log.select("version", F.explode("added").alias("p")).where("p.n_rows > 0").select("version", "p.bucket").collect()
-        old = [(p["version"], p["bucket"]) for p in parts if (p["version"], p["bucket"]) not in needed]
-        return sum(delete_path(self.spark, self._part(v, b)) for v, b in old)
+        kept = log.select("version").orderBy(F.desc("version")).limit(max(1, keep_versions)).agg(F.min("version")).first()[0]
+        view, data, deleted = self.view(kept), f"{self.path}/data", 0
+        for load in sub_folders(self.spark, data):
+            number = int(load.rpartition("=")[2])
+            buckets = [b for b in sub_folders(self.spark, f"{data}/{load}") if b.startswith(BUCKET)] if number < view.version else []
+            old = [b for b in buckets if number < view.since.get(int(b.rpartition("=")[2]), view.base)]
+            deleted += sum(delete_path(self.spark, f"{data}/{load}/{b}") for b in old)
+            if old and len(old) == len(buckets):
+                delete_path(self.spark, f"{data}/{load}")
+        return deleted

@@ -37,10 +37,11 @@ def stream_upsert(stream: DataFrame, target: VersionedTable, keys: list[str], ch
         if target.commit_of(run_id):
             return
         rows = materialize(batch, "micro-batch")
-        if rows.isEmpty():
+        n_rows = rows.count()  # of the written files' footers
+        if not n_rows:
             return
-        staged = target.stage_upsert(rows, keys, order_by, small_batch=True, keep_newer=True)
-        verdict = audit_counts(rows.sparkSession, "UPSERT", rows.count(), staged.rows_before, staged.rows_after)
+        staged = target.stage_upsert(rows, keys, order_by, small_batch=True, keep_newer=True, n_rows=n_rows)
+        verdict = audit_counts(rows.sparkSession, "UPSERT", n_rows, staged.rows_before, staged.rows_after)
         if verdict["consistency"] == INCONSISTENT:
             raise RuntimeError(f"batch {batch_id}: source and target disagree: {verdict}")
         target.publish(staged, run_id)

@@ -143,9 +143,12 @@ def test_an_append_opens_only_the_buckets_it_meets(spark, folder):
     table.publish(table.stage_append(rows), "r1")
     batch = spark.createDataFrame([(17, "x"), (9_000, "y")], "id int, v string")
     near = table.read_near(batch)
-    opened = {f.rsplit("/", 2)[-2] for f in near.inputFiles()}
+    opened = {r[0].rsplit("/", 2)[-2] for r in near.select(F.input_file_name()).distinct().collect()}
     assert 1 <= len(opened) <= 2 and near.where("id = 17").count() == 1
-    assert "GreaterThanOrEqual(id,17), LessThanOrEqual(id,9000)" in near._jdf.queryExecution().executedPlan().toString()
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id,17), LessThanOrEqual(id,9000)" in plan
+    filters = next(line for line in plan.splitlines() if "PartitionFilters" in line).split("PartitionFilters")[1]
+    assert "load_bucket" in filters.split("PushedFilters")[0]  # the other folders are pruned, not read and dropped
     assert table.read_near(batch.limit(0)).count() == 0
     assert VersionedTable(spark, f"{folder}-none", rows.schema, ["id"]).read_near(batch).count() == 0
 
@@ -241,9 +244,9 @@ def test_stream_upsert_over_several_files(spark, source, folder):
 
     go()
     assert target.count() == 20 and target.read().where("name = 'new'").count() == 10
-    version = target._latest()["version"]
+    version = target.view().version
     go()  # nothing new has arrived
-    assert target._latest()["version"] == version == 2
+    assert target.view().version == version == 2
 
 
 def test_late_rows(spark, source, rows):
@@ -336,13 +339,13 @@ def test_instants_survive_a_change_of_clocks(spark, folder):
 def test_a_table_outgrows_its_first_load(spark, folder, monkeypatch):
     from ferryline.sources import tables
 
-    monkeypatch.setattr(tables, "BUCKET_BYTES", 20_000)
+    monkeypatch.setattr(tables, "BUCKET_ROWS", 10_000)
     table = VersionedTable(spark, f"{folder}/grows", spark.range(1).schema, ["id"])
     table.publish(table.stage_upsert(spark.range(100)), "r0")
-    first = table._latest()["buckets"]
+    first = table.view().buckets
     table.publish(table.stage_upsert(spark.range(0, 50_000)), "r1")
     table.publish(table.stage_upsert(spark.range(49_000, 60_000).selectExpr("cast(id as int) id"), small_batch=True), "r2")
-    assert table._latest()["buckets"] > first
+    assert table.view().buckets > first
     assert table.count() == table.read().distinct().count() == 60_000
 
 
@@ -369,6 +372,41 @@ def test_appends_keep_commits_and_files_few(spark, folder):
         VersionedTable(spark, folder, spark.range(1).schema, buckets=2)
 
 
+def test_replaced_buckets_are_pruned_and_vacuumed(spark, folder):
+    """Full load, append, small upserts: each version reads what was in force, vacuum deletes what no kept one needs."""
+    rows = spark.range(800).selectExpr("id", "'old' AS v")
+    table = VersionedTable(spark, folder, rows.schema, ["id"], buckets=8)
+    table.publish(table.stage_upsert(rows), "r1")
+    table.publish(table.stage_append(spark.range(800, 900).selectExpr("id", "'more' AS v")), "r2")
+    for i, number in enumerate((5, 850, 5)):
+        batch = spark.createDataFrame([(number, f"new{i}")], "id bigint, v string")
+        staged = table.stage_upsert(batch, small_batch=True)
+        assert (staged.rows_before, staged.rows_after) == (900, 900) and len(staged.replaced) == 1
+        assert table.read().where(f"v = 'new{i}'").count() == 0  # staged rows are not visible yet
+        table.publish(staged, f"r{i + 3}")
+    assert table.view(2).since == {} and len(table.view().since) == 2
+    assert sorted((r.id, r.v) for r in table.read().where("v LIKE 'new%'").collect()) == [(5, "new2"), (850, "new1")]
+    assert table.read().count() == table.count() == table.read().distinct().count() == 900
+    plan = table.read()._jdf.queryExecution().executedPlan().toString()
+    assert "DataFilters: []" in plan  # what is in force is settled by the folders alone
+    assert table._rows(table.view(2)).where("v LIKE 'new%'").count() == 0
+    # two buckets of the full load and of the append each, and the first rewrite of the bucket of row 5
+    assert table.vacuum(1) == 5 and table.vacuum(1) == 0
+    assert table.read().count() == 900
+
+
+def test_a_try_that_was_never_published_leaves_no_rows(spark, folder):
+    table = VersionedTable(spark, folder, spark.range(1).schema, ["id"], buckets=4)
+    table.publish(table.stage_upsert(spark.range(10)), "r1")
+    table.stage_append(spark.range(100, 150))
+    assert table.read().count() == 10
+    table.publish(table.stage_append(spark.range(200, 203)), "r2")
+    assert sorted(r.id for r in table.read().collect()) == [*range(10), 200, 201, 202]
+    empty = VersionedTable(spark, f"{folder}-empty", spark.range(1).schema, ["id"])
+    empty.publish(empty.stage_upsert(spark.range(0)), "r1")
+    assert empty.read().count() == empty.count() == 0 and empty.commit_of("r1")["version"] == 1
+
+
 def test_a_late_batch_does_not_replace_newer_rows(spark, source, folder):
     newer = source.withColumn("name", F.lit("new")).withColumn("updated_at", F.expr("updated_at + interval 1 year"))
     target = VersionedTable(spark, f"{folder}/late", source.schema, ["id"])
@@ -413,7 +451,7 @@ def test_repeats_in_a_stream_never_reach_the_target(spark, folder):
         df.coalesce(1).write.parquet(f"{folder}/in/{number}")
         stream = spark.readStream.schema(layout).parquet(f"{folder}/in/*")
         stream_upsert(stream, target, ["id"], f"{folder}/checkpoint", ["at"], name="watched", event_time="at", horizon="6 hours")
-        return target._latest()["version"], {r.id: r.v for r in target.read().collect()}
+        return target.view().version, {r.id: r.v for r in target.read().collect()}
 
     first = arrive(0, rows((1, 8, "a"), (2, 9, "b"), (2, 9, "b")))
     assert first == (1, {1: "a", 2: "b"})
