@@ -14,7 +14,7 @@ from ferryline.plans.migrate import migrate
 from ferryline.queries import query
 from ferryline.session import new_folder
 from ferryline.sources.tables import VersionedTable, scan
-from ferryline.streaming.upsert import late_rows, stream_upsert
+from ferryline.streaming.upsert import keep_digests, late_rows, late_rows_by_digest, stream_upsert
 
 # --- the contract: every given table --------------------------------------------
 
@@ -62,6 +62,7 @@ def schemas() -> dict[str, TargetSchema]:
 
 
 FIRST_EVENT = "2024-01-01 00:00:00"
+DAY = 86_400_000_000  # microseconds
 EVENT_BATCH = Incremental("ts", FIRST_EVENT, 5000, "append")
 
 
@@ -238,3 +239,20 @@ def late_events(spark, d):
     events = scan(spark, "events", d)
     target = events.where("event_type <> 'error'")
     return late_rows(events, target, "ts", "2024-01-20 00:00:00", ["event_id"]).select("event_id", "ts")
+
+
+@query("late_rows_by_digest", """
+    SELECT event_id, ts FROM events
+    WHERE ts <= TIMESTAMP '2024-01-20 00:00:00' AND (event_type = 'error' AND hour(ts) = 7 OR event_type = 'signup' AND hour(ts) = 23)
+""")
+def late_events_by_digest(spark, d):
+    """The target was complete once, as far as its digests say, up to the tenth; ranges are days, hours and minutes."""
+    events = scan(spark, "events", d)
+    hour = F.hour("ts")
+    late = ((F.col("event_type") == "error") & (hour == 7)) | ((F.col("event_type") == "signup") & (hour == 23))
+    target = events.where(~F.coalesce(late, F.lit(False)))
+    folder = new_folder(spark, "digests")
+    keep_digests(target, "ts", "2024-01-10 00:00:00", ["event_id"], DAY, folder)
+    found = late_rows_by_digest(events, target, "ts", "2024-01-20 00:00:00", ["event_id"], [DAY, DAY / 24, DAY / 1440],
+                                spark.read.parquet(folder))
+    return found.select("event_id", "ts")
