@@ -20,6 +20,7 @@ from ferryline.plans.contract import TableLoad, validate
 from ferryline.plans.loads import LoadFailed, LoadResult, full_load, incremental_load
 from ferryline.sources.audit_log import TRACE_SCHEMA, read_trace, write_errors, write_table_trace
 from ferryline.sources.catalog import declared_catalog
+from ferryline.sources.logs import roll_log
 from ferryline.sources.tables import VersionedTable
 
 FK_SCHEMA = "pk_schema string, pk_table string, fk_schema string, fk_table string"
@@ -199,6 +200,8 @@ def migrate(spark: SparkSession, loads: list[TableLoad], sources: dict[str, Data
             for written in records:
                 written.result()
     _record_errors(spark, traces, folder)
+    for log in ("state", "errors"):  # one file for each table's entry would pile up over the runs
+        roll_log(spark, f"{folder}/{log}")
     written = read_trace(spark, f"{folder}/traces").where(F.col("run_id") == run_id)
     _verdict(traces, plan, strict, written)
     return written

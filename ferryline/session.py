@@ -103,6 +103,12 @@ def sub_folders(spark: SparkSession, path: str) -> list[str]:
     return [entry.getPath().getName() for entry in files.listStatus(target) if entry.isDirectory()]
 
 
+def files_in(spark: SparkSession, path: str) -> dict[str, int]:
+    """Sizes of the files in a folder, by name; no job is run."""
+    files, target = _file_system(spark, path)
+    return {entry.getPath().getName(): entry.getLen() for entry in files.listStatus(target) if entry.isFile()}
+
+
 def delete_path(spark: SparkSession, path: str) -> bool:
     """Delete a folder with all in it; whether it was there."""
     files, target = _file_system(spark, path)

@@ -69,3 +69,8 @@ def error_rows(failures: DataFrame) -> DataFrame:
 
 def write_errors(failures: DataFrame, path: str) -> None:
     error_rows(failures).write.mode("append").json(path)
+
+
+def read_errors(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Error records of a log that may have been rolled: a line counts once."""
+    return spark.read.schema(schema).json(path).distinct()

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ferryline.operators.merge import clean_keys, merge_newest, merge_upsert, no_null_key, rows_to_write
 from ferryline.session import delete_path, one_row, sub_folders
+from ferryline.sources.logs import roll_log
 
 BUCKET = "load_bucket"
 VERSION = "load_version"
@@ -241,14 +242,15 @@ class VersionedTable:
         one_row(self.spark, value=F.lit(json.dumps(row))).write.mode("append").text(f"{self.path}/commits")
 
     def vacuum(self, keep_versions: int = 2) -> int:
-        """Delete the folders that none of the newest versions needs, a bucket of a load each; returns how many.
+        """Delete the folders that none of the newest versions needs, a bucket of a load each, and roll the commits; returns how many.
 
         Not while a reader may still be on an older version, and not beside a writer.
         """
         log = self._log()
         if log is None:
             return 0
-        kept = log.select("version").orderBy(F.desc("version")).limit(max(1, keep_versions)).agg(F.min("version")).first()[0]
+        roll_log(self.spark, f"{self.path}/commits")
+        kept = self._log().select("version").orderBy(F.desc("version")).limit(max(1, keep_versions)).agg(F.min("version")).first()[0]
         view, data, deleted = self.view(kept), f"{self.path}/data", 0
         for load in sub_folders(self.spark, data):
             number = int(load.rpartition("=")[2])
