@@ -75,7 +75,7 @@ def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compare_edited(table(spark, sf_dir, "documents"))
 
 
-# The rules of the contract, and hosts whose pages are not wanted.
+# The rules of the contract, and hosts whose pages are never wanted.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
              ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 BLOCKED_HOSTS = ["ads-track.example.com", "casino-win.example.com", "cheap-pills.example.com", "free-bets.example.com"]
@@ -88,17 +88,25 @@ _RULES = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
     WITH parts AS (
         SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''),
                                   '{url_cascade.UPPER}', '{url_cascade.LOWER}') AS host,
-               coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+               coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path, url
         FROM pages),
     ruled AS (
-        SELECT *, CASE {" ".join(f"WHEN {_FITS.format(h, p)} THEN '{h}{p}'" for _, h, p in _RULES)} END AS rule FROM parts)
+        SELECT *, CASE {" ".join(f"WHEN {_FITS.format(h, p)} THEN '{h}{p}'" for _, h, p in _RULES)} END AS rule FROM parts),
+    listed AS (
+        SELECT host FROM parts WHERE host <> '' GROUP BY host
+        HAVING 3 * count(*) FILTER (regexp_matches(url, '[?&](utm_|ref=)')) >= count(*)
+        UNION VALUES {", ".join(f"('{h}')" for h in BLOCKED_HOSTS)}),
+    blocked AS (
+        SELECT DISTINCT h.host FROM (SELECT DISTINCT host FROM parts) h JOIN listed l
+        ON h.host = l.host OR ends_with(h.host, '.' || l.host))
     SELECT page_id, host, path, rule,
            CASE {" ".join(f"WHEN rule = '{h}{p}' THEN '{v}'" for v, h, p in _RULES)}
-                WHEN {" OR ".join(f"host = '{h}' OR ends_with(host, '.{h}')" for h in BLOCKED_HOSTS)} THEN 'block'
-                ELSE 'allow' END AS verdict
+                WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END AS verdict
     FROM ruled""")
 def op4_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_cascade.judge(table(spark, sf_dir, "pages"), URL_RULES, BLOCKED_HOSTS)
+    pages = table(spark, sf_dir, "pages")
+    never = spark.createDataFrame([(host,) for host in BLOCKED_HOSTS], "host string")
+    return url_cascade.judge(pages, URL_RULES, url_cascade.tracked_hosts(pages).union(never))
 
 
 @query("op8_sharding")

@@ -100,7 +100,8 @@ def build(universe: DataFrame, listed: DataFrame) -> Cascade:
     cascade = Cascade([])
     while True:
         level = len(cascade.levels)
-        left = _survivors(keys, spark.sparkContext.broadcast(cascade.levels)) if level else keys
+        shared = spark.sparkContext.broadcast(cascade.levels)
+        left = _survivors(keys, shared) if level else keys
         inside = F.col("listed") == F.lit(level % 2 == 0)
         n, others = left.agg(F.sum(inside.cast("long")), F.sum((~inside).cast("long"))).first()
         n, others = n or 0, others or 0
@@ -113,7 +114,9 @@ def build(universe: DataFrame, listed: DataFrame) -> Cascade:
         words = max(1, math.ceil(n * k / math.log(2) / 64))
         if cascade.size() + words * 8 > LIMIT:
             raise ValueError(f"{n} keys need more than {LIMIT} bytes of filters; split the list by host")
-        cascade.levels.append((_fill(left.where(inside), level, k, words), k))
+        filled = _fill(left.where(inside), level, k, words)
+        shared.destroy()  # the next level has a larger one
+        cascade.levels.append((filled, k))
 
 
 def _pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -146,23 +149,37 @@ def _fill(keys: DataFrame, level: int, k: int, words: int) -> np.ndarray:
     return out
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], blocked_hosts: Sequence[str]) -> DataFrame:
+def tracked_hosts(pages: DataFrame, one_in: int = 3) -> DataFrame:
+    """(host) of `pages` (url) of which at least one page in `one_in` is reached by a link that tracks its readers.
+
+    Such a link has a parameter `ref` or one that begins with `utm_`.  Null URLs and those without
+    a host count for none; repeated rows count each.
+    """
+    tracked = F.count_if(F.col("url").rlike("[?&](utm_|ref=)"))
+    hosts = pages.select(host_of(F.col("url")).alias("host"), "url").where("host <> ''")
+    return hosts.groupBy("host").agg(F.count("*").alias("n"), tracked.alias("tracked")).where(
+        F.col("tracked") * one_in >= F.col("n")).select("host")
+
+
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], blocked_hosts: DataFrame) -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of `pages` (page_id, url).
 
     `rules` are (verdict, host, path).  A rule fits its host and all subdomains
     if the URL's path starts with the rule's; the longest (host and path
     together) wins.  A URL that none fits is blocked if its host or a parent
-    domain is among `blocked_hosts`, else allowed.  Two cascades over the
+    domain is among `blocked_hosts` (host), else allowed; that list may be long,
+    its nulls, empty hosts and repeats count for nothing and A-Z is lowered.  Two cascades over the
     corpus's keys tell which keys are rules and which are blocked.  A null URL,
     an empty one and one without `://` have an empty host and path.  Repeated rows
     are judged each for itself; other columns are ignored.
     """
     spark = pages.sparkSession
     # a host on its own ends in a mark that no host or path has, so that it can't be taken for a rule
-    listed = [(host + path, verdict == "block", True) for verdict, host, path in rules]
-    listed += [(f"{host}?", True, False) for host in blocked_hosts]
+    ruled = spark.createDataFrame([(host + path, verdict == "block") for verdict, host, path in rules], "key string, block boolean")
+    blocked = blocked_hosts.select(F.translate("host", UPPER, LOWER).alias("host")).where("host <> ''").distinct()
+    blocked = materialize(blocked, "blocked-hosts")
     shapes = sorted({(host.count(".") + 1, len(path)) for _, host, path in rules}, key=lambda s: (-s[1], -s[0]))
-    depths = sorted({host.count(".") + 1 for host in blocked_hosts})
+    depths = sorted(r[0] for r in blocked.select(F.size(F.split("host", r"\.", -1))).distinct().collect())  # a number for each depth of names
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     own = keys_of(F.col("host"), F.col("path"), shapes)
     own = F.reverse(F.array_sort(F.transform(own, lambda k: F.struct(F.char_length(k).alias("n"), k.alias("key")))))["key"]
@@ -170,9 +187,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], blocked_hosts
     keyed = parts.withColumn("own", own).withColumn("keys", F.concat("own", hosts))
     universe = keyed.select(F.explode("keys").alias("key")).distinct()
     universe = materialize(universe, "url-keys")
-    rows = spark.createDataFrame(listed, "key string, block boolean, rule boolean")
-    is_rule = spark.sparkContext.broadcast(build(universe, rows.where("rule")).levels)
-    is_blocked = spark.sparkContext.broadcast(build(universe, rows.where("block")).levels)
+    listed = ruled.where("block").select("key").union(blocked.select(F.concat("host", F.lit("?"))))
+    is_rule = spark.sparkContext.broadcast(build(universe, ruled).levels)
+    is_blocked = spark.sparkContext.broadcast(build(universe, listed).levels)
 
     def run(batches):
         rule_of, block_of = Cascade(is_rule.value), Cascade(is_blocked.value)

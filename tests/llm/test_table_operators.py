@@ -147,9 +147,22 @@ def test_urls_of_odd_rows(spark):
             "a://b://org/", "http://x.org/a\nb?c", "http://İ.org/", "http://user@h.com:80/de/", "x" * 9_000 + "://org/", "http://" + "a." * 900 + "org/"]
     rows = [(i, u, "h", "r") for i, u in enumerate([*urls, urls[7]])]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string, rule string")
-    found = {r["page_id"]: tuple(r)[1:] for r in url_cascade.judge(pages, URL_RULES, BLOCKED_HOSTS).collect()}
+    blocked = spark.createDataFrame([(h,) for h in [*BLOCKED_HOSTS[1:], BLOCKED_HOSTS[0].upper(), BLOCKED_HOSTS[1], None, ""]], "host string")
+    found = {r["page_id"]: tuple(r)[1:] for r in url_cascade.judge(pages, URL_RULES, blocked).collect()}
     assert found == {i: brute_judge(u) for i, u, _, _ in rows}
-    assert url_cascade.judge(pages.limit(0), URL_RULES, BLOCKED_HOSTS).count() == 0
+    assert url_cascade.judge(pages.limit(0), URL_RULES, blocked).count() == 0
+    assert {r["verdict"] for r in url_cascade.judge(pages.where("page_id > 12"), [], blocked.limit(0)).collect()} == {"allow"}
+
+
+def test_tracked_hosts_and_a_long_list(spark):
+    urls = ["http://A.b/?ref=1", "http://a.b/x", "http://a.b/y", "http://c.b/?utm_s=1", "http://d.b/ref=1", "http://d.b/?xref=1", None, "http://?ref=2"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert sorted(r[0] for r in url_cascade.tracked_hosts(pages).collect()) == ["a.b", "c.b"]
+    assert [r[0] for r in url_cascade.tracked_hosts(pages, 1).collect()] == ["c.b"]
+    many = spark.range(40_000).selectExpr("id AS page_id", "concat('http://w.h', id % 20000, '.net/') AS url")
+    listed = spark.range(20_000).where("id % 3 = 0").selectExpr("concat('h', id, '.net') AS host")
+    found = url_cascade.judge(many, [], listed).where("verdict = 'block'").select("page_id")
+    assert sorted(r[0] for r in found.collect()) == [i for i in range(40_000) if i % 20_000 % 3 == 0]
 
 
 def test_cascade_is_exact_over_its_universe(spark):
