@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,6 +121,65 @@ def next_batch_with_ties(df: DataFrame, cursor: str, start, n: int = DEFAULT_BAT
     return selected.where(F.col(cursor) <= _literal(df, cursor, last))
 
 
+def between_cursors(df: DataFrame, cursor: str, start, last) -> DataFrame:
+    """Rows beyond `start` and up to `last`."""
+    return after_cursor(df, cursor, start).where(F.col(cursor) <= _literal(df, cursor, last))
+
+
+def stretches(ordered: DataFrame, cursor: str, rows: int) -> list[str]:
+    """Cursor values that cut files dealt by ranges of the cursor into stretches of whole files, of about `rows` rows; the last closes the last stretch.
+
+    A file that has more is a stretch of its own.  A row for each file reaches the driver.
+    """
+    data_type = ordered.schema[cursor].dataType
+    files = ordered.select(cursor, "_metadata.file_path").groupBy("file_path").agg(F.max(cursor).alias("c"), F.count("*").alias("n"))
+    ends, size = [], 0
+    for last, n in files.orderBy("c").select(_text(F.col("c"), data_type), "n").collect():
+        if ends and size + n <= rows:
+            ends[-1] = last
+        else:
+            ends, size = [*ends, last], 0
+        size += n
+    return ends
+
+
+def batch_ends(df: DataFrame, cursor: str, n: int) -> tuple[list[str], str | None]:
+    """Cursor values that close the batches of at least n rows that rows are cut into, ties kept together, and that of the rows left over.
+
+    One task walks over the different values and their counts, in order, and holds a batch of
+    them at a time: for a bounded stretch of rows.
+    """
+    _require_batch(n)
+    data_type = df.schema[cursor].dataType
+    counts = df.where(F.col(cursor).isNotNull()).groupBy(F.col(cursor).alias("c")).agg(F.count("*").alias("n"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, last = 0, None
+        for batch in batches:
+            upto, cuts, closed = np.cumsum(batch.column("n").to_numpy()), [], 0
+            while (at := int(np.searchsorted(upto, closed - left + n))) < len(upto):
+                cuts, closed, left = [*cuts, at], int(upto[at]), 0
+            if len(upto):
+                left += int(upto[-1]) - closed
+                last = batch.column("c").slice(len(upto) - 1) if left else None
+                yield pa.RecordBatch.from_arrays([batch.column("c").take(pa.array(cuts, pa.int64())), pa.array([True] * len(cuts), pa.bool_())], names=["c", "full"])
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([last, pa.array([False])], names=["c", "full"])
+
+    found = counts.repartition(1).sortWithinPartitions("c").mapInArrow(walk, f"c {data_type.simpleString()}, full boolean")
+    ends = found.orderBy("c").select(_text(F.col("c"), data_type), "full").collect()
+    return [end for end, full in ends if full], next((end for end, full in ends if not full), None)
+
+
+def batch_number(df: DataFrame, cursor: str, ends: list[str]) -> Column:
+    """Which of the batches closed by `ends` a row is in, from 0: a few comparisons a row."""
+    if len(ends) <= 1:
+        return F.lit(0)
+    half = len(ends) // 2
+    return F.when(F.col(cursor) <= _literal(df, cursor, ends[half - 1]), batch_number(df, cursor, ends[:half])).otherwise(
+        batch_number(df, cursor, ends[half:]) + half)
+
+
 def batch_cursor(batch: DataFrame, cursor: str) -> DataFrame:
     """Greatest cursor of a batch (null for an empty one) and its row count."""
     return batch.agg(F.max(cursor).alias("last_value"), F.count("*").alias("n_rows"))

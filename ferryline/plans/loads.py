@@ -7,16 +7,17 @@ again under its run id.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ferryline.operators import selection
 from ferryline.operators.keys import key_duplicates, orphan_counts, orphans
 from ferryline.operators.merge import clean_keys
-from ferryline.operators.reconcile import INCONSISTENT, SUCCESS, audit_counts
+from ferryline.operators.reconcile import INCONSISTENT, SUCCESS, audit, audit_counts
 from ferryline.operators.rows import VIOLATIONS, check_rows, is_rejected
 from ferryline.plans.contract import TableLoad
 from ferryline.session import materialize, one_row
@@ -24,6 +25,10 @@ from ferryline.sources.state import saved_cursor, write_state
 from ferryline.sources.tables import Staged, VersionedTable
 
 
+WAVE = 256  # batches of a drain that are written at a time
+BATCH = "load_batch"
+
+
 class LoadFailed(RuntimeError):
     """A load that was not published; `result` holds what was measured so far."""
 
@@ -117,11 +122,80 @@ def incremental_loads(load: TableLoad, source: DataFrame, target: VersionedTable
                       **options) -> list[LoadResult]:
     """Batches until none is left; started again under its run id it goes on behind those it had published."""
     results: list[LoadResult] = []
+    together = _can_go_together(load, target) and options.get("with_ties", True)
     while not results or results[-1].published_before or results[-1].source_selected:
+        if together and target.commit_of(f"{run_id}.{len(results) + 1}", load.entry) is None:
+            _load_waves(load, source, target, run_id, state_path, options, results)
         results.append(incremental_load(load, source, target, f"{run_id}.{len(results) + 1}", state_path, **options))
     return results
 
 
+def _can_go_together(load: TableLoad, target: VersionedTable) -> bool:
+    """Whether batches that are right together are right one by one: rows are only added, and none may wait for a later one."""
+    own = any(fk.parent == load.target.id for fk in load.schema.foreign_keys)
+    return load.incremental.appends and not own and not target.enforces_constraints
+
+
+def _load_waves(load: TableLoad, source: DataFrame, target: VersionedTable, run_id: str, state_path: str, options: dict,
+                results: list[LoadResult]) -> None:
+    """The batches of what is beyond the cursor now, added to `results`: `WAVE` of them are checked, written and published at a time.
+
+    What is beyond the cursor is copied once, in the order of the cursor, so that a wave
+    reads its own rows only.  A wave that breaks a rule is halved down to the batch that
+    does, which then fails as it would alone; those before it are published.
+    """
+    spec, spark = load.incremental, source.sparkSession
+    size = spec.batch_size or selection.DEFAULT_BATCH
+    start = saved_cursor(spark, state_path, load.target.id) or spec.start_value
+    beyond = selection.where(selection.after_cursor(source, spec.column, start), load.where)
+    ordered = materialize(beyond.repartitionByRange(spec.column).sortWithinPartitions(spec.column), "beyond")
+    stretches = selection.stretches(ordered, spec.column, WAVE * size)
+    for number, stretch in enumerate(stretches, 1):
+        ends, rest = selection.batch_ends(selection.between_cursors(ordered, spec.column, start, stretch), spec.column, size)
+        if rest and number == len(stretches):  # otherwise the next stretch begins with them
+            ends.append(rest)
+        many = WAVE
+        while ends:
+            wave, names = ends[:many], [f"{run_id}.{len(results) + i}" for i in range(1, len(ends[:many]) + 1)]
+            done = _load_wave(load, ordered, target, names, state_path, start, wave, options.get("parents") or {})
+            if not done and len(wave) > 1:
+                many = len(wave) // 2
+                continue
+            results += done or [incremental_load(load, ordered, target, names[0], state_path, **options)]
+            start, ends = wave[-1], ends[len(wave):]
+
+
+def _load_wave(load: TableLoad, ordered: DataFrame, target: VersionedTable, names: list[str], state_path: str, start: str,
+               ends: list[str], parents: dict[str, DataFrame]) -> list[LoadResult]:
+    """Batches appended in one pass; none, and nothing published, if they break a rule."""
+    spec, spark, key = load.incremental, target.spark, load.schema.primary_key
+    rows = selection.between_cursors(ordered, spec.column, start, ends[-1])
+    numbered = replace(load.schema, columns=T.StructType([*load.schema.columns.fields, T.StructField(BATCH, T.IntegerType())]))
+    checked = check_rows(rows.withColumn(BATCH, selection.batch_number(rows, spec.column, ends)), numbered)
+    counts = {r[BATCH]: r for r in checked.groupBy(BATCH).agg(F.count("*").alias("n"), F.count_if(is_rejected()).alias("bad")).collect()}
+    if any(r["bad"] for r in counts.values()) or any(_orphans_per_key(load, checked, parents).values()):
+        return []
+    good, selected = checked.drop(VIOLATIONS), [counts[i]["n"] for i in range(len(ends))]
+    probe = LoadResult("INSERT")
+    try:
+        _forbid_taken_keys(load, good.drop(BATCH), target, probe)
+        staged = target.stage_appends(good, BATCH, selected)
+        _check_merged(load, target, staged[-1], probe)
+    except LoadFailed:
+        return []
+    counted = spark.createDataFrame([(i, "INSERT", n, s.rows_before, s.rows_after) for i, (n, s) in enumerate(zip(selected, staged))],
+                                    "i int, write_mode string, source_selected bigint, target_before bigint, target_after bigint")
+    verdicts = audit(counted).orderBy("i").collect()
+    if any(v["consistency"] == INCONSISTENT for v in verdicts):
+        return []
+    target.publish_all(staged, names, ends, load.entry, selected)
+    results = [LoadResult(v["write_mode"], v["source_selected"], v["target_before"], v["target_after"], v["target_net_delta"],
+                          v["consistency"], v["outcome"], v["records_processed"], previous, last)
+               for v, previous, last in zip(verdicts, [start, *ends], ends)]
+    _save_cursors(spark, load, results, state_path, names)
+    return results
+
+
 def _already_published(result: LoadResult, target: VersionedTable, done: dict) -> LoadResult:
     result.target_before = result.target_after = target.count()
     result.target_net_delta, result.source_selected = 0, None
@@ -206,13 +280,22 @@ def _check_merged(load: TableLoad, target: VersionedTable, staged: Staged, resul
 
 
 def _save_cursor(spark: SparkSession, load: TableLoad, result: LoadResult, path: str, run_id: str, last: str) -> None:
-    spec = load.incremental
-    saved = one_row(
-        spark, state_key=F.lit(load.target.id), source_table=F.lit(load.source.id), target_table=F.lit(load.target.id),
-        column_name=F.lit(spec.column), previous_value=F.lit(result.previous_value), last_value=F.lit(last),
-        batch_size=F.lit(spec.batch_size).cast("bigint"), status=F.lit(SUCCESS), run_id=F.lit(run_id),
-        table_run_id=F.lit(f"{run_id}-{load.target.id}"), records_processed=F.lit(result.records_processed),
-        updated_at=F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz"),  # UTC never repeats
-    )
-    write_state(saved, path)
-    result.last_value, result.state_updated = last, True
+    result.last_value = last
+    _save_cursors(spark, load, [result], path, [run_id])
+
+
+def _save_cursors(spark: SparkSession, load: TableLoad, results: list[LoadResult], path: str, run_ids: list[str]) -> None:
+    """A state for each load, the later ones a microsecond later."""
+    spec, now = load.incremental, F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz")  # UTC never repeats
+    saved = F.explode(F.array(*[F.struct(
+        F.lit(r.previous_value).alias("previous_value"), F.lit(r.last_value).alias("last_value"), F.lit(run_id).alias("run_id"),
+        F.lit(f"{run_id}-{load.target.id}").alias("table_run_id"), F.lit(r.records_processed).cast("bigint").alias("records_processed"),
+        F.lit(i).alias("place")) for i, (r, run_id) in enumerate(zip(results, run_ids, strict=True))]))
+    rows = one_row(spark, s=saved).select(
+        F.lit(load.target.id).alias("state_key"), F.lit(load.source.id).alias("source_table"), F.lit(load.target.id).alias("target_table"),
+        F.lit(spec.column).alias("column_name"), "s.previous_value", "s.last_value", F.lit(spec.batch_size).cast("bigint").alias("batch_size"),
+        F.lit(SUCCESS).alias("status"), "s.run_id", "s.table_run_id", "s.records_processed",
+        (now + F.make_dt_interval(secs=F.col("s.place") / 1_000_000)).alias("updated_at"))
+    write_state(rows, path)
+    for result in results:
+        result.state_updated = True

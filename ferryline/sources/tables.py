@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferryline.operators.merge import clean_keys, merge_newest, merge_upsert, no_null_key, rows_to_write
-from ferryline.session import delete_path, one_row, sub_folders
+from ferryline.session import delete_path, one_row, path_exists, sub_folders
 from ferryline.sources.logs import roll_log
 
 BUCKET = "load_bucket"
@@ -66,6 +66,12 @@ class Staged:
         return self.view.n_rows
 
 
+def _commit_row(staged: Staged, run_id: str, cursor: str | None, entry: str | None, selected: int | None) -> dict:
+    view = staged.view
+    return {"version": view.version, "run_id": run_id, "entry": entry, "cursor": cursor, "selected": selected,
+            "buckets": view.buckets, "n_rows": view.n_rows, "base": view.base, "replaced": staged.replaced}
+
+
 class VersionedTable:
     """A parquet table that a load changes as a whole or not at all.
 
@@ -153,10 +159,14 @@ class VersionedTable:
         """The rows of a view, of all buckets or of some."""
         if not view.version:
             return self.spark.createDataFrame([], self.schema)
-        layout = T.StructType([*self.schema.fields, T.StructField(VERSION, T.LongType()), T.StructField(BUCKET, T.IntegerType())])
-        stored = self.spark.read.schema(layout).parquet(f"{self.path}/data").where(view.covers())
+        stored = self._stored().where(view.covers())
         return (stored if only is None else stored.where(F.col(BUCKET).isin(only))).select(*self.schema.names)
 
+    def _stored(self) -> DataFrame:
+        """The rows of all loads, published or not."""
+        layout = T.StructType([*self.schema.fields, T.StructField(VERSION, T.LongType()), T.StructField(BUCKET, T.IntegerType())])
+        return self.spark.read.schema(layout).parquet(f"{self.path}/data")
+
     # -- writing --------------------------------------------------------------
 
     def _wanted_buckets(self, n_rows: int) -> int:
@@ -194,6 +204,26 @@ class VersionedTable:
         added = self._write(rows, now.version + 1, buckets, together=True)
         return Staged(replace(now, version=now.version + 1, buckets=buckets, n_rows=now.n_rows + added), [], now.n_rows)
 
+    def stage_appends(self, df: DataFrame, batch: str, sizes: list[int]) -> list[Staged]:
+        """INSERT of several batches in one pass: rows with 0 in the column `batch` make the next version, those with 1 the one after it.
+
+        `sizes` are the rows of each batch, counted beforehand.
+        """
+        now, folder = self.view(), f"{self.path}/data"
+        buckets, first = now.buckets or self._wanted_buckets(sum(sizes)), now.version + 1
+        for name in sub_folders(self.spark, folder) if path_exists(self.spark, folder) else []:
+            if name.startswith(f"{VERSION}=") and int(name.rpartition("=")[2]) >= first:
+                delete_path(self.spark, f"{folder}/{name}")  # a try that died may have left files there
+        shaped = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]
+        placed = df.select(*shaped, (F.col(batch) + F.lit(first)).cast("long").alias(VERSION)).withColumn(BUCKET, self._bucket(buckets))
+        placed.hint("rebalance", VERSION, BUCKET).write.mode("append").partitionBy(VERSION, BUCKET).parquet(folder)
+        written = self._stored().where(F.col(VERSION) >= first).groupBy(VERSION).count().collect()  # from the files, as for one load
+        added, staged = {r[0]: r[1] for r in written}, []
+        for version in range(first, first + len(sizes)):
+            view = replace(now, version=version, buckets=buckets, n_rows=now.n_rows + added.get(version, 0))
+            staged, now = [*staged, Staged(view, [], now.n_rows)], view
+        return staged
+
     def stage_upsert(self, df: DataFrame, keys: list[str] | None = None, order_by: list[str] | None = None,
                      small_batch: bool = False, keep_newer: bool = False, keys_set: bool = False,
                      n_rows: int | None = None) -> Staged:
@@ -236,10 +266,16 @@ class VersionedTable:
     def publish(self, staged: Staged, run_id: str, cursor: str | None = None, entry: str | None = None,
                 selected: int | None = None) -> None:
         """Make a staged version the one in force: one row, one file, one rename."""
-        view = staged.view
-        row = {"version": view.version, "run_id": run_id, "entry": entry, "cursor": cursor, "selected": selected,
-               "buckets": view.buckets, "n_rows": view.n_rows, "base": view.base, "replaced": staged.replaced}
-        one_row(self.spark, value=F.lit(json.dumps(row))).write.mode("append").text(f"{self.path}/commits")
+        self._commit([_commit_row(staged, run_id, cursor, entry, selected)])
+
+    def publish_all(self, staged: list[Staged], run_ids: list[str], cursors: list[str | None], entry: str | None,
+                    selected: list[int]) -> None:
+        """Make staged versions that follow each other the ones in force, all or none: a row each, one file."""
+        self._commit([_commit_row(*one, entry, n) for *one, n in zip(staged, run_ids, cursors, selected, strict=True)])
+
+    def _commit(self, rows: list[dict]) -> None:
+        lines = F.explode(F.array(*[F.lit(json.dumps(row)) for row in rows]))
+        one_row(self.spark, value=lines).write.mode("append").text(f"{self.path}/commits")
 
     def vacuum(self, keep_versions: int = 2) -> int:
         """Delete the folders that none of the newest versions needs, a bucket of a load each, and roll the commits; returns how many.

@@ -277,6 +277,43 @@ def test_a_drain_started_again_goes_on(spark, source, target, folder):
     assert target.count() == 20 and target.read().distinct().count() == 20
 
 
+def test_many_batches_are_appended_together(spark, folder, rows, monkeypatch):
+    """Many batches, a few passes: the same versions, commits and states as one by one."""
+    from ferryline.plans import loads
+
+    day, alone = dt.datetime(2026, 1, 2), []
+    source = spark.createDataFrame([(i, f"n{i}", day + dt.timedelta(days=i // 3)) for i in range(48)], "id int, name string, updated_at timestamp_ntz")
+    spec = load(migration_type="incremental", incremental=incremental("append", 4), where="id <> 7")
+    found = {}
+    one = loads.incremental_load
+    monkeypatch.setattr(loads, "incremental_load", lambda *a, **k: alone.append(a[3]) or one(*a, **k))
+    for wave in (1, 5):
+        monkeypatch.setattr(loads, "WAVE", wave)
+        table = VersionedTable(spark, f"{folder}/{wave}", schema().stored, ["id"])
+        results = incremental_loads(spec, source, table, "r", f"{folder}/state{wave}")
+        commits = [c[:5] for c in rows(table._log().select("version", "run_id", "cursor", "selected", "n_rows"))]
+        states = rows(spark.read.json(f"{folder}/state{wave}").select("run_id", "previous_value", "last_value", "records_processed"))
+        found[wave] = [(r.source_selected, r.target_before, r.target_after, r.previous_value, r.last_value, r.outcome, r.state_updated)
+                       for r in results], commits, states, rows(table.read())
+        assert saved_cursor(spark, f"{folder}/state{wave}", "public.customers") == results[-2].last_value == "2026-01-17 00:00:00"
+    assert found[1] == found[5] and found[1][3] == rows(source.where("id <> 7"))
+    assert [r[0] for r in found[1][0]] == [6, 5] + [6] * 6 + [0] and alone == ["r.9"] * 2  # the empty one that ends the drain
+
+
+@pytest.mark.parametrize("fault", ["rule", "twice", "taken"])
+def test_batches_before_a_broken_one_are_published(spark, source, folder, fault):
+    table = VersionedTable(spark, f"{folder}/t", schema().stored, ["id"])
+    if fault == "taken":
+        table.publish(table.stage_append(source.where("id = 17")), "r0")
+    bad = source.withColumn("name", F.when(F.col("id") == 17, "far too long" if fault == "rule" else "n").otherwise(F.col("name")))
+    bad = bad.withColumn("id", F.when((F.col("id") == 17) & F.lit(fault == "twice"), 0).otherwise(F.col("id")))
+    spec = load(migration_type="incremental", incremental=incremental("append", 4))
+    with pytest.raises(LoadFailed, match={"rule": "1 rows break", "twice": "already has", "taken": "already has"}[fault]):
+        incremental_loads(spec, bad, table, "r", f"{folder}/state")
+    assert table.count() == 16 + (fault == "taken") and table.commit_of("r.4") and not table.commit_of("r.5")
+    assert saved_cursor(spark, f"{folder}/state", "public.customers") == "2026-01-05 00:00:00"
+
+
 def test_a_cursor_never_moves_back(spark, source, target, folder):
     spec, state = load(migration_type="incremental", incremental=incremental("append", 6)), f"{folder}/state"
     for run_id in ("r1", "r2", "r1"):
