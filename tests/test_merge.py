@@ -1,6 +1,7 @@
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ferryline.operators import merge as M
 from ferryline.sources.buckets import BucketedTable
@@ -142,6 +143,23 @@ def test_a_bucketed_target_is_not_shuffled(spark, folder):
     assert len(files) == 16  # a file a bucket
 
 
+def test_a_bucketed_target_gets_more_buckets_as_it_grows(spark, folder, monkeypatch):
+    from ferryline.sources import buckets
+
+    monkeypatch.setattr(buckets, "BUCKET_ROWS", 100)
+    table = BucketedTable(spark, folder, spark.range(1).selectExpr("id AS k", "'' AS v").schema, ["k"], buckets=2)
+    want = {}
+    for first, last, expected in ((0, 150, 2), (100, 900, 8), (850, 910, 16), (0, 5, 16)):  # 900 rows by the third
+        table.upsert(spark.range(first, last).selectExpr("id AS k", f"'{last}' AS v"), f"r{last}")
+        want |= {i: str(last) for i in range(first, last)}
+        again = BucketedTable(spark, folder, table.schema, ["k"], buckets=2)
+        spark.sql(f"DROP TABLE {table._name(table.version())}")  # as in another session
+        assert {r.k: r.v for r in again.read().collect()} == want and again._published()[1] == expected
+        files = again.read().groupBy(F.input_file_name().alias("f")).count().collect()
+        assert expected // 2 < len(files) <= expected and max(r["count"] for r in files) < 200
+    assert again.version() == 4
+
+
 def test_another_session_declares_the_buckets_anew(spark, folder):
     rows = spark.range(100).selectExpr("id AS k", "named_struct('a', id, 'b', array(id)) AS v")
     BucketedTable(spark, folder, rows.schema, ["k"], buckets=4).upsert(rows, "r")
