@@ -60,6 +60,11 @@ class Pieces:
         # a word may be cut out before a space that follows another character, as no piece reaches over it
         whole = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in plain)
         self.words = re.compile(r"(?s).+" if whole else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.char_symbol = np.full(0x110000, self.symbols, np.int64)
+        for piece, i in self.symbol.items():
+            if len(piece) == 1:
+                self.char_symbol[ord(piece)] = i
+        self.chars_of = [len(name) for name in names]
         self.text_of = [b""] * n
         for piece, i in plain.items():
             self.text_of[i] = piece.replace(SPACE, " ").encode()
@@ -82,22 +87,19 @@ class Pieces:
         if not short:
             return out
         flat = "".join(words[i] for i in short)
-        code = np.frombuffer(flat.encode("utf-32-le"), np.uint32)
-        known, where = np.unique(code, return_inverse=True)
-        sym = np.array([self.symbol.get(chr(c), self.symbols) for c in known.tolist()], np.int64)[where]
+        sym = self.char_symbol[np.frombuffer(flat.encode("utf-32-le"), np.uint32)]
         size = np.array([len(words[i]) for i in short])
         word = np.repeat(np.arange(len(short)), size)
         rank, into = self._ranks(sym, word)
+        ended = []  # (word, symbol) of the words that are done, by round
         while len(sym):
             starts = np.flatnonzero(np.diff(word, prepend=-1))
             least = np.minimum.reduceat(rank, starts)
             size = np.diff(np.append(starts, len(sym)))
             done = least == NONE
             if done.any():
-                for s, n in zip(starts[done].tolist(), size[done].tolist()):
-                    i = short[word[s]]
-                    out[i] = self._ids(words[i], sym[s : s + n])
                 left = np.repeat(~done, size)
+                ended.append((word[~left], sym[~left]))
                 sym, word, rank, into = sym[left], word[left], rank[left], into[left]
                 least, size = least[~done], size[~done]
                 if not len(sym):
@@ -109,8 +111,20 @@ class Pieces:
             left[hits + 1] = False
             at = hits - np.arange(len(hits))  # where the merged symbols are after the gaps close
             sym, word, rank, into = sym[left], word[left], rank[left], into[left]
-            beside = np.unique(np.concatenate([at, at[at > 0] - 1]))
+            near = np.zeros(len(sym), bool)
+            near[at] = near[at[at > 0] - 1] = True
+            beside = np.flatnonzero(near)
             rank[beside], into[beside] = self._ranks(sym, word, beside)
+        word, sym = (np.concatenate(parts) for parts in zip(*ended))
+        order = np.argsort(word, kind="stable")
+        word, sym = word[order], sym[order]
+        ends = np.cumsum(np.bincount(word, minlength=len(short)))
+        ids, at = sym.astype("<u4").tobytes(), 0
+        for i, end in zip(short, (ends * 4).tolist()):
+            out[i], at = ids[at:end], end
+        starts = np.append(0, ends)
+        for k in np.unique(word[sym >= len(self.text_of)]).tolist():
+            out[short[k]] = self._ids(words[short[k]], sym[starts[k] : starts[k + 1]])
         return out
 
     def _ranks(self, sym, word, at=None):
@@ -154,7 +168,7 @@ class Pieces:
         for s in sym.tolist():
             if s < len(self.text_of):
                 ids.append(s)
-                at += len(self.library.id_to_piece(s))
+                at += self.chars_of[s]
             else:
                 ids += [self.byte_ids[b] for b in word[at].encode()]
                 at += 1

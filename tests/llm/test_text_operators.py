@@ -399,3 +399,13 @@ def test_queries_return_one_row_per_document(spark, small_tables):
     for name in ("op3_cotraining", "op6_pieces", "op8_sharding"):
         df = QUERIES[name](spark, small_tables)
         assert df.agg(F.count("*"), F.count_distinct("doc_id")).first() == (n, n)
+
+
+def test_words_of_known_pieces_are_merged_without_a_call_each(monkeypatch):
+    model, calls = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model")), []
+    slow = pieces.Pieces._ids
+    monkeypatch.setattr(pieces.Pieces, "_ids", lambda self, word, sym: calls.append(word) or slow(self, word, sym))
+    texts = ["plain words and more of them " + " ".join(f"q{i}z" for i in range(300)), "a \U0001f9ff b", "", None]
+    for text, ids in zip(texts, model.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == [model.bos, *model.library.encode(text or ""), model.eos]
+    assert calls == ["▁\U0001f9ff"]
