@@ -3,7 +3,7 @@
 import public_tokenizers
 import pytest
 
-from ferryline.llm import mixing, near_copies, pieces, spotsigs, token_files
+from ferryline.llm import mixing, near_copies, pieces, simhash, spotsigs, token_files
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -37,3 +37,22 @@ def test_first_copies_count_the_rows_of_each_kept_set(odd):
     found = {(r["doc_id"], r["n"]) for r in near_copies.first_copies(odd).collect()}
     assert found == {(1, 1), (3, 2), (3, 1)}  # 2 is a copy of 1; 3 has one set twice and another once
     assert near_copies.first_copies(odd.limit(0)).count() == 0 and near_copies.near_copies(odd.limit(0)).count() == 0
+
+
+def test_the_near_dedup_stage_links_by_fingerprints_first(spark, monkeypatch):
+    """What SimHash groups is verified first; what it can't reach or groups wrongly comes out as by the sets alone."""
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words[:399], "x"]), " ".join(["y"] * 20 + words), " ".join(words[::-1]), "a b", "b a", "", None, "A  B"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    groups, verified = [], []
+    find, check = simhash.near_duplicates, near_copies._links
+    monkeypatch.setattr(simhash, "near_duplicates", lambda d: groups.append(find(d)) or groups[-1])
+    monkeypatch.setattr(near_copies, "_links", lambda pairs, *rest: verified.append((rest[-1], pairs.count())) or check(pairs, *rest))
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect())
+    assert kept == [0, 3, 4, 5, 6] and groups[0].count() == len(texts)
+    assert [name for name, _ in verified] == ["by-group", "by-rarest", "by-others"] and verified[0][1] >= 1
+    wrong = near_copies.named_by_text(docs).selectExpr("doc_id", "0L component_id")  # all in one group
+    marks = near_copies.first_copies(docs, alike=wrong).select("doc_id").distinct().collect()
+    assert sorted(r[0] for r in marks) == kept
