@@ -56,3 +56,19 @@ def test_the_near_dedup_stage_links_by_fingerprints_first(spark, monkeypatch):
     wrong = near_copies.named_by_text(docs).selectExpr("doc_id", "0L component_id")  # all in one group
     marks = near_copies.first_copies(docs, alike=wrong).select("doc_id").distinct().collect()
     assert sorted(r[0] for r in marks) == kept
+
+
+def test_near_dedup_verifies_no_pair_twice_and_takes_few_rounds(spark, monkeypatch):
+    """Groups that are stars need no components, an unlike pair no second look: each costs plans that the driver keeps."""
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words), " ".join([*words[:199], "x"]), " ".join(words[::-1]), "a b", "c d", "e f"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, calls = [], []
+    check, join = near_copies._verified, near_copies.components
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *rest: seen.extend(map(tuple, pairs.collect())) or check(pairs, *rest))
+    monkeypatch.setattr(near_copies, "components", lambda links: calls.append(links) or join(links))
+    monkeypatch.setattr(near_copies, "_by_sketch", lambda pairs, *rest: pairs)  # so that unlike pairs are verified
+    wrong = near_copies.named_by_text(docs).selectExpr("doc_id", "0L component_id")  # all in one group
+    kept = sorted(r["doc_id"] for r in near_copies.first_copies(docs, alike=wrong).collect())
+    assert kept == [0, 2, 3, 4, 5] and len(seen) == len(set(seen)) >= 5
+    assert len(calls) == 1
